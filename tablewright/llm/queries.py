@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, line_dedup, mixing, secrets
 
 
 def queries() -> dict:
     return {
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op7_secret_scan": secrets.op7_secret_scan,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
@@ -14,6 +16,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_line_dedup": line_dedup.ORACLE,
         "op5_mix_sources": mixing.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }
