@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing, quality_rules, secrets
+from . import exact_dedup, language_id, line_dedup, mixing, packing, quality_rules, secrets
 
 
 def queries() -> dict:
     return {
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op3_language_id": language_id.op3_language_id,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op5_mix_sources": mixing.op5_mix_sources,
