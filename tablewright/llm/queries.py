@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language_id, line_crf, line_dedup, mixing, packing, quality_rules, secrets
+from . import exact_dedup, html_extract, language_id, line_crf, line_dedup, mixing, near_dedup, packing, quality_rules, secrets
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_language_id": language_id.op3_language_id,
         "op8_quality_classifier": line_crf.op8_quality_classifier,
         "op9_html_extraction": html_extract.op9_html_extraction,
+        "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op5_mix_sources": mixing.op5_mix_sources,
