@@ -90,3 +90,13 @@ def slot_test(df: DataFrame, slot: str, words: DataFrame, flag: str) -> DataFram
 
 def slot_of(*cols: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(slots))
+
+
+def without_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in ids (one column). Rows that a slot filter clears pass without a shuffle; the
+    rest, few of which are false hits, meet the ids in an anti-join."""
+    ids = ids.toDF("_gone")
+    words = slot_filter(ids.select(slot_of(F.col("_gone")).alias("slot")))
+    marked = slot_test(docs.withColumn("_slot", slot_of(F.col(id_col))), "_slot", words, "_maybe")
+    sure = marked.filter(~F.col("_maybe")).select(*docs.columns)
+    return sure.unionAll(marked.filter("_maybe").join(ids, F.col(id_col) == F.col("_gone"), "left_anti").select(*docs.columns))

@@ -27,7 +27,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     every = Window.partitionBy(F.lit(0))
     s = s.withColumns({"all_size": F.sum("source_size").over(every), "room_before": F.coalesce(F.sum("room").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "w_left": F.sum("w").over(by_room.rowsBetween(0, Window.unboundedFollowing))})
     s = s.withColumn("level", (F.col("all_size") * share - F.col("room_before")) / F.col("w_left"))
-    s = s.withColumn("level", F.min(F.when(F.col("room") > F.col("w") * F.col("level"), F.col("level"))).over(every))
+    s = s.withColumn("level", F.max(F.when(F.col("room") > F.col("w") * F.col("level"), F.col("level"))).over(every))
     target = F.when(F.col("level").isNull() | (F.col("room") <= F.col("w") * F.col("level")), F.col("room").cast("double")).otherwise(F.col("w") * F.col("level"))
     return s.select("sk", "source_size", target.alias("target"))
 
@@ -37,8 +37,8 @@ def offset(sk: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), sk)), 1, 4), 16, 10).cast("double") / 65536
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = "mix") -> DataFrame:
-    """One row per row of docs: the id, size, source_size, target, copies, taken.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = "mix", carry: bool = False) -> DataFrame:
+    """One row per row of docs: the id, size, source_size, target, copies, taken; with carry, all columns of docs and copies.
 
     A document's size is its number of words (null text: 0). Each of a source's documents is expected target /
     source_size times. In order of (size, md5 of the id, id), the running sum of expected copies plus the source's one
@@ -52,22 +52,26 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all rows is dealt over 256 tasks.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    text, source = or_empty(F.col(text_col)), F.col(source_col).cast("string")
-    sized = docs.select(F.col(id_col).alias("_id"), F.concat(F.when(source.isNull(), "1").otherwise("0"), or_empty(source)).alias("sk"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
-    sized = scratch.write(sized.withColumn("md", F.md5(or_empty(F.col("_id").cast("string")))).withColumn("b", F.substring("md", 1, 2)))
-
-    cells = scratch.write(sized.groupBy("sk", "size", "b").agg(F.count("*").alias("n")))
-    sizes = cells.groupBy("sk", "size").agg(F.sum("n").alias("n"))
-    targets = source_targets(sizes.groupBy("sk").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
+    text, source, doc_id = or_empty(F.col(text_col)), F.col(source_col).cast("string"), F.col(id_col)
+    keys = [F.concat(F.when(source.isNull(), "1").otherwise("0"), or_empty(source)).alias("_sk"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"), F.md5(or_empty(doc_id.cast("string"))).alias("_md"), doc_id.alias("_id")]
+    sized = docs.select(*keys, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else [])).withColumn("_b", F.substring("_md", 1, 2))
+    if not carry:
+        sized = scratch.write(sized)
+
+    cells = scratch.write(sized.groupBy("_sk", "_size", "_b").agg(F.count("*").alias("n")))
+    sizes = cells.groupBy("_sk", "_size").agg(F.sum("n").alias("n"))
+    targets = source_targets(sizes.groupBy(F.col("_sk").alias("sk")).agg(F.sum(F.col("_size") * F.col("n")).alias("source_size")), weights, share, cap).withColumnRenamed("sk", "_sk")
     before = lambda *part: F.coalesce(F.sum("n").over(Window.partitionBy(*part[:-1]).orderBy(part[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("p1", before("sk", "size")).drop("n").join(targets, "sk")
-    cells = cells.withColumn("p2", before("sk", "size", "b")).drop("n").join(sizes, ["sk", "size"]).withColumn("before", F.col("p1") + F.col("p2")).drop("p1", "p2")
+    sizes = sizes.withColumn("p1", before("_sk", "_size")).drop("n").join(targets, "_sk")
+    cells = cells.withColumn("p2", before("_sk", "_size", "_b")).drop("n").join(sizes, ["_sk", "_size"]).withColumn("before", F.col("p1") + F.col("p2")).drop("p1", "p2")
 
-    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("sk", "size", "b").orderBy("md", "_id")))
-    out = ranked.join(cells, ["sk", "size", "b"]).withColumn("k", F.col("rank") + F.col("before"))
-    e, u = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0), offset(F.col("sk"), seed)
-    copies = F.least(F.floor(e * F.col("k") + u) - F.floor(e * (F.col("k") - 1) + u), F.lit(cap))
-    return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    ranked = sized.withColumn("_rank", F.row_number().over(Window.partitionBy("_sk", "_size", "_b").orderBy("_md", "_id")))
+    out = ranked.join(cells, ["_sk", "_size", "_b"]).withColumn("_k", F.col("_rank") + F.col("before"))
+    e, u = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0), offset(F.col("_sk"), seed)
+    copies = F.least(F.floor(e * F.col("_k") + u) - F.floor(e * (F.col("_k") - 1) + u), F.lit(cap)).cast("long")
+    if carry:
+        return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "copies"], copies.alias("copies"))
+    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -79,7 +83,7 @@ MIX_CTES = """sized AS (
 src AS (SELECT sk, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY sk),
 weighed AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY sk) - 1) % 3 + 1] AS w, source_size * 2 AS room FROM src),
 filled AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE - CAST(coalesce(sum(room) OVER (ORDER BY room / w, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)) / CAST(sum(w) OVER (ORDER BY room / w, sk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lv FROM weighed),
-levelled AS (SELECT *, min(CASE WHEN room > w * lv THEN lv END) OVER () AS level FROM filled),
+levelled AS (SELECT *, max(CASE WHEN room > w * lv THEN lv END) OVER () AS level FROM filled),
 targets AS (SELECT sk, source_size, CASE WHEN level IS NULL OR room <= w * level THEN CAST(room AS DOUBLE) ELSE w * level END AS target FROM levelled),
 ranked AS (SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e, CAST(concat('0x', substr(md5('mix' || s.sk), 1, 4)) AS INTEGER) / 65536.0::DOUBLE AS u, row_number() OVER (PARTITION BY s.sk ORDER BY size, md, doc_id) AS k FROM sized s JOIN targets t USING (sk)),
 mixed AS (SELECT *, least(CAST(floor(e * k + u) - floor(e * (k - 1) + u) AS BIGINT), 2) AS copies FROM ranked)"""
