@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import bank, utility
+from .operators import eav
+from .plans import bank, usage, utility
 
-MODULES = (utility, bank)
+MODULES = (utility, bank, eav, usage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
