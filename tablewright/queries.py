@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import eav
+from .operators import eav, scalars
 from .plans import bank, usage, utility
 
-MODULES = (utility, bank, eav, usage)
+MODULES = (utility, bank, eav, usage, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
