@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import eav, linkage, matching, scalars
+from .operators import eav, geometry, linkage, matching, page_folds, scalars
 from .plans import bank, usage, utility
 
-MODULES = (utility, bank, eav, usage, scalars, linkage, matching)
+MODULES = (utility, bank, eav, usage, scalars, linkage, matching, geometry, page_folds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
