@@ -15,6 +15,16 @@ STOP_WORDS = (
 )
 
 
+# Fixed patterns: signature tags, document ids, other bracketed tags, characters of no use, hidden binary numbers.
+NOISE = (
+    r"(?i)\[(?:text|sig|date|initial|checkbox|radio|attachment|note)[^\]]*\]",
+    r"(?i)\bDoc(?:ument)?\s*ID\s*:\s*\S+",
+    r"(?i)\[[a-z]+\|[^\]]{0,120}\]",
+    r"[^\p{L}\p{N}\p{P}\p{Z}\p{Sc}\p{Sm}]",
+    r"\b[01]{8,}\b",
+)
+
+
 def halve_double(c: Column) -> Column:
     """A text printed twice, with or without a space between, once."""
     n = F.char_length(c)
@@ -32,10 +42,7 @@ def sanitise(c: Column) -> Column:
     """Without signature tags, document ids, characters that aren't letters, numbers, punctuation, separators, currency or
     mathematical signs, and hidden binary numbers; white space is one space; doubled texts once; null if nothing is left."""
     s = c
-    for pattern in (
-        r"(?i)\[(?:text|sig|date|initial|checkbox|radio|attachment|note)[^\]]*\]", r"(?i)\bDoc(?:ument)?\s*ID\s*:\s*\S+", r"(?i)\[[a-z]+\|[^\]]{0,120}\]",
-        r"[^\p{L}\p{N}\p{P}\p{Z}\p{Sc}\p{Sm}]", r"\b[01]{8,}\b",
-    ):
+    for pattern in NOISE:
         s = F.regexp_replace(s, pattern, "")
     return F.nullif(halve_double(F.trim(F.regexp_replace(s, r"[\s\p{Z}]+", " "))), F.lit(""))
 
