@@ -346,6 +346,28 @@ UNION ALL SELECT doc, page, line, word_no, text, x0, 'ocr' AS source FROM e WHER
   AND least(e.x1, p.x1) - greatest(e.x0, p.x0) > 0 AND (least(e.x1, p.x1) - greatest(e.x0, p.x0)) * 10 > ((e.x1 - e.x0) * 10 + (p.x1 - p.x0) * 10 - (least(e.x1, p.x1) - greatest(e.x0, p.x0)) * 10) * 0.4)"""
 
 
+def new_tables(found: DataFrame, known: DataFrame, share: float = 0.5) -> DataFrame:
+    """Tables (doc, page, x0, y0, x1, y1) of one finder that aren't those of another already: their overlap with every known one
+    of the page is at most `share` of the smaller area."""
+    k = known.select(*[F.col(c).alias(f"k_{c}") for c in ("doc", "page", "x0", "y0", "x1", "y1")])
+    w, h = F.least("x1", "k_x1") - F.greatest("x0", "k_x0"), F.least("y1", "k_y1") - F.greatest("y0", "k_y0")
+    area = F.least((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), (F.col("k_x1") - F.col("k_x0")) * (F.col("k_y1") - F.col("k_y0")))
+    same = (F.col("doc") == F.col("k_doc")) & (F.col("page") == F.col("k_page")) & (w > 0) & (h > 0) & (w * h > area * share)
+    return found.join(k, same, "left_anti")
+
+
+def table_dedupe(spark, sf_dir: str) -> DataFrame:
+    """Line items as tables: even lines are known, odd ones newly found."""
+    x, y = (F.col("l_partkey") % 20).cast("double"), (F.col("l_suppkey") % 20).cast("double")
+    boxes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), "l_linenumber", x.alias("x0"), y.alias("y0"), (x + 10 + F.col("l_linenumber")).alias("x1"), (y + 12).alias("y1"))
+    return new_tables(boxes.filter("l_linenumber % 2 = 1"), boxes.filter("l_linenumber % 2 = 0"))
+
+
+TABLE_DEDUPE = """WITH b AS (SELECT l_orderkey AS doc, 1 AS page, l_linenumber, CAST(l_partkey % 20 AS DOUBLE) AS x0, CAST(l_suppkey % 20 AS DOUBLE) AS y0, CAST(l_partkey % 20 + 10 + l_linenumber AS DOUBLE) AS x1, CAST(l_suppkey % 20 + 12 AS DOUBLE) AS y1 FROM lineitem)
+SELECT * FROM b f WHERE l_linenumber % 2 = 1 AND NOT EXISTS (SELECT 1 FROM b k WHERE k.l_linenumber % 2 = 0 AND k.doc = f.doc AND least(f.x1, k.x1) > greatest(f.x0, k.x0) AND least(f.y1, k.y1) > greatest(f.y0, k.y0)
+  AND (least(f.x1, k.x1) - greatest(f.x0, k.x0)) * (least(f.y1, k.y1) - greatest(f.y0, k.y0)) > least((f.x1 - f.x0) * (f.y1 - f.y0), (k.x1 - k.x0) * (k.y1 - k.y0)) * 0.5)"""
+
+
 def classify_page(raw: Column, has_images: Column) -> Column:
     """native, mixed, scanned or form, from a page's text layer and whether it has images."""
     clean = F.trim(F.regexp_replace(raw, r"(?i)\[(?:text|sig|initial|date|checkbox|radio)[|][^\]]*\]", ""))
@@ -401,6 +423,7 @@ QUERIES = {
     "split_multiline": (split_multiline_query, SPLIT_MULTILINE),
     "proportional_split": (proportional_split, PROPORTIONAL_SPLIT),
     "merge_words_iou": (merge_words_iou, MERGE_WORDS_IOU),
+    "table_dedupe": (table_dedupe, TABLE_DEDUPE),
     "page_classify": (page_classify, PAGE_CLASSIFY),
     "pdf_kind": (pdf_kind, PDF_KIND),
 }
