@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,13 @@ from .components import components
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
 #: Values that a sketch retains.
-SKETCH = 64
-#: Retained values that two linked sketches share at least. Each of the 64 least values of the union is shared with
-#: probability 0.8 or more: fewer than 34 are in at most 1 of 10**6 pairs of just 0.8, and hardly ever above that.
-SHARED = 34
+SKETCH = 48
+#: Retained values that two linked sketches share at least: each of the 48 least values of the union is shared with
+#: probability 0.8 or more, so fewer than 23 are in at most 4 of 10**7 pairs of just 0.8, and hardly ever above that.
+SHARED = 23
+#: Retained values in a row that make the key of an inverted list, where the sets are large enough. In the order of the hashes, the 48
+#: least values of the union hold no 3 shared ones in a row in 1 of 10**7 pairs of just 0.8.
+RUN = 3
 #: Leaders that a list's members are compared with before the components that are left are compared in full.
 LEADERS = 6
 
@@ -81,17 +84,28 @@ def sketches(rows: DataFrame, size: int, keep: int | None) -> DataFrame:
     return rows.mapInArrow(read, f"_id {kind}, n long, a long, b long, hashes array<long>")
 
 
-def prefix_length(n: int, keep: int, threshold: Fraction, shared: int) -> int:
-    """How many of a sketch's rarest values must be listed, so that any two linked documents meet in some list.
+def runs_needed(threshold: Fraction, keep: int, longest: int) -> dict[int, list[int]]:
+    """Run length to the sizes of sets, up to keep, that need keys of that many retained values.
 
-    Two sets of sizes m that share at least s values have one in common among the m - s + 1 first of each in any common
-    order. Sets so small that all they can be linked with are retained whole share at least threshold * n; else `shared`.
+    Two linked sets whose union has u values differ in at most (1 - threshold) * u of them. In the order of the hashes, those cut the
+    shared ones into stretches, the longest of which has at least the length returned here; where the union is retained
+    whole, nothing is left to chance. A set of size n meets unions of n to n / threshold.
     """
-    least = ceil(threshold * n) if n / threshold <= keep else shared
-    return max(1, min(n, keep) - least + 1)
+    out: dict[int, list[int]] = {}
+    for n in range(1, keep + 1):
+        for u in range(n, floor(n / threshold) + 1):
+            differ = floor((1 - threshold) * u)
+            run = min(longest, ceil(Fraction(u - differ, differ + 1)))
+            if differ and n not in out.setdefault(run, []):
+                out[run].append(n)
+    return out
+
+
+def _key_of(run: int):
+    return lambda i: F.xxhash64(F.lit(run), *[F.get("hashes", i + k) for k in range(run)])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, keep: int = SKETCH, shared: int = SHARED, leaders: int = LEADERS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, keep: int = SKETCH, shared: int = SHARED, run: int = RUN, leaders: int = LEADERS) -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id, kept.
 
     Documents whose shingle sets have a Jaccard similarity of at least threshold are linked; component_id is the least id
@@ -100,8 +114,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     they have none with an id.
 
     1. Each set is reduced to its `keep` least hashes (bottom-k), and equal sets to one representative, the least id.
-    2. A retained value's inverted list holds the representatives that have it among their prefix_length rarest ones; values
-       of one sketch only need no list, and frequent values come last in the order, so they hardly make any.
+    2. Inverted lists hold the representatives by runs of `run` retained values that are neighbours in the order of the hashes
+       (shorter runs for the smallest sets, see runs_needed). Linked sets share such a run; sets that merely share
+       frequent shingles hardly ever do, so lists stay as short as the groups of near copies, at any size of the corpus.
     3. Members of a list are compared with its leader, then, where they are not in its component, with further leaders;
        at last all members of a list that are still in different components, so no link between components is lost. A
        group of m near copies costs about m comparisons; pairs within a component aren't needed.
@@ -120,17 +135,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = ceil(threshold / (1 - threshold))
     reps = sk.filter(F.col("n") >= smallest).join(classes.select(F.col("rep").alias("_id"), "n", "a", "b"), ["_id", "n", "a", "b"], "left_semi").dropDuplicates(["_id", "n", "a", "b"])
     reps = scratch.write(reps.select("_id", "n", "hashes"))
-    entries = reps.select("_id", "n", F.explode("hashes").alias("value"))
-    often = entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = entries.join(often, "value").groupBy("_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
-    size = F.least("n", F.lit(keep))
-    complete = F.col("n") * den <= keep * num
-    prefix = F.greatest(F.lit(1), size - F.when(complete, F.ceil(F.col("n") * num / den)).otherwise(shared) + 1)
-    room = (prefix - (size - F.size("v"))).cast("int")  # values of this sketch only come first, and need no list
-    listed = ranked.filter(room > 0).select("_id", "n", F.explode(F.slice("v", F.lit(1), F.greatest(room, F.lit(0)))).alias("x")).select(F.col("x.value").alias("value"), "_id", "n")
-    lists = scratch.write(listed)
-    long = lists.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1")
-    lists = scratch.write(lists.join(long, "value").select("value", "_id", "n"))
+    keys = []
+    for r, sizes in sorted(runs_needed(threshold, keep, run).items()):
+        least, most = min(sizes), keep if r < run else 1 << 62
+        at = F.sequence(F.lit(0), F.greatest(F.size("hashes") - r, F.lit(0)))
+        made = F.transform(at, _key_of(r))
+        wanted = F.col("n").between(least, max(sizes) if r < run else most) & (F.size("hashes") >= r)
+        keys.append(F.when(wanted, made).otherwise(F.array().cast("array<bigint>")))
+    entries = reps.select("_id", "n", F.explode(F.concat(*keys)).alias("value"))
+    long = entries.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value")
+    lists = scratch.write(entries.join(long, "value").select("value", "_id", "n"))
 
     wanted = scratch.write(slot_filter(lists.select(slot_of(F.col("_id")).alias("slot")).distinct()))
     picked = slot_test(rows.withColumn("_slot", slot_of(F.col("_id"))), "_slot", wanted, "_in").filter("_in").select("_id", "_text")
