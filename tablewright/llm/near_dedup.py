@@ -119,7 +119,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        frequent shingles hardly ever do, so lists stay as short as the groups of near copies, at any size of the corpus.
     3. Members of a list are compared with its leader, then, where they are not in its component, with further leaders;
        at last all members of a list that are still in different components, so no link between components is lost. A
-       group of m near copies costs about m comparisons; pairs within a component aren't needed.
+       group of m linked near copies costs about m comparisons, as pairs within a component aren't needed; a document that
+       shares lists with the group without being linked is compared with all of its members there.
     4. A pair's sizes, then the number of shared values among the least of the union sketch filter it; the full sets of the
        rest are met by equi-joins and their Jaccard similarity decides.
     Full sets are made only for documents in some list of two or more, picked in the scan by a slot filter of bounded size.
