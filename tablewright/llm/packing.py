@@ -174,21 +174,69 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Offers:
+    """What each bin could give for one larger item: its items, and its pairs of items, one of each sum. A bin that
+    changes is listed anew and its old entries are blanked, until half of the list is blank."""
+
+    def __init__(self, sizes: np.ndarray, members: list[set[int]]):
+        self.sizes, self.members, self.where = sizes, members, [(0, 0)] * len(members)
+        self._rebuild()
+
+    def _of(self, b: int) -> dict[int, tuple[int, int]]:
+        many: dict[int, list[int]] = {}
+        for i in self.members[b]:
+            many.setdefault(int(self.sizes[i]), []).append(i)
+        out = {n: (items[0], -1) for n, items in many.items()}
+        of = sorted(many)
+        for k, n in enumerate(of):
+            for m in of[: k + 1]:
+                if n != m or len(many[n]) > 1:
+                    out.setdefault(n + m, (many[n][0], many[m][-1]))
+        return out
+
+    def _rebuild(self) -> None:
+        self.sums, self.bins, self.items, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros((1024, 2), np.int64), 0  # grown by doubling
+        self.blank = 0
+        for b in range(len(self.members)):
+            self._add(b)
+
+    def _add(self, b: int) -> None:
+        offers = self._of(b)
+        lo, hi = self.used, self.used + len(offers)
+        if hi > len(self.sums):
+            more = max(len(self.sums), len(offers))
+            self.sums, self.bins, self.items = (np.concatenate([x, np.zeros((more, *x.shape[1:]), np.int64)]) for x in (self.sums, self.bins, self.items))
+        if offers:
+            self.sums[lo:hi], self.bins[lo:hi], self.items[lo:hi] = list(offers), b, list(offers.values())
+        self.where[b], self.used = (lo, hi), hi
+
+    def renew(self, b: int) -> None:
+        lo, hi = self.where[b]
+        self.sums[lo:hi] = 1 << 40  # larger than any item
+        self.blank += hi - lo
+        self._add(b)
+        if 2 * self.blank > self.used:
+            self._rebuild()
+
+
 def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empties bins by moves and exchanges that increase the sum of squared fills.
 
-    Sources are the bins at most half full, the emptiest first. An item of the source is moved to the fullest bin with
-    room for it; else exchanged for one smaller item of a fuller bin, or for two that are smaller together, whichever
-    adds most to the sum of squares; so the source shrinks and the others fill up. Every step increases a bounded integer, so the
-    search ends; it also ends when the number of bins meets the lower bound.
+    Every bin with room is a source, the emptiest first. An item of the source is moved to the fullest bin with
+    room for it; else exchanged for one smaller item of another bin, or for two that are smaller together, whichever
+    adds most to the sum of squares; so the source shrinks and the others fill up. Sources are gone through again until
+    none gains. Every step increases a bounded integer, so the search ends; it also ends when the number of bins meets the lower bound.
     """
     least = lower_bound(sizes, capacity)
+    if len(bins) <= least:
+        return [sorted(b) for b in bins]
     place = np.empty(len(sizes), np.int64)
     for b, items in enumerate(bins):
         place[items] = b
     fill = np.bincount(place, sizes, len(bins)).astype(np.int64)
     live = int((fill > 0).sum())
     members = [set(x) for x in bins]
+    offers = _Offers(sizes, members)
 
     def shift(item: int, to: int) -> None:
         source = place[item]
@@ -199,43 +247,46 @@ def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> lis
         place[item] = to
 
     def improve(a: int) -> bool:
-        for x in sorted(members[a], key=lambda i: -sizes[i]):
-            n = sizes[x]
-            room = capacity - fill
-            room[a] = -1
-            room[fill == 0] = -1
+        room = capacity - fill
+        room[a] = -1
+        room[fill == 0] = -1
+        at = np.flatnonzero(room[offers.bins[: offers.used]] > 0)
+        sums, where = offers.sums[at], offers.bins[at]
+        roomy, lead = room[where], fill[where] - fill[a]
+        for n, x in sorted({int(sizes[i]): i for i in members[a]}.items(), reverse=True):
             fits = np.flatnonzero(room >= n)
             fits = fits[fill[fits] + n > fill[a]]
             if len(fits):
-                shift(x, fits[np.argmin(room[fits])])
-                return True
-            # one for one: y leaves a fuller bin, which gains d = n - y
-            d = n - sizes
-            ok = np.flatnonzero((d > 0) & (d <= room[place]))
-            gain = d[ok] * (fill[place[ok]] - fill[a] + d[ok])
-            best, pair = (int(gain.max()), (int(ok[np.argmax(gain)]),)) if len(ok) else (0, ())
-            # two for one, from bins with little room, whose items are few
-            for b in np.flatnonzero((room > 0) & (room < n))[:256] if best <= 0 else ():
-                inside = [i for i in members[b] if sizes[i] < n]
-                for k, y in enumerate(inside):
-                    for z in inside[:k]:
-                        e = int(n - sizes[y] - sizes[z])
-                        if 0 < e <= room[b] and (g := e * int(fill[b] - fill[a] + e)) > best:
-                            best, pair = g, (y, z)
-            if best > 0:
-                to = place[pair[0]]
-                for y in pair:
-                    shift(y, a)
+                to = int(fits[np.argmin(room[fits])])
+                shift(x, to)
+            else:
+                d = n - sums  # what the other bin gains
+                ok = np.flatnonzero((d > 0) & (d <= roomy))
+                gain = d[ok] * (lead[ok] + d[ok])
+                if not len(ok) or gain.max() <= 0:
+                    continue
+                best = at[ok[np.argmax(gain)]]
+                to = int(offers.bins[best])
+                for y in offers.items[best].tolist():
+                    if y >= 0:
+                        shift(y, a)
                 shift(x, to)
-                return True
+            offers.renew(a)
+            offers.renew(to)
+            return True
         return False
 
-    for a in np.argsort(fill, kind="stable"):
-        if live <= least or fill[a] > capacity // 2:
-            break
-        while fill[a] and improve(a):
-            pass
-        live -= not fill[a]
+    stepped = True
+    while stepped and live > least:
+        stepped = False
+        for a in np.argsort(fill, kind="stable"):
+            if not 0 < fill[a] < capacity:
+                continue
+            while fill[a] and improve(a):
+                stepped = True
+            live -= not fill[a]
+            if live <= least:
+                break
     return [sorted(m) for m in members if m]
 
 

@@ -63,6 +63,16 @@ def test_local_search_improves():
     assert len(packing.local_search(sizes, [[0, 4], [1, 3], [2, 5]], 2100)) == 2
 
 
+@pytest.mark.parametrize("draw", ["lognormal", "uniform"])
+def test_local_search_tries_every_source(draw):
+    rng = np.random.default_rng(1)
+    sizes = np.clip(rng.lognormal(6.4, 0.3, 1000) if draw == "lognormal" else rng.integers(300, 900, 1000), 1, 2047).astype(np.int64)
+    first = packing.best_fit(sizes, 2048)
+    last = packing.local_search(sizes, [list(b) for b in first], 2048)
+    assert sorted(i for b in last for i in b) == list(range(1000)) and max(sizes[b].sum() for b in last) <= 2048
+    assert packing.lower_bound(sizes, 2048) <= len(last) < len(first)
+
+
 # -- language
 
 
