@@ -228,3 +228,17 @@ def test_extract_html(spark):
     assert len(out) == 7 and texts[1] == "alpha beta" and texts[2] == "gamma delta" and texts[3] == texts[4] == ""
     assert texts[None].endswith("only here") and all(r.n_chars == len(r.text) for r in out)
     assert html_extract.extract_html(pages.limit(0)).count() == 0
+
+
+def test_repeats_over_a_whole_host(spark):
+    """A long notice on two of many pages goes wherever they are dealt; a phrase that two pages share stays."""
+    rng = np.random.default_rng(4)
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(40)]
+    notice, phrase, footer = " ".join(f"n{i}" for i in range(30)), "one two three four five six seven eight nine", "all pages of this host end in these words"
+    want = [f"{t[:20]} {phrase} {t[20:]}" if i in (3, 31) else t for i, t in enumerate(own)]
+    html = [f"<p>{w}</p>" + (f"<div>{notice}</div>" if i in (0, 39) else "") + f"<p>{footer}</p>" for i, w in enumerate(want)]
+    html[5] += "<article></article><script>'<main>'</script>"  # no main text, so it is a page of the host like others
+    pages = spark.createDataFrame([(i, f"http://h.x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(3)
+    for chunk in (400, 4):
+        got = {r.page_id: r.text for r in html_extract.extract_html(pages, chunk_pages=chunk).collect()}
+        assert [got[i] for i in range(40)] == want
