@@ -242,3 +242,11 @@ def test_repeats_over_a_whole_host(spark):
     for chunk in (400, 4):
         got = {r.page_id: r.text for r in html_extract.extract_html(pages, chunk_pages=chunk).collect()}
         assert [got[i] for i in range(40)] == want
+
+
+def test_pages_without_main_text_meet_their_host(spark):
+    shop = "<div>Welcome to our shop please look at all of this</div>"
+    odd = ["<script>'<main>'</script>", "<!-- <article> -->", "<article></article>", "<article><nav>Menu</nav></article>"]
+    pages = spark.createDataFrame([(i, f"http://a.x/{i}", f"{x}{shop}<p>own{i} text{i}</p>") for i, x in enumerate(odd)], "page_id long, url string, html string")
+    assert all(html_extract.main_text(x) is None for x in odd)
+    assert {r.page_id: r.text for r in html_extract.extract_html(pages).collect()} == {i: f"own{i} text{i}" for i in range(4)}
