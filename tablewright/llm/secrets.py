@@ -15,13 +15,18 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Strings looked at by entropy: runs of this class with a digit and a letter.
+#: Strings looked at by entropy.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs of hex digits inside a candidate, in parts of eight or more joined by one dash; judged before the rest is.
+HEX_RUN = r"(?=[0-9A-Fa-f_-]{20})[0-9A-Fa-f]{8,}(?:[_-][0-9A-Fa-f]{8,})*"
+#: Names, paths and dashed words before or after the value.
+LEAD = r"^=*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}[/_=-]+)*"
+TAIL = r"(?:[/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4})+$"
 WINDOW = 20
 #: Character class, as the alphabet counted, to the least entropy in bits of some window. 20 even draws of 16 characters
 #: give 3.5 bits on average, of 62 4.1; at most log2(20) = 4.32.
 CLASSES = {"hex": ("0123456789abcdef", 3.0), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7)}
-#: Candidates that are known not to be secrets: without digit, or without letter; repeats of one character; UUIDs; paths
+#: Runs that are known not to be secrets: without digit, or without letter; repeats of one character; UUIDs; paths
 #: and dashed words; example and placeholder values.
 ALLOWED = (
     r"^[^0-9]*$",
@@ -71,34 +76,67 @@ def window_entropy(s: Column, alphabet: str, window: int = WINDOW) -> Column:
     return F.get(F.transform(F.array(chars), slide), F.lit(0))
 
 
-def entropy_spans(text: Column, window: int = WINDOW) -> Column:
-    """Spans of candidate strings with a window of high entropy for their character class, the allow-list's left out."""
-    found = spans(text, CANDIDATE, KINDS.index("entropy"))
+def _blanked(m: Column, at: Column, out: Column) -> Column:
+    """The match m, which starts at `at`, with blanks for what lies in the spans of out."""
+    return F.aggregate(out, m, lambda acc, b: F.overlay(acc, F.repeat(F.lit(" "), F.least(b["end"], at + F.char_length(m)) - F.greatest(b["start"], at)), F.greatest(b["start"], at) - at + 1))
 
-    def secret(x):
-        m = x["match"]
-        allowed = F.lit(False)
-        for p in ALLOWED:
-            allowed = allowed | m.rlike(p)
-        low = F.lower(m)
-        high = F.when(low.rlike("^[0-9a-f]+$"), window_entropy(low, CLASSES["hex"][0], window) >= CLASSES["hex"][1]).otherwise(window_entropy(m, CLASSES["base64"][0], window) >= CLASSES["base64"][1])
-        return F.when(allowed, False).otherwise(high)
 
-    return F.filter(found, secret)
+def _moved(found: Column, by: Column) -> Column:
+    return F.transform(found, lambda y: F.struct((y["start"] + by).alias("start"), y["kind"].alias("kind"), (y["end"] + by).alias("end"), y["match"].alias("match")))
+
+
+def _within(found: Column, out: Column) -> Column:
+    """The candidates left of the spans `found` once the spans of out are taken from them."""
+
+    def rest(x):
+        touching = F.filter(out, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"]))
+        return F.when(F.size(touching) == 0, F.array(x)).otherwise(_moved(spans(_blanked(x["match"], x["start"], touching), CANDIDATE, KINDS.index("entropy")), x["start"]))
+
+    return F.flatten(F.transform(found, rest))
+
+
+def _value(x: Column) -> Column:
+    """The span without the names around it, where what stays is as long as a window; else as it is."""
+    m = x["match"]
+    lead = F.char_length(F.regexp_extract(m, LEAD, 0))
+    core = F.regexp_replace(F.regexp_replace(m, LEAD, ""), TAIL, "")
+    start = x["start"] + lead
+    cut = F.struct(start.alias("start"), x["kind"].alias("kind"), (start + F.char_length(core)).alias("end"), core.alias("match"))
+    return F.when(F.char_length(core) >= WINDOW, cut).otherwise(x)
+
+
+def _secret(x: Column, kind: str, window: int) -> Column:
+    """Whether the span isn't on the allow-list and has a window of high entropy for its class."""
+    allowed = F.lit(False)
+    for p in ALLOWED:
+        allowed = allowed | x["match"].rlike(p)
+    alphabet, least = CLASSES[kind]
+    return F.when(allowed, False).otherwise(window_entropy(F.lower(x["match"]) if kind == "hex" else x["match"], alphabet, window) >= least)
+
+
+def entropy_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Adds _more to rows (_text, _base): the spans with a window of high entropy for their class, the allow-list's left out.
+    Of each candidate, what lies in base spans is taken out; then its runs of hex digits are judged by the limit of hex;
+    then what is left, without the names around it, by that of base64."""
+    kind = KINDS.index("entropy")
+    rows = rows.withColumn("_found", spans(F.col("_text"), CANDIDATE, kind))
+    rows = rows.withColumn("_found", _within(F.col("_found"), F.col("_base")))
+    rows = rows.withColumn("_hex", F.filter(F.flatten(F.transform("_found", lambda x: _moved(spans(x["match"], HEX_RUN, kind), x["start"]))), lambda x: F.when(F.char_length(x["match"]) >= WINDOW, _secret(x, "hex", window)).otherwise(False)))
+    rows = rows.withColumn("_found", F.transform(_within(F.col("_found"), F.col("_hex")), _value))
+    return rows.withColumn("_more", F.concat("_hex", F.filter("_found", lambda x: _secret(x, "base64", window)))).drop("_found", "_hex")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: the id and `found`, an array of (start, kind, end), by start and kind. Null text is empty.
 
-    Base kinds are assign (a named value of at least 8 characters), access and hex; the entropy scan adds candidate
-    strings with a sliding window of high entropy that lie in no base span and aren't on the allow-list. Positions count
+    Base kinds are assign (a named value of at least 8 characters), access and hex; the entropy scan adds runs
+    of each character class with a sliding window of high entropy that lie in no base span and aren't on the allow-list. Positions count
     code points, ends are exclusive. Row by row, with no shuffle: hot keys and copies make no difference.
     """
     rows = docs.select(F.col(id_col).alias(id_col), or_empty(F.col(text_col)).alias("_text"))
     assign = F.filter(spans(F.col("_text"), ASSIGN, 0), lambda x: F.char_length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 8)
     base = F.concat(assign, spans(F.col("_text"), ACCESS, 1), spans(F.col("_text"), HEX, 2))
-    rows = rows.select(id_col, base.alias("_base"), entropy_spans(F.col("_text"), window).alias("_more"))
-    rows = rows.withColumn("_more", F.filter("_more", lambda x: ~F.exists("_base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"]))))
+    rows = entropy_spans(rows.withColumn("_base", base), window)
     return rows.select(id_col, F.transform(F.array_sort(F.concat("_base", "_more")), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias("found"))
 
 

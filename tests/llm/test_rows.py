@@ -160,6 +160,25 @@ def test_entropy(spark):
     assert {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.found] for r in found} == {0: ["wJalrXUtnFEMIK7MDENGbPxRfiCYq9Zt2"], 1: [], 2: [], 3: [], 4: ["9f8a3b2c7d6e5f4a1b0c9d8"]}
 
 
+def test_entropy_of_runs_inside_candidates(spark):
+    rng = np.random.default_rng(6)
+    draw = lambda n, of="0123456789abcdef": "".join(rng.choice(list(of), n))
+    texts, least = [], {}
+    for name, make in {"key=": lambda: draw(24), "id-": lambda: draw(20), "skey_x": lambda: draw(24).upper(), "": lambda: f"{draw(12)}-{draw(12)}"}.items():
+        least[name] = range(len(texts), len(texts) + 100)
+        texts += [f"a {name}{make()} b" for _ in range(100)]
+    b64 = "wJalrXUtnFEMIK7MDENGbPxRfiCYq9Zt2"
+    fixed = {
+        f"sample_key={b64} x": [b64], f"{b64}-example": [b64], f"id={b64}EXAMPLE": [], "id=123e4567-e89b-12d3-a456-426614174000": [],
+        f"{'0a1b2c3d' * 5}={b64}": [b64], f"{b64}/{'0a1b2c3d' * 5}/{b64}": [f"{b64}/", f"/{b64}"],
+    }
+    rows = [(i, t, None, None, 0, None, None, None, None) for i, t in enumerate([*texts, *fixed])]
+    out = {r.doc_id: [(rows[r.doc_id][1][x.start : x.end], x.kind) for x in r.found] for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    for name, where in least.items():
+        assert sum(any(k == 3 for _, k in out[i]) for i in where) >= 95, name
+    assert {t: [m for m, k in out[len(texts) + j] if k == 3] for j, t in enumerate(fixed)} == fixed
+
+
 # -- line CRF
 
 
