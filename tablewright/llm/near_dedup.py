@@ -25,11 +25,13 @@ SHARED = 23
 #: Retained values in a row that make the key of an inverted list, where the sets are large enough. In the order of the hashes, the 48
 #: least values of the union hold no 3 shared ones in a row in 1 of 10**7 pairs of just 0.8.
 RUN = 3
-#: Leaders that a list's members are compared with before the components that are left are compared in full.
-LEADERS = 6
+#: Members of a group whose full sets meet in one task.
+BLOCK = 512
+#: Shingles of those sets, on average; 24 bytes each.
+BLOCK_SHINGLES = 2_000_000
+#: Words whose hashes a task remembers, about 30 MB.
+WORDS = 200_000
 
-_WORDS: dict[bytes, int] = {}
-_WORDS_MOST = 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -39,20 +41,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
+def shingle_set(text: str | None, size: int, seen: dict[bytes, int] | None = None) -> np.ndarray:
     """The document's set, as sorted 63-bit hashes: its distinct shingles of `size` words (A-Z lower-cased, cut at ASCII white
-    space); with fewer words, the whole sequence; without words, empty."""
+    space); with fewer words, the whole sequence; without words, empty. seen remembers hashes of words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.int64)
-    get = _WORDS.get
-    ids = [get(w) for w in words]
+    seen = {} if seen is None else seen
+    ids = list(map(seen.get, words))
     if None in ids:
+        if len(seen) >= WORDS:
+            seen.clear()
         for i, x in enumerate(ids):
             if x is None:
-                if len(_WORDS) >= _WORDS_MOST:
-                    _WORDS.clear()
-                ids[i] = _WORDS[words[i]] = xxhash.xxh3_64_intdigest(words[i])
+                ids[i] = seen[words[i]] = xxhash.xxh3_64_intdigest(words[i])
     h = np.array(ids, np.uint64)
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
@@ -72,10 +74,11 @@ def sketches(rows: DataFrame, size: int, keep: int | None) -> DataFrame:
     kind = rows.schema["_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                sets = [shingle_set(t.as_py(), size) for t in part.column(1)]
+                sets = [shingle_set(t.as_py(), size, seen) for t in part.column(1)]
                 names = [_mix(s.astype(np.uint64) + _MIX[0]) for s in sets]
                 a = np.array([x.sum(dtype=np.uint64) if len(x) else 0 for x in names], np.uint64).astype(np.int64)
                 x = np.array([np.bitwise_xor.reduce(_mix(x + _MIX[1])) if len(x) else 0 for x in names], np.uint64).astype(np.int64)
@@ -105,28 +108,96 @@ def _key_of(run: int):
     return lambda i: F.xxhash64(F.lit(run), *[F.get("hashes", i + k) for k in range(run)])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, keep: int = SKETCH, shared: int = SHARED, run: int = RUN, leaders: int = LEADERS) -> DataFrame:
+class Judge:
+    """Decides links: the union sketch's estimate filters, the exact Jaccard of the full sets (sorted hashes) verifies."""
+
+    def __init__(self, threshold: Fraction, keep: int, shared: int):
+        self.num, self.den, self.keep, self.shared = threshold.numerator, threshold.denominator, keep, shared
+
+    def linked(self, x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        """Which of the other sets are linked to x."""
+        n = np.fromiter(map(len, others), np.int64, len(others))
+        out = np.zeros(len(others), bool)
+        most = np.maximum(n, len(x))
+        at = np.flatnonzero(self.den * np.minimum(n, len(x)) >= self.num * most)
+        if len(at):
+            likely = self._estimate(x[: self.keep], [others[i][: self.keep] for i in at], len(x) + n[at], most[at])
+            at = at[likely]
+        if len(at):
+            inner = self._shared(x, [others[i] for i in at])[0]
+            out[at] = self.den * inner >= self.num * (len(x) + n[at] - inner)
+        return out
+
+    @staticmethod
+    def _shared(x: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each other set the number of values shared with x; for each of all their values its place in x, whether it is there,
+        and the sets' first places among all values. No set is empty."""
+        flat = np.concatenate(others)
+        first = np.concatenate([[0], np.cumsum([len(o) for o in others[:-1]])]).astype(np.int64)
+        place = np.searchsorted(x, flat)
+        there = x[np.minimum(place, len(x) - 1)] == flat
+        return np.add.reduceat(there.astype(np.int64), first), place, there, first
+
+    def _estimate(self, x: np.ndarray, others: list[np.ndarray], both: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Where the union is retained whole, its sketch decides; else at least `shared` of its `keep` least values must be in
+        both. A shared value's place in the union is its places in the two sketches less the shared ones before it."""
+        inner, place, there, first = self._shared(x, others)
+        size = np.fromiter(map(len, others), np.int64, len(others))
+        own = np.arange(len(place)) - np.repeat(first, size)
+        run = np.cumsum(there) - there
+        before = run - np.repeat(run[first], size)
+        least = np.add.reduceat((there & (place + own - before < self.keep)).astype(np.int64), first)
+        return np.where(most <= self.keep, self.den * inner >= self.num * (both - inner), least >= self.shared)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of a partition that is sorted by the keys, group by group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        of = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+        at = 0
+        for i, key in enumerate(of):
+            if key != last:
+                if i > at:
+                    held.append(b.slice(at, i - at))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, at, last = [], i, key
+        held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x.values.to_numpy() for chunk in column.chunks for x in chunk]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, keep: int = SKETCH, shared: int = SHARED, run: int = RUN, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id, kept.
 
     Documents whose shingle sets have a Jaccard similarity of at least threshold are linked; component_id is the least id
     reachable, and the document with that id is kept. Texts without a word (or null) have an empty set and are linked with
     nothing. Rows that share an id are one node; rows without an id are linked to nobody but equal sets, and kept if
-    they have none with an id.
+    they have none with an id. An empty table gives no rows; other columns of docs are not read.
 
     1. Each set is reduced to its `keep` least hashes (bottom-k), and equal sets to one representative, the least id.
     2. Inverted lists hold the representatives by runs of `run` retained values that are neighbours in the order of the hashes
-       (shorter runs for the smallest sets, see runs_needed). Linked sets share such a run; sets that merely share
-       frequent shingles hardly ever do, so lists stay as short as the groups of near copies, at any size of the corpus.
-    3. Members of a list are compared with its leader, then, where they are not in its component, with further leaders;
-       at last all members of a list that are still in different components, so no link between components is lost. A
-       group of m linked near copies costs about m comparisons, as pairs within a component aren't needed; a document that
-       shares lists with the group without being linked is compared with all of its members there.
-    4. A pair's sizes, then the number of shared values among the least of the union sketch filter it; the full sets of the
-       rest are met by equi-joins and their Jaccard similarity decides.
-    Full sets are made only for documents in some list of two or more, picked in the scan by a slot filter of bounded size.
+       (shorter runs for the smallest sets, see runs_needed). Linked sets share such a run.
+    3. The overlaps: a list's leader is the member whose lists are longest in all, the one nearest to the middle of its near copies,
+       so that one leads most lists of a group. A leader's group is all members of the lists it leads; two documents that
+       share a list share a group. The overlap with the leader is estimated, then verified: one comparison per member.
+    4. Members in another component than their leader are compared with the whole group, those in the leader's component not
+       with each other. Blocks of members, dealt by hash and bounded in number and size, meet pairwise in a task, which goes on from the known
+       components and gives the links that join two. So a group costs its size, plus its size times the number of its members that
+       the leader doesn't link, over the block size, in rows shuffled; no pair becomes a row unless it is linked.
+    Every pair's union sketch filters first, the exact Jaccard of the full sets decides. Full sets are made only for documents
+    in some list of two or more, picked in the scan by a slot filter of bounded size.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    num, den = threshold.numerator, threshold.denominator
+    judge = Judge(threshold, keep, shared)
     rows = docs.select(F.col(id_col).alias("_id"), or_empty(F.col(text_col)).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     sk = scratch.write(sketches(rows, shingle, keep))
@@ -135,7 +206,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # sets of fewer than threshold / (1 - threshold) can only be linked with equal ones
     smallest = ceil(threshold / (1 - threshold))
     reps = sk.filter(F.col("n") >= smallest).join(classes.select(F.col("rep").alias("_id"), "n", "a", "b"), ["_id", "n", "a", "b"], "left_semi").dropDuplicates(["_id", "n", "a", "b"])
-    reps = scratch.write(reps.select("_id", "n", "hashes"))
     keys = []
     for r, sizes in sorted(runs_needed(threshold, keep, run).items()):
         least, most = min(sizes), keep if r < run else 1 << 62
@@ -143,72 +213,86 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         made = F.transform(at, _key_of(r))
         wanted = F.col("n").between(least, max(sizes) if r < run else most) & (F.size("hashes") >= r)
         keys.append(F.when(wanted, made).otherwise(F.array().cast("array<bigint>")))
-    entries = reps.select("_id", "n", F.explode(F.concat(*keys)).alias("value"))
-    long = entries.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value")
-    lists = scratch.write(entries.join(long, "value").select("value", "_id", "n"))
-
-    wanted = scratch.write(slot_filter(lists.select(slot_of(F.col("_id")).alias("slot")).distinct()))
-    picked = slot_test(rows.withColumn("_slot", slot_of(F.col("_id"))), "_slot", wanted, "_in").filter("_in").select("_id", "_text")
-    sets = scratch.write(sketches(picked, shingle, None).join(lists.select("_id", "n").distinct(), ["_id", "n"], "left_semi").select("_id", "n", "hashes"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked."""
-        pairs = scratch.write(pairs.select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q")).distinct())
-        one, two = (reps.select(F.col("_id").alias(x), F.col("hashes").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "pq")
-        met = pairs.join(one, "p").join(two, "q")
-        union = F.slice(F.array_sort(F.array_union("sp", "sq")), F.lit(1), F.when(F.greatest("np", "nq") <= keep, F.lit(2 * keep)).otherwise(keep))
-        common = F.size(F.array_intersect(union, F.array_intersect("sp", "sq")))
-        enough = F.when(F.greatest("np", "nq") <= keep, common * den >= F.size(union) * num).otherwise(common >= shared)
-        likely = scratch.write(met.filter(enough).select("p", "q").distinct())
-        one, two = (sets.select(F.col("_id").alias(x), F.col("hashes").alias(f"s{x}")) for x in "pq")
-        both = likely.join(one, "p").join(two, "q")
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                sp, sq = b.column(2), b.column(3)
-                good = []
-                for i in range(b.num_rows):
-                    x, y = sp[i].values.to_numpy(), sq[i].values.to_numpy()
-                    inner = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    good.append(den * inner >= num * (len(x) + len(y) - inner))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), b.column(1).filter(pa.array(good, pa.bool_()))], ["a", "b"])
-
-        out = scratch.write(both.select("p", "q", "sp", "sq").mapInArrow(verify, f"a {kind}, b {kind}"))
-        scratch.drop(pairs, likely)
-        return out
+    entries = reps.select("_id", F.explode(F.concat(*keys)).alias("value"))
+    long = entries.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1")
+    lists = scratch.write(entries.join(long, "value").select("value", "m", "_id"))
 
-    near = (F.least("n", "nl") * den >= F.greatest("n", "nl") * num) & (F.col("_id") != F.col("l"))
-    leader = lambda j: F.min(F.struct(F.xxhash64("_id", F.lit(j)).alias("h"), F.col("_id").alias("l"), F.col("n").alias("nl"), *([F.col("c").alias("cl")] if j else []))).alias(f"l{j}")
-    first = lists.groupBy("value").agg(leader(0)).select("value", "l0.l", "l0.nl")
-    edges = links(lists.join(first, "value").filter(near).select(F.col("_id").alias("p"), F.col("l").alias("q")))
+    weight = lists.groupBy("_id").agg(F.sum("m").alias("w"))
+    leader = lists.join(weight, "_id").groupBy("value").agg(F.max(F.struct("w", F.xxhash64("_id").alias("h"), "_id")).alias("x")).select("value", F.col("x._id").alias("l"))
+    groups = scratch.write(lists.join(leader, "value").select("l", "_id").distinct())
 
-    def split_lists(comps: DataFrame) -> DataFrame:
-        """Members of lists that still span components, with their component."""
-        own = lists.join(comps.select(F.col("node").alias("_id"), F.col("component").alias("c")), "_id", "left").withColumn("c", F.coalesce("c", "_id"))
-        own = scratch.write(own)
-        return scratch.write(own.join(own.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("value"), "value", "left_semi"))
+    picked = scratch.write(slot_filter(groups.select(slot_of(F.col("_id")).alias("slot")).distinct()))
+    some = slot_test(rows.withColumn("_slot", slot_of(F.col("_id"))), "_slot", picked, "_in").filter("_in").select("_id", "_text")
+    sets = scratch.write(sketches(some, shingle, None).join(groups.select("_id").distinct(), "_id", "left_semi").select("_id", "n", "hashes").dropDuplicates(["_id", "n"]))
 
+    def against_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (l, part, follows, _id, hashes), sorted: the leader's sets come first, its members stream past."""
+        key, own = None, []
+        for b in batches:
+            names, ids = list(zip(b.column("l").to_pylist(), b.column("part").to_pylist(), strict=True)), b.column("_id").to_pylist()
+            follows, hashes = b.column("follows").to_pylist(), b.column("hashes")
+            found = []
+            for i, k in enumerate(names):
+                if k != key:
+                    key, own = k, []
+                x = hashes[i].values.to_numpy()
+                if not follows[i]:
+                    own.append(x.copy())
+                elif judge.linked(x, own).any():
+                    found.append((ids[i], k[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], b.column("_id").type) for c in (0, 1)], ["a", "b"])
+
+    parts = groups.groupBy("l").agg(F.ceil(F.count("*") / (8 * block)).cast("int").alias("parts"))
+    part = F.when(F.col("_id") == F.col("l"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int")))
+    dealt = groups.join(parts, "l").select("l", "_id", (F.col("_id") != F.col("l")).alias("follows"), F.explode(part).alias("part"))
+    streams = dealt.join(sets.drop("n"), "_id").repartition("l", "part").sortWithinPartitions("l", "part", "follows").select("l", "part", "follows", "_id", "hashes")
+    edges = scratch.write(streams.mapInArrow(against_leader, f"a {kind}, b {kind}"))
     comps = scratch.write(components(edges, scratch))
-    mixed = split_lists(comps)
-    some = mixed.groupBy("value").agg(*[leader(j) for j in range(1, leaders + 1)]).select("value", F.explode(F.array(*[f"l{j}" for j in range(1, leaders + 1)])).alias("x")).select("value", "x.l", "x.nl", "x.cl").distinct()
-    more = links(mixed.join(some, "value").filter(near & (F.col("c") != F.col("cl"))).select(F.col("_id").alias("p"), F.col("l").alias("q")))
-    comps = scratch.write(components(_as_edges(comps).unionAll(more), scratch))
-    mixed = split_lists(comps)
-    other = mixed.select("value", F.col("_id").alias("l"), F.col("n").alias("nl"), F.col("c").alias("cl"))
-    last = links(mixed.join(other, "value").filter(near & (F.col("c") < F.col("cl"))).select(F.col("_id").alias("p"), F.col("l").alias("q")))
-    comps = scratch.write(components(_as_edges(comps).unionAll(last), scratch))
+
+    of = lambda key, name: comps.select(F.col("node").alias(key), F.col("component").alias(name))
+    known = groups.join(of("_id", "c"), "_id", "left").join(of("l", "cl"), "l", "left").select("l", "_id", F.coalesce("c", "_id").alias("c"), (~F.coalesce("c", "_id").eqNullSafe(F.coalesce("cl", "l"))).alias("apart"))
+    known = scratch.write(known.join(sets.select("_id", "n"), "_id").select("l", "_id", "c", "apart", "n"))
+    room = lambda cond: F.greatest(F.ceil(F.count_if(cond) / block), F.ceil(F.sum(F.when(cond, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
+    mixed = known.groupBy("l").agg(room(F.col("apart")).alias("out"), room(~F.col("apart")).alias("rest"), room(F.lit(True)).alias("all")).filter("out > 0")
+    # blocks 0 .. out - 1 hold those apart, the next ones the others; a group that is one block holds both in block 0
+    own = F.pmod(F.xxhash64("_id"), F.when(F.col("apart"), F.col("out")).otherwise(F.col("rest"))).cast("int")
+    to = F.struct
+    meets = F.when(F.col("all") == 1, F.array(to(F.lit(0).alias("i"), F.lit(0).alias("j")))).when(
+        F.col("apart"), F.transform(F.sequence(F.lit(0), F.col("out") + F.col("rest") - 1), lambda k: to(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("out") - 1), lambda k: to(k.alias("i"), (F.col("out") + own).alias("j"))))
+    at = F.when(F.col("all") == 1, F.lit(0)).when(F.col("apart"), own).otherwise(F.col("out") + own)
+    blocks = known.join(mixed, "l").select("l", "_id", "c", "apart", at.alias("at"), F.explode(meets).alias("x")).select("l", "_id", "c", "apart", "at", "x.i", "x.j")
+
+    def within_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (l, i, j, at, _id, c, apart, hashes), sorted: blocks i and j meet; links that join components come out."""
+        for g in _groups(batches, ["l", "i", "j"]):
+            ids, comp, at, apart = g["_id"].to_pylist(), g["c"].to_pylist(), g["at"].to_numpy(), g["apart"].to_numpy(zero_copy_only=False)
+            names = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+            label = np.array([names[c] for c in comp])
+            hashes = _arrays(g["hashes"])
+            i, j = g["i"][0].as_py(), g["j"][0].as_py()
+            found = []
+            for x in np.flatnonzero(apart & (at == i)):
+                other = np.flatnonzero((at == j) & (label != label[x]) & ((np.arange(len(at)) > x) | ~apart | (i != j)))
+                if not len(other):
+                    continue
+                for y in other[judge.linked(hashes[x], [hashes[k] for k in other])]:
+                    if label[y] != label[x]:
+                        found.append((ids[x], ids[y]))
+                        label[label == label[y]] = label[x]
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], g["_id"].type) for c in (0, 1)], ["a", "b"])
+
+    meeting = blocks.join(sets.drop("n"), "_id").repartition("l", "i", "j").sortWithinPartitions("l", "i", "j").select("l", "i", "j", "at", "_id", "c", "apart", "hashes")
+    more = scratch.write(meeting.mapInArrow(within_blocks, f"a {kind}, b {kind}"))
+    comps = scratch.write(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), scratch))
 
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("_component"))
     named = scratch.write(named)
     by_id = F.coalesce("_component", "_id")
     out = sk.select("_id", "n", "a", "b").join(named, ["n", "a", "b"], "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), by_id.alias("component_id"), F.col("_id").eqNullSafe(by_id).alias("kept"))
-    scratch.drop(classes, reps, sets, wanted)
+    scratch.drop(classes, lists, groups, known, sets, picked, edges, more)
     return out
 
 
-def _as_edges(comps: DataFrame) -> DataFrame:
-    return comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-
-
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import string
 import sys
 from collections import Counter, defaultdict
@@ -6,12 +7,14 @@ from fractions import Fraction
 from itertools import combinations
 from pathlib import Path
 
+import numpy as np
+
 sys.path.insert(0, str(Path(__file__).parent))
 from fixtures import frame, messy  # noqa: E402
 
 from tablewright.llm.exact_dedup import exact_dedup  # noqa: E402
 from tablewright.llm.line_dedup import line_dedup  # noqa: E402
-from tablewright.llm.near_dedup import near_duplicates, runs_needed  # noqa: E402
+from tablewright.llm.near_dedup import Judge, near_duplicates, runs_needed  # noqa: E402
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -80,8 +83,8 @@ def near_by_hand(rows, size, threshold=Fraction(4, 5)):
 
 def test_near(spark):
     rows = messy()
-    for size in (2, 5):
-        out = near_duplicates(frame(spark), shingle=size).collect()
+    for size, block in ((2, 512), (2, 8), (5, 8)):  # small blocks meet pairwise, and deal a leader's members
+        out = near_duplicates(frame(spark), shingle=size, block=block).collect()
         want = near_by_hand(rows, size)
         assert {r.doc_id: r.component_id for r in out if r.doc_id is not None} == want
         assert all(r.kept == (r.doc_id == r.component_id) for r in out)
@@ -91,6 +94,48 @@ def test_near(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_chains_and_far_members(spark):
+    """A group whose members stray from the middle, so that its leader links only some: blocks find the other links."""
+    rng = random.Random(3)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 14)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(w), None, None, 0, None, None, None, None))
+    want = near_by_hand(rows, 2)
+    assert 1 < len(set(want.values())) < 150
+    for block in (512, 16):
+        assert {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), shingle=2, block=block).collect()} == want
+
+
+def test_estimate_is_that_of_the_union_sketch():
+    rng = random.Random(5)
+    judge = Judge(Fraction(4, 5), 48, 23)
+    for _ in range(300):
+        pool = rng.sample(range(10**6), 150)
+        x, y = (np.array(sorted(rng.sample(pool, rng.randint(49, 150)))) for _ in range(2))
+        least = set(sorted({*x[:48].tolist(), *y[:48].tolist()})[:48])
+        want = len(least & set(x[:48].tolist()) & set(y[:48].tolist())) >= 23
+        got = judge._estimate(x[:48], [y[:48]], np.array([len(x) + len(y)]), np.array([max(len(x), len(y))]))
+        assert got.tolist() == [want]
+        inner = len(set(x.tolist()) & set(y.tolist()))
+        sure = Fraction(inner, len(x) + len(y) - inner) >= Fraction(4, 5)
+        assert judge.linked(x, [y]).tolist() == [sure and want and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y))]
+
+
+def test_recall_of_planted_links():
+    """Pairs of 300 shingles just at or above 0.8: the share that meets in some list and passes the estimate, over hashes."""
+    rng, judge, missed, n = np.random.default_rng(7), Judge(Fraction(4, 5), 48, 23), 0, 4000
+    for k in range(n):
+        differ = 33 - k % 8  # similarity 0.802 to 0.84
+        x = np.unique(rng.integers(0, 1 << 62, 300))
+        y = np.sort(np.concatenate([rng.permutation(x)[differ:], rng.integers(0, 1 << 62, differ)]))
+        runs = [{tuple(s[i : i + 3].tolist()) for i in range(46)} for s in (x, y)]
+        missed += not (runs[0] & runs[1] and judge.linked(x, [y])[0])
+    assert missed == 0
+
+
 def test_near_small_sets_lose_nothing(spark):
     """Sets of 4 to 12 shingles, each against itself less or plus a word: links are all found, whatever the hashes."""
     rows = []
