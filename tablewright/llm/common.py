@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -29,15 +31,26 @@ def or_empty(c: Column) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own only where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one of our own if driver and executors are one
+    process (tests); on a cluster that is an error."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tablewright-')}"
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def fresh(name: str, *taken: list[str]) -> str:
+    """The name, lengthened until no column (whatever its case) has it."""
+    used = {c.lower() for names in taken for c in names}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written under the shared folder. A lost executor costs a reread, never a recomputation.
 
@@ -69,6 +82,12 @@ class Scratch:
                 path = jvm.org.apache.hadoop.fs.Path(p)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Has Spark delete the shuffle files of what has been written: it does so once the driver's garbage is collected, which by
+        itself may be half an hour later."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 # A slot filter is a bitmap of a fixed number of slots, as rows (word, mask) of 64 slots each. Its size is bounded by
 # its number of slots, whatever the input: SLOTS / 64 rows of 16 bytes, 1 MB. A row whose slot is clear certainly
@@ -94,9 +113,15 @@ def slot_of(*cols: Column, slots: int = SLOTS) -> Column:
 
 def without_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """docs without the rows whose id is in ids (one column). Rows that a slot filter clears pass without a shuffle; the
-    rest, few of which are false hits, meet the ids in an anti-join."""
+    rest, few of which are false hits, meet the ids in an anti-join. Columns of docs may have any names."""
     ids = ids.toDF("_gone")
     words = slot_filter(ids.select(slot_of(F.col("_gone")).alias("slot")))
-    marked = slot_test(docs.withColumn("_slot", slot_of(F.col(id_col))), "_slot", words, "_maybe")
-    sure = marked.filter(~F.col("_maybe")).select(*docs.columns)
-    return sure.unionAll(marked.filter("_maybe").join(ids, F.col(id_col) == F.col("_gone"), "left_anti").select(*docs.columns))
+    rows = docs.select(F.col(id_col).alias("_id"), packed(docs))
+    marked = slot_test(rows.withColumn("_slot", slot_of(F.col("_id"))), "_slot", words, "_maybe")
+    sure = marked.filter(~F.col("_maybe")).select("_row.*")
+    return sure.unionAll(marked.filter("_maybe").join(ids, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*"))
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one, _row, so that names of one's own beside it can't clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,6 @@ EM_STEPS = 12
 PENALTY = 3.0
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _CLEAN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -47,7 +45,7 @@ class LanguageModel:
         proportions are fitted again, and the set with the greatest log-likelihood less PENALTY * log(n) per language is
         taken, ending with the first set that isn't better than the one before.
         """
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return {}
         grams = trigrams(text)
         if not len(grams):
@@ -110,22 +108,25 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
     return LanguageModel(names, counts)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs' columns, with lang_pred (the language of the greatest proportion, or und), score (its proportion; 0 for und)
-    and lang_mix (language to proportion). Row by row; null texts, and texts without a letter, are und."""
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", into: str = "language") -> DataFrame:
+    """docs' columns and a struct `into` (in place of a column of that name) of lang_pred (the language of the greatest proportion, or und),
+    score (its proportion; 0 for und) and lang_mix (language to proportion).
+
+    Row by row, so repeated rows get the same and an empty table stays empty; only the text goes to Python. Null texts, and texts
+    without a letter (Unicode category L; digits, symbols and marks are none), are und; so is every text if no language was learned.
+    A text of any length is read whole, in memory proportional to it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("lang_mix", pa.map_(pa.string(), pa.float64()))])
 
-    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for b in batches:
-            mixes = [model.mixture(t.as_py()) for t in b.column(b.num_columns - 1)]
-            top = [max(m.items(), key=lambda x: x[1]) if m else (UNKNOWN, 0.0) for m in mixes]
-            cols = [pa.array([x[0] for x in top], pa.string()), pa.array([min(1.0, x[1]) for x in top], pa.float64()), pa.array([list(m.items()) for m in mixes], pa.map_(pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + cols, b.schema.names[:-1] + ["lang_pred", "score", "lang_mix"])
+    def infer(texts: pa.Array) -> pa.Array:
+        mixes = [shared.value.mixture(t.as_py()) for t in texts]
+        top = [max(m.items(), key=lambda x: x[1]) if m else (UNKNOWN, 0.0) for m in mixes]
+        return pa.array([{"lang_pred": name, "score": min(1.0, share), "lang_mix": list(m.items())} for (name, share), m in zip(top, mixes, strict=True)], kind)
 
-    rest = docs.drop("lang_pred", "score", "lang_mix")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return rest.withColumn("_identify_text", F.col(text_col).cast("string")).mapInArrow(infer, f"{kinds}, lang_pred string, score double, lang_mix map<string,double>")
+    # not deterministic only in name: Spark would else run it once for a filter and again for its columns
+    found = F.arrow_udf(infer, "struct<lang_pred:string,score:double,lang_mix:map<string,double>>").asNondeterministic()
+    return docs.withColumn(into, found(F.col(text_col).cast("string")))
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
@@ -135,4 +136,4 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4, 2).alias("held_out"))
     model = learn(docs.filter("not held_out"))
-    return identify(docs.select("doc_id", "held_out", "text"), model).drop("text", "lang_mix")
+    return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "language.lang_pred", "language.score")

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import or_empty, table
 from .language_id import held_out
 
-#: Bounds of the fit: documents of each label, characters and lines of each. Scoring reads every line of every document.
+#: Bound of the fit: labelled documents of each label, read whole. Scoring reads every line of every document.
 FIT_DOCS = 1500
-FIT_CHARS = 200_000
-FIT_LINES = 64
 FIT_STEPS = 150
 
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 upper, 2 lower, 3 digit, 4 white space, 5 symbol, 6 beyond ASCII
@@ -89,26 +85,33 @@ class LineCRF:
         return float(np.average(self.marginals(self.odds(features)), weights=length + 1))
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], steps: int = FIT_STEPS, lines: int = FIT_LINES) -> LineCRF:
-        """Maximum likelihood with a small L2 penalty, by Adam on the whole sample. A document's lines all carry its label; at
-        most `lines` of them are used. Without both labels the score is constant."""
+    def fit(cls, texts: list[str], labels: list[int], steps: int = FIT_STEPS) -> LineCRF:
+        """Maximum likelihood with a small L2 penalty, by Adam on all lines of the sample. A document's lines all carry its label.
+        Documents of like length are padded together. Without both labels the score is constant."""
         if len(set(labels)) < 2:
             return cls(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 4.0 if sum(labels) or not labels else -4.0, 0.0)
-        seqs = [line_features(t)[0][:lines] for t in texts]
+        seqs = [line_features(t)[0] for t in texts]
         flat = np.concatenate(seqs)
-        centre, scale = flat.mean(0), flat.std(0) + 1e-3
-        n, longest = len(seqs), max(map(len, seqs))
-        x, there = np.zeros((n, longest, WIDTH), np.float32), np.zeros((n, longest), np.float32)
+        centre, scale, total = flat.mean(0), flat.std(0) + 1e-3, len(flat)
+        by_size: dict[int, list[int]] = {}
         for i, s in enumerate(seqs):
-            x[i, : len(s)], there[i, : len(s)] = (s - centre) / scale, 1
-        y = np.array(labels, np.float32)[:, None]
+            by_size.setdefault(len(s).bit_length(), []).append(i)
+        padded = []
+        for some in by_size.values():
+            longest = max(len(seqs[i]) for i in some)
+            x, there = np.zeros((len(some), longest, WIDTH), np.float32), np.zeros((len(some), longest), np.float32)
+            for k, i in enumerate(some):
+                x[k, : len(seqs[i])], there[k, : len(seqs[i])] = (seqs[i] - centre) / scale, 1
+            padded.append((x, there, np.array([labels[i] for i in some], np.float32)[:, None]))
         p, m, v = np.zeros(WIDTH + 2), np.zeros(WIDTH + 2), np.zeros(WIDTH + 2)
-        total = there.sum()
         for k in range(1, steps + 1):
-            odds = (x @ p[:WIDTH].astype(np.float32) + p[WIDTH]) * there
-            good, differ = cls._expect(odds, there, p[-1])
-            rest = (good - y) * there
-            grad = np.concatenate([np.einsum("nt,ntd->d", rest, x), [rest.sum(), differ]]) / total + 1e-4 * p
+            grad = np.zeros(WIDTH + 2)
+            for x, there, y in padded:
+                odds = (x @ p[:WIDTH].astype(np.float32) + p[WIDTH]) * there
+                good, differ = cls._expect(odds, there, p[-1])
+                rest = (good - y) * there
+                grad += np.concatenate([np.tensordot(rest, x, 2), [rest.sum(), differ]])
+            grad = grad / total + 1e-4 * p
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             p -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         return cls(centre, scale, p[:WIDTH].copy(), float(p[WIDTH]), float(min(0.0, p[-1])))
@@ -131,36 +134,36 @@ class LineCRF:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS) -> LineCRF:
-    """Fits on the fit_docs labelled documents of each label whose hashed ids are least. Only those texts move: their ids, a
-    bounded list, are broadcast to the scan."""
-    marks = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    """Fits on the fit_docs labelled ids of each label whose hashes are least, one text of each: where rows repeat an id, the least
+    of theirs. Labels other than 0 and 1 and null ids are passed over; null texts are empty. Only those texts move: their ids, a
+    bounded list, are broadcast to the scan. Of empty tables, or without both labels, comes a model of constant score."""
+    marks = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).distinct()
     some = None
     for y in (0, 1):
         part = marks.filter(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(fit_docs)
         some = part if some is None else some.unionAll(part)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id").select("_id", F.substring("_text", 1, FIT_CHARS).alias("_text"), "_label").collect()
-    rows.sort(key=lambda r: (r["_id"], r["_label"], r["_text"] or ""))
-    return LineCRF.fit([r["_text"] or "" for r in rows], [r["_label"] for r in rows])
+    rows = docs.select(F.col(id_col).alias("_id"), or_empty(F.col(text_col).cast("string")).alias("_text")).join(F.broadcast(some), "_id")
+    rows = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
+    rows.sort(key=lambda r: (r["_id"], r["_label"]))
+    return LineCRF.fit([r["_text"] for r in rows], [r["_label"] for r in rows])
+
 
+def score_quality(docs: DataFrame, model: LineCRF, text_col: str = "text", into: str = "score") -> DataFrame:
+    """docs' columns and `into` (in place of a column of that name), the document's quality from 0 to 1.
 
-def score_quality(docs: DataFrame, model: LineCRF, text_col: str = "text") -> DataFrame:
-    """docs' columns with score, the document's quality from 0 to 1. Row by row; null is the empty text, one empty line."""
+    Row by row, so repeated rows get the same and an empty table stays empty; only the text goes to Python. Null is the empty text,
+    one empty line. A text of any length is read whole, in memory proportional to it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for b in batches:
-            scores = [min(1.0, max(0.0, model.score(t.as_py()))) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(scores, pa.float64())], b.schema.names[:-1] + ["score"])
+    def infer(texts: pa.Array) -> pa.Array:
+        return pa.array([min(1.0, max(0.0, shared.value.score(t.as_py()))) for t in texts], pa.float64())
 
-    rest = docs.drop("score")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return rest.withColumn("_score_text", F.col(text_col).cast("string")).mapInArrow(infer, f"{kinds}, score double")
+    return docs.withColumn(into, F.arrow_udf(infer, "double").asNondeterministic()(F.col(text_col).cast("string")))
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learned = labels.filter(~held_out("doc_id", 3, 1))
     model = fit_quality(docs.filter(~held_out("doc_id", 3, 1)), learned)
-    scored = score_quality(docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text"), model).drop("text")
+    scored = score_quality(docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text"), model).select("doc_id", "held_out", "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -37,8 +37,9 @@ def offset(sk: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), sk)), 1, 4), 16, 10).cast("double") / 65536
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = "mix", carry: bool = False) -> DataFrame:
-    """One row per row of docs: the id, size, source_size, target, copies, taken; with carry, all columns of docs and copies.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = "mix", carry: str | None = None) -> DataFrame:
+    """One row per row of docs: the id, size, source_size, target, copies, taken; with carry, all columns of docs and the copies in a
+    column of the name given (in place of one that docs has). An empty table gives no rows.
 
     A document's size is its number of words (null text: 0). Each of a source's documents is expected target /
     source_size times. In order of (size, md5 of the id, id), the running sum of expected copies plus the source's one
@@ -70,7 +71,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     e, u = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0), offset(F.col("_sk"), seed)
     copies = F.least(F.floor(e * F.col("_k") + u) - F.floor(e * (F.col("_k") - 1) + u), F.lit(cap)).cast("long")
     if carry:
-        return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "copies"], copies.alias("copies"))
+        return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != carry], copies.alias(carry))
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 

@@ -29,6 +29,8 @@ RUN = 3
 BLOCK = 512
 #: Shingles of those sets, on average; 24 bytes each.
 BLOCK_SHINGLES = 2_000_000
+#: Slots of the filters, at most 4 MB broadcast.
+FILTER = 1 << 24
 #: Words whose hashes a task remembers, about 30 MB.
 WORDS = 200_000
 
@@ -171,8 +173,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [x.values.to_numpy() for chunk in column.chunks for x in chunk]
+def _edges(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], kind) for c in (0, 1)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, keep: int = SKETCH, shared: int = SHARED, run: int = RUN, block: int = BLOCK) -> DataFrame:
@@ -188,13 +190,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        (shorter runs for the smallest sets, see runs_needed). Linked sets share such a run.
     3. The overlaps: a list's leader is the member whose lists are longest in all, the one nearest to the middle of its near copies,
        so that one leads most lists of a group. A leader's group is all members of the lists it leads; two documents that
-       share a list share a group. The overlap with the leader is estimated, then verified: one comparison per member.
-    4. Members in another component than their leader are compared with the whole group, those in the leader's component not
-       with each other. Blocks of members, dealt by hash and bounded in number and size, meet pairwise in a task, which goes on from the known
-       components and gives the links that join two. So a group costs its size, plus its size times the number of its members that
-       the leader doesn't link, over the block size, in rows shuffled; no pair becomes a row unless it is linked.
-    Every pair's union sketch filters first, the exact Jaccard of the full sets decides. Full sets are made only for documents
-    in some list of two or more, picked in the scan by a slot filter of bounded size.
+       share a list share a group. A group of at most `block` members is compared in one task, but for pairs that are
+       connected by then. In a larger one each member is compared with the leader, in a stream that any number of tasks share.
+    4. In larger groups, members in another component than their leader are compared with the whole group, those in the leader's
+       component not with each other. Blocks of members, dealt by hash and bounded in number and size, meet pairwise in a
+       task, which goes on from the known components and gives the links that join two. So a large group costs its size, plus its
+       size times the number of members that the leader doesn't link, over the block size, in rows shuffled; no pair becomes a
+       row unless it is linked.
+    Every pair's union sketch filters first, the exact Jaccard of the full sets decides. Full sets are made where they meet, of the texts
+    of documents in some list of two or more, which move in their place as they are half as large. A slot filter of bounded size picks
+    those in the scan; once it is full it lets others through, to be dropped by the join.
     """
     scratch = Scratch(docs.sparkSession, "near")
     judge = Judge(threshold, keep, shared)
@@ -203,9 +208,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sk = scratch.write(sketches(rows, shingle, keep))
     classes = scratch.write(sk.filter("n > 0").groupBy("n", "a", "b").agg(F.min("_id").alias("rep")))
 
-    # sets of fewer than threshold / (1 - threshold) can only be linked with equal ones
+    # sets of fewer than threshold / (1 - threshold) can only be linked with equal ones; the filter clears most sets of being copies
     smallest = ceil(threshold / (1 - threshold))
-    reps = sk.filter(F.col("n") >= smallest).join(classes.select(F.col("rep").alias("_id"), "n", "a", "b"), ["_id", "n", "a", "b"], "left_semi").dropDuplicates(["_id", "n", "a", "b"])
+    name = slot_of(F.col("n"), F.col("a"), F.col("b"), slots=FILTER)
+    copied = scratch.write(slot_filter(sk.filter(F.col("n") >= smallest).groupBy("n", "a", "b").agg(F.count("*").alias("m")).filter("m > 1").select(name.alias("slot")).distinct()))
+    marked = slot_test(sk.filter((F.col("n") >= smallest) & F.col("_id").isNotNull()).withColumn("_slot", name), "_slot", copied, "_in")
+    copies = marked.filter("_in").join(classes.select(F.col("rep").alias("_id"), "n", "a", "b"), ["_id", "n", "a", "b"], "left_semi").dropDuplicates(["_id", "n", "a", "b"])
+    reps = marked.filter("not _in").select("_id", "n", "hashes").unionAll(copies.select("_id", "n", "hashes"))
     keys = []
     for r, sizes in sorted(runs_needed(threshold, keep, run).items()):
         least, most = min(sizes), keep if r < run else 1 << 62
@@ -213,76 +222,98 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         made = F.transform(at, _key_of(r))
         wanted = F.col("n").between(least, max(sizes) if r < run else most) & (F.size("hashes") >= r)
         keys.append(F.when(wanted, made).otherwise(F.array().cast("array<bigint>")))
-    entries = reps.select("_id", F.explode(F.concat(*keys)).alias("value"))
+    entries = reps.select("_id", "n", F.explode(F.concat(*keys)).alias("value"))
     long = entries.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1")
-    lists = scratch.write(entries.join(long, "value").select("value", "m", "_id"))
+    lists = scratch.write(entries.join(long, "value").select("value", "m", "_id", "n"))
+    scratch.release()
 
     weight = lists.groupBy("_id").agg(F.sum("m").alias("w"))
     leader = lists.join(weight, "_id").groupBy("value").agg(F.max(F.struct("w", F.xxhash64("_id").alias("h"), "_id")).alias("x")).select("value", F.col("x._id").alias("l"))
-    groups = scratch.write(lists.join(leader, "value").select("l", "_id").distinct())
+    groups = scratch.write(lists.join(leader, "value").select("l", "_id", "n").distinct())
+
+    picked = scratch.write(slot_filter(groups.select(slot_of(F.col("_id"), slots=FILTER).alias("slot")).distinct()))
+    texts = lambda words: slot_test(rows.withColumn("_slot", slot_of(F.col("_id"), slots=FILTER)), "_slot", words, "_in").filter("_in").select("_id", "_text")
+
+    def within_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (l, part, whole, follows, _id, n, _text), sorted: the leader comes first. Whole groups are gathered; else the members stream
+        past the leader's sets."""
+        key, held, own, seen = None, [], [], {}
+
+        def settle() -> list[tuple]:
+            found, label = [], np.arange(len(held))
+            for x in range(len(held)):
+                other = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
+                if len(other):
+                    for y in other[judge.linked(held[x][1], [held[k][1] for k in other])]:
+                        if label[y] != label[x]:
+                            found.append((held[x][0], held[y][0]))
+                            label[label == label[y]] = label[x]
+            held.clear()
+            return found
 
-    picked = scratch.write(slot_filter(groups.select(slot_of(F.col("_id")).alias("slot")).distinct()))
-    some = slot_test(rows.withColumn("_slot", slot_of(F.col("_id"))), "_slot", picked, "_in").filter("_in").select("_id", "_text")
-    sets = scratch.write(sketches(some, shingle, None).join(groups.select("_id").distinct(), "_id", "left_semi").select("_id", "n", "hashes").dropDuplicates(["_id", "n"]))
-
-    def against_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (l, part, follows, _id, hashes), sorted: the leader's sets come first, its members stream past."""
-        key, own = None, []
         for b in batches:
-            names, ids = list(zip(b.column("l").to_pylist(), b.column("part").to_pylist(), strict=True)), b.column("_id").to_pylist()
-            follows, hashes = b.column("follows").to_pylist(), b.column("hashes")
             found = []
-            for i, k in enumerate(names):
+            ids, text, n, whole, follows = b.column("_id"), b.column("_text"), *(b.column(c).to_pylist() for c in ("n", "whole", "follows"))
+            for i, k in enumerate(zip(b.column("l").to_pylist(), b.column("part").to_pylist(), strict=True)):
                 if k != key:
+                    found += settle()
                     key, own = k, []
-                x = hashes[i].values.to_numpy()
-                if not follows[i]:
-                    own.append(x.copy())
+                x = shingle_set(text[i].as_py(), shingle, seen)
+                if len(x) != n[i]:  # another text of the same id
+                    continue
+                if whole[i]:
+                    held.append((ids[i].as_py(), x))
+                elif not follows[i]:
+                    own.append(x)
                 elif judge.linked(x, own).any():
-                    found.append((ids[i], k[0]))
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], b.column("_id").type) for c in (0, 1)], ["a", "b"])
+                    found.append((ids[i].as_py(), k[0]))
+            yield _edges(found, ids.type)
+        if held:
+            yield _edges(settle(), ids.type)
 
-    parts = groups.groupBy("l").agg(F.ceil(F.count("*") / (8 * block)).cast("int").alias("parts"))
+    parts = groups.groupBy("l").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), (F.sum("n") <= BLOCK_SHINGLES).alias("few")).select("l", "parts", ((F.col("parts") == 1) & F.col("few")).alias("whole"))
     part = F.when(F.col("_id") == F.col("l"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int")))
-    dealt = groups.join(parts, "l").select("l", "_id", (F.col("_id") != F.col("l")).alias("follows"), F.explode(part).alias("part"))
-    streams = dealt.join(sets.drop("n"), "_id").repartition("l", "part").sortWithinPartitions("l", "part", "follows").select("l", "part", "follows", "_id", "hashes")
-    edges = scratch.write(streams.mapInArrow(against_leader, f"a {kind}, b {kind}"))
+    dealt = scratch.write(groups.join(parts, "l").select("l", "_id", "n", "whole", (F.col("_id") != F.col("l")).alias("follows"), F.explode(part).alias("part")))
+    streams = dealt.join(texts(picked), "_id").repartition("l", "part").sortWithinPartitions("l", "part", "follows").select("l", "part", "whole", "follows", "_id", "n", "_text")
+    edges = scratch.write(streams.mapInArrow(within_groups, f"a {kind}, b {kind}"))
+    scratch.release()
     comps = scratch.write(components(edges, scratch))
 
     of = lambda key, name: comps.select(F.col("node").alias(key), F.col("component").alias(name))
-    known = groups.join(of("_id", "c"), "_id", "left").join(of("l", "cl"), "l", "left").select("l", "_id", F.coalesce("c", "_id").alias("c"), (~F.coalesce("c", "_id").eqNullSafe(F.coalesce("cl", "l"))).alias("apart"))
-    known = scratch.write(known.join(sets.select("_id", "n"), "_id").select("l", "_id", "c", "apart", "n"))
+    large = dealt.filter("not whole and (follows or part = 0)").select("l", "_id", "n")
+    known = large.join(of("_id", "c"), "_id", "left").join(of("l", "cl"), "l", "left")
+    known = scratch.write(known.select("l", "_id", "n", F.coalesce("c", "_id").alias("c"), (~F.coalesce("c", "_id").eqNullSafe(F.coalesce("cl", "l"))).alias("apart")))
     room = lambda cond: F.greatest(F.ceil(F.count_if(cond) / block), F.ceil(F.sum(F.when(cond, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
-    mixed = known.groupBy("l").agg(room(F.col("apart")).alias("out"), room(~F.col("apart")).alias("rest"), room(F.lit(True)).alias("all")).filter("out > 0")
-    # blocks 0 .. out - 1 hold those apart, the next ones the others; a group that is one block holds both in block 0
-    own = F.pmod(F.xxhash64("_id"), F.when(F.col("apart"), F.col("out")).otherwise(F.col("rest"))).cast("int")
-    to = F.struct
-    meets = F.when(F.col("all") == 1, F.array(to(F.lit(0).alias("i"), F.lit(0).alias("j")))).when(
-        F.col("apart"), F.transform(F.sequence(F.lit(0), F.col("out") + F.col("rest") - 1), lambda k: to(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("out") - 1), lambda k: to(k.alias("i"), (F.col("out") + own).alias("j"))))
-    at = F.when(F.col("all") == 1, F.lit(0)).when(F.col("apart"), own).otherwise(F.col("out") + own)
-    blocks = known.join(mixed, "l").select("l", "_id", "c", "apart", at.alias("at"), F.explode(meets).alias("x")).select("l", "_id", "c", "apart", "at", "x.i", "x.j")
+    mixed = known.groupBy("l").agg(room(F.col("apart")).alias("out"), room(~F.col("apart")).alias("rest")).filter("out > 0")
+    # blocks 0 .. out - 1 hold those apart, the next ones the others
+    at = F.when(F.col("apart"), F.pmod(F.xxhash64("_id"), F.col("out"))).otherwise(F.col("out") + F.pmod(F.xxhash64("_id"), F.col("rest"))).cast("int")
+    last = F.when(F.col("apart"), F.col("out") + F.col("rest") - 1).otherwise(F.col("out") - 1)
+    meets = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.least(at, k).alias("i"), F.greatest(at, k).alias("j")))
+    blocks = known.join(mixed, "l").select("l", "_id", "n", "c", "apart", at.alias("at"), F.explode(meets).alias("x")).select("l", "_id", "n", "c", "apart", "at", "x.i", "x.j")
 
     def within_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (l, i, j, at, _id, c, apart, hashes), sorted: blocks i and j meet; links that join components come out."""
+        """Rows (l, i, j, at, _id, n, c, apart, _text), sorted: blocks i and j meet; links that join components come out."""
+        seen: dict[bytes, int] = {}
         for g in _groups(batches, ["l", "i", "j"]):
             ids, comp, at, apart = g["_id"].to_pylist(), g["c"].to_pylist(), g["at"].to_numpy(), g["apart"].to_numpy(zero_copy_only=False)
             names = {c: k for k, c in enumerate(dict.fromkeys(comp))}
             label = np.array([names[c] for c in comp])
-            hashes = _arrays(g["hashes"])
+            hashes = [shingle_set(t.as_py(), shingle, seen) for t in g["_text"]]
+            own = np.fromiter(map(len, hashes), np.int64) == g["n"].to_numpy()  # else another text of the same id
             i, j = g["i"][0].as_py(), g["j"][0].as_py()
             found = []
-            for x in np.flatnonzero(apart & (at == i)):
-                other = np.flatnonzero((at == j) & (label != label[x]) & ((np.arange(len(at)) > x) | ~apart | (i != j)))
+            for x in np.flatnonzero(own & apart & (at == i)):
+                other = np.flatnonzero(own & (at == j) & (label != label[x]) & ((np.arange(len(at)) > x) | (i != j)))
                 if not len(other):
                     continue
                 for y in other[judge.linked(hashes[x], [hashes[k] for k in other])]:
                     if label[y] != label[x]:
                         found.append((ids[x], ids[y]))
                         label[label == label[y]] = label[x]
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], g["_id"].type) for c in (0, 1)], ["a", "b"])
+            yield _edges(found, g["_id"].type)
 
-    meeting = blocks.join(sets.drop("n"), "_id").repartition("l", "i", "j").sortWithinPartitions("l", "i", "j").select("l", "i", "j", "at", "_id", "c", "apart", "hashes")
+    far = scratch.write(slot_filter(known.select(slot_of(F.col("_id"), slots=FILTER).alias("slot")).distinct()))
+    meeting = blocks.join(texts(far), "_id").repartition("l", "i", "j").sortWithinPartitions("l", "i", "j").select("l", "i", "j", "at", "_id", "n", "c", "apart", "_text")
     more = scratch.write(meeting.mapInArrow(within_blocks, f"a {kind}, b {kind}"))
     comps = scratch.write(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), scratch))
 
@@ -290,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = scratch.write(named)
     by_id = F.coalesce("_component", "_id")
     out = sk.select("_id", "n", "a", "b").join(named, ["n", "a", "b"], "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), by_id.alias("component_id"), F.col("_id").eqNullSafe(by_id).alias("kept"))
-    scratch.drop(classes, lists, groups, known, sets, picked, edges, more)
+    scratch.drop(classes, copied, lists, groups, dealt, known, picked, far, edges, more)
     return out
 
 

@@ -20,8 +20,8 @@ MAX_TOKENS = 2048
 VOCABULARY = "byte_bpe_50k"
 #: Pieces packed together; more give hardly fewer sequences, fewer leave a part-filled sequence more often.
 GROUP = 20_000
-#: Words whose ids a worker remembers, about 150 MB; the first met, as common words come early.
-CACHE = 700_000
+#: Words whose ids a worker remembers, about 20 MB each for words with and without a space; the first met, as common words come early.
+CACHE = 100_000
 
 
 class _Odd(Exception):
@@ -291,11 +291,12 @@ def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> lis
 
 
 def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to rows (_id, piece, length, ids_crc32, ...). Full pieces are sequences of their own; the
-    others are dealt by hash into groups of about `group` pieces, each packed in one task of bounded size."""
+    """Adds sequence_id and offset to rows (_row, _id, piece, length, ids_crc32, ...); _row tells the rows apart and must be the same at every
+    read, as in a written table. Full pieces are sequences of their own; the others are dealt by hash into groups of about `group`
+    pieces, each packed in one task of bounded size."""
     small = pieces.filter(F.col("length") < max_tokens)
     groups = max(1, ceil(small.count() / group))
-    keyed = small.withColumn("_row", F.monotonically_increasing_id()).withColumn("_group", F.pmod(F.xxhash64("_id", "piece", "ids_crc32", "_row"), F.lit(groups)))
+    keyed = small.withColumn("_group", F.pmod(F.xxhash64("_id", "piece", "ids_crc32", "_row"), F.lit(groups)))
 
     def solve(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_id", "piece", "_row"], ignore_index=True)
@@ -308,7 +309,7 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, group: int = GROUP) ->
 
     placed = keyed.groupBy("_group").applyInPandas(solve, "_row long, sequence_id long, offset long")
     small = keyed.drop("_group").join(placed, "_row").drop("_row")
-    full = pieces.filter(F.col("length") >= max_tokens).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    full = pieces.filter(F.col("length") >= max_tokens).withColumns({"sequence_id": -1 - F.col("_row"), "offset": F.lit(0).cast("long")}).drop("_row")
     return small.unionByName(full)
 
 
@@ -320,7 +321,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     vocabulary's .json, by default the installed one. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    pieces = scratch.write(token_pieces(docs, id_col, text_col, max_tokens, tokenizer, with_ids=with_ids))
+    pieces = scratch.write(token_pieces(docs, id_col, text_col, max_tokens, tokenizer, with_ids=with_ids).withColumn("_row", F.monotonically_increasing_id()))
     return pack(pieces, max_tokens, group).withColumnRenamed("_id", id_col)
 
 

@@ -1,7 +1,10 @@
 import sys
 from collections import Counter
+from functools import reduce
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, str(Path(__file__).parent))
 from fixtures import messy  # noqa: E402
 from test_dedup import LOWER, near_by_hand  # noqa: E402
@@ -36,6 +39,21 @@ def test_stages(spark):
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in mixed.collect())
 
 
+CLASHES = ["score", "lang_pred", "lang_mix", "language", "copies", "copies_", "each", "_slot", "_maybe", "_sha", "_row", "_id", "_text", "_copy", "_b", "_k", "_gone", "kept", "size", "LANGUAGE_", "Copies__"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    docs = documents(spark)
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1))))
+    for name in ("language_id", "exact_dedup", "near_dedup", "mix_sources"):
+        docs = through(spark, name, docs).cache()
+        assert docs.columns == [*documents(spark).columns, *CLASHES]
+        bad = [F.col(f"`{c}`") != F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1))) for c in CLASHES]
+        assert docs.count() and docs.filter(reduce(lambda a, b: a | b, bad)).count() == 0
+    assert through(spark, "pack", docs).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 def test_run_and_empty(spark, tmp_path):
     documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

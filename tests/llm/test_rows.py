@@ -82,11 +82,15 @@ def test_language(spark):
     said = [(i, " ".join(rng.permutation((en if i % 2 else de).split())), "en" if i % 2 else "de") for i in range(200)]
     model = language_id.learn(spark.createDataFrame(said, "doc_id long, text string, lang string"))
     asked = [(0, en.upper(), None), (1, de, "en"), (2, None, "en"), (3, "", None), (4, "123 !!", "de"), (5, (en + " ") * 40 + (de + " ") * 20, None), (6, en * 500, None)]
-    out = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(asked, "doc_id long, text string, score string"), model).collect()}
-    assert [out[i].lang_pred for i in range(7)] == ["en", "de", "und", "und", "und", "en", "en"]
+    asked += [(7, "² ½ ① 12", None), (8, "٣٤", None), (9, "é", None)]
+    rows = language_id.identify(spark.createDataFrame(asked, "doc_id long, text string, score string"), model)
+    assert rows.columns == ["doc_id", "text", "score", "language"]
+    out = {r.doc_id: r.language for r in rows.collect()}
+    assert [out[i].lang_pred for i in range(9)] == ["en", "de", "und", "und", "und", "en", "en", "und", "und"] and out[9].lang_pred != "und"
+    assert language_id.identify(rows.limit(0), model, into="Score").count() == 0
     assert out[2].score == 0 and abs(out[5].lang_mix["de"] - 1 / 3) < 0.1 and set(out[0].lang_mix) == {"en"}
     nothing = language_id.learn(spark.createDataFrame([], "text string, lang string"))
-    assert language_id.identify(frame(spark), nothing).filter("lang_pred <> 'und'").count() == 0
+    assert language_id.identify(frame(spark), nothing).filter("language.lang_pred <> 'und'").count() == 0
 
 
 def test_mixture_is_a_maximum():
@@ -196,6 +200,14 @@ def test_marginals_by_enumeration():
     assert 0 < differ < 3
 
 
+def test_fit_reads_whole_documents():
+    """Bad lines that come late teach as those that come early do."""
+    clean, junk = "these are plain words of an even line of text", "$$ ## !! 99 || && ** %%"
+    texts = ["\n".join([clean] * 100)] * 20 + ["\n".join([clean] * 80 + [junk] * 120)] * 20
+    crf = line_crf.LineCRF.fit(texts, [1] * 20 + [0] * 20)
+    assert crf.score("\n".join([clean] * 90)) > 0.5 > crf.score("\n".join([clean] * 70 + [junk] * 90))
+
+
 def test_quality_classifier(spark):
     rows = messy()
     good = [(i, t) for i, t, *_ in rows if i is not None and i < 120]
@@ -207,6 +219,10 @@ def test_quality_classifier(spark):
     assert np.mean([(r.score >= 0.5) == (r.doc_id < 9000) for r in out if r.doc_id % 3 == 0]) >= 0.95
     odd = line_crf.score_quality(frame(spark), model).collect()
     assert len(odd) == len(rows) and all(0 <= r.score <= 1 for r in odd)
+    assert {r.doc_id: r.score for r in odd} and line_crf.score_quality(frame(spark), model, into="s").columns[-2:] == ["value", "s"]
+    again = line_crf.fit_quality(frame(spark, data + data[:5] * 20), labels.unionAll(labels))  # rows that repeat an id count once
+    assert np.allclose(again.weights, model.weights)
+    assert line_crf.score_quality(frame(spark, []), line_crf.fit_quality(frame(spark, []), labels)).count() == 0
     one = line_crf.LineCRF.fit(["a"], [1])
     assert one.score("") > 0.5 and line_crf.LineCRF.fit([], []).score(None) > 0.5
 
