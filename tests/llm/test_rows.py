@@ -23,7 +23,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = [*messy(), (6000, "a <|endoftext|> b", None, None, 0, None, None, None, None), (6001, "two  spaces\tand\n\nmore ", None, None, 0, None, None, None, None)]
+    rows = [*messy(), (6000, "a <|endoftext|> b", None, None, 0, None, None, None, None), (6002, "<|endoftext|>", None, None, 0, None, None, None, None), (6003, "x <|endoftext|><|endoftext|>\n\n y<|endoftext|", None, None, 0, None, None, None, None), (6001, "two  spaces\tand\n\nmore ", None, None, 0, None, None, None, None)]
     out = packing.pack_documents(frame(spark, rows), max_tokens=64, group=100).collect()
     wanted = sorted((i if i is not None else -1, [*tok.encode(t or "", add_special_tokens=False).ids, 0]) for i, t, *_ in rows)
     by, places = {}, {}
@@ -205,7 +205,8 @@ def test_fit_reads_whole_documents():
     clean, junk = "these are plain words of an even line of text", "$$ ## !! 99 || && ** %%"
     texts = ["\n".join([clean] * 100)] * 20 + ["\n".join([clean] * 80 + [junk] * 120)] * 20
     crf = line_crf.LineCRF.fit(texts, [1] * 20 + [0] * 20)
-    assert crf.score("\n".join([clean] * 90)) > 0.5 > crf.score("\n".join([clean] * 70 + [junk] * 90))
+    good = crf.marginals(crf.odds(line_crf.line_features("\n".join([clean] * 70 + [junk] * 90))[0]))
+    assert good[:60].min() > 0.5 and good[80:].max() < 0.1
 
 
 def test_quality_classifier(spark):
