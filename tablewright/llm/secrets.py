@@ -18,10 +18,11 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Strings looked at by entropy.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Runs of hex digits inside a candidate, in parts of eight or more joined by one dash; judged before the rest is.
-HEX_RUN = r"(?=[0-9A-Fa-f_-]{20})[0-9A-Fa-f]{8,}(?:[_-][0-9A-Fa-f]{8,})*"
-#: Names, paths and dashed words before or after the value.
-LEAD = r"^=*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}[/_=-]+)*"
-TAIL = r"(?:[/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4})+$"
+HEX_RUN = r"(?=[0-9A-Fa-f_-]{20})[0-9A-Fa-f]{8,}+(?:[_-][0-9A-Fa-f]{8,}+)*+"
+# Repeated groups are possessive: Java's regex would else recurse once per repeat and overflow the stack on a long match.
+#: Names, paths and dashed words before the value, and after it, read backwards.
+LEAD = r"^=*+(?:(?:[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,4}+[/_=-]++)*+"
+TAIL_BACKWARDS = r"^(?:[0-9]{0,4}+(?:[a-z]++[A-Z]?|[A-Z]++)[/_=-]++)*+"
 WINDOW = 20
 #: Character class, as the alphabet counted, to the least entropy in bits of some window. 20 even draws of 16 characters
 #: give 3.5 bits on average, of 62 4.1; at most log2(20) = 4.32.
@@ -33,111 +34,151 @@ ALLOWED = (
     r"^[^A-Za-z]*$",
     r"(.)\1{7}",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^(/?[A-Za-z]+[0-9]{0,4}[/_-])+[A-Za-z]*[0-9]{0,4}$",
+    r"^(?:/?[A-Za-z]++[0-9]{0,4}+[/_-])++[A-Za-z]*+[0-9]{0,4}+$",
     r"(?i)(example|placeholder|changeme|xxxx|dummy|sample)",
 )
 
 
-def spans(text: Column, pattern: str, kind: int) -> Column:
-    """Array of (start, kind, end, match) of the leftmost non-overlapping matches, in code points. Positions are running sums
-    over the matches and the pieces between them; texts without a match cost one search only."""
+#: Matches whose positions are summed up at a time.
+STRIDE = 128
+SPANS = "array<struct<start:int,kind:int,end:int,match:string>>"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def parts(text: Column, pattern: str, hit) -> Column:
+    """The text as an array of (between, match, hit): the leftmost non-overlapping matches, each after what stands before it, and
+    whether hit(match) holds; the last one has no match."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("b"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>").alias("out"))
+    return F.zip_with(between, found, lambda b, m: F.struct(b.alias("between"), m.alias("match"), F.when(m.isNull(), False).otherwise(hit(m)).alias("hit")))
+
+
+def spans_of(found: Column, kind: int) -> Column:
+    """Array of (start, kind, end, match) of the hits among parts, in code points. Positions are running sums, first within strides
+    of the matches, then over the strides, as appending to an array copies it."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(acc, x):
-        at = acc["at"] + F.char_length(x["b"])
-        end = at + F.char_length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("match")))).alias("out"))
+        at = acc["at"] + F.char_length(x["between"])
+        end = at + F.coalesce(F.char_length(x["match"]), F.lit(0))
+        one = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("match")))
+        return F.struct(end.alias("at"), F.when(x["hit"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def join(acc, x):
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.when(F.size(x["out"]) == 0, acc["out"]).otherwise(F.concat(acc["out"], moved(x["out"], acc["at"]))).alias("out"))
+
+    def strides(all_parts):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_parts) - 1) / STRIDE).cast("int")), lambda k: F.aggregate(F.slice(all_parts, k * STRIDE + 1, F.lit(STRIDE)), start, step))
+
+    return F.aggregate(_let(found, strides), start, join, lambda acc: acc["out"])
+
+
+def moved(found: Column, by: Column) -> Column:
+    return F.transform(found, lambda y: F.struct((y["start"] + by).alias("start"), y["kind"].alias("kind"), (y["end"] + by).alias("end"), y["match"].alias("match")))
+
+
+def spans(text: Column, pattern: str, kind: int, hit=lambda m: F.lit(True)) -> Column:
+    """As spans_of the text's parts; texts without a match cost one search only."""
+    return F.when(text.rlike(pattern), spans_of(parts(text, pattern, hit), kind)).otherwise(F.array().cast(SPANS))
+
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+def blanked(found: Column) -> Column:
+    """The text of the parts, each hit as so many blanks."""
+    return F.array_join(F.transform(found, lambda x: F.concat(x["between"], F.when(x["hit"], F.repeat(F.lit(" "), F.char_length(x["match"]))).otherwise(F.coalesce(x["match"], F.lit(""))))), "")
 
 
 def window_entropy(s: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The greatest Shannon entropy, in bits, of any `window` characters of s in a row, from counts kept as the window
+    """The greatest Shannon entropy, in bits, of any `window` (at most 31) characters of s in a row, from counts kept as the window
     slides: the entering and the leaving character each change one count, and with it the sum of c * log2(c). Zero for
-    shorter strings. Characters outside the alphabet share one more count."""
+    shorter strings. Characters outside the alphabet share one more count. Counts take 5 bits each, 12 in a long."""
+    if not 0 < window < 32:
+        raise ValueError("a window has 1 to 31 characters")
     term = F.array(*[F.lit(c * log2(c) if c > 1 else 0.0) for c in range(window + 2)])
     chars = F.transform(F.split(s, ""), lambda c: F.when(F.instr(F.lit(alphabet), c) > 0, F.instr(F.lit(alphabet), c) - 1).otherwise(len(alphabet)))
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"), F.lit(0).alias("at"))
+    longs = [f"c{k}" for k in range(len(alphabet) // 12 + 1)]
+    zero = F.struct(*[F.lit(0).cast("long").alias(k) for k in longs], F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"), F.lit(0).alias("at"))
 
     def slide(all_chars):
         def step(acc, c):
             leaves = F.when(acc["at"] >= window, F.get(all_chars, acc["at"] - window)).otherwise(-1)
-            up, down = F.get(acc["counts"], c), F.get(acc["counts"], leaves)
-            moved = F.when(c == leaves, acc["sum"]).otherwise(acc["sum"] + F.get(term, up + 1) - F.get(term, up) + F.when(leaves >= 0, F.get(term, down - 1) - F.get(term, down)).otherwise(0.0))
-            counts = F.transform(acc["counts"], lambda n, i: n + (i == c).cast("int") - (i == leaves).cast("int"))
-            least = F.when(acc["at"] + 1 >= window, F.least(acc["least"], moved)).otherwise(acc["least"])
-            return F.struct(counts.alias("counts"), moved.alias("sum"), least.alias("least"), (acc["at"] + 1).alias("at"))
+            place = lambda x: (F.floor(x / 12).cast("int"), (x % 12) * 5)
+            (kc, bc), (kl, bl) = place(c), place(leaves)
+
+            def count(k, bits):
+                held = F.lit(0).cast("long")
+                for i, name in reversed(list(enumerate(longs))):
+                    held = F.when(k == i, acc[name]).otherwise(held)
+                return F.call_function("shiftright", held, bits).bitwiseAND(F.lit(31)).cast("int")
+
+            one = lambda bits: F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+            up, down = count(kc, bc), count(kl, bl)
+            changed = F.get(term, up + 1) - F.get(term, up) + F.when(leaves >= 0, F.get(term, down - 1) - F.get(term, down)).otherwise(0.0)
+            total = F.when(c == leaves, acc["sum"]).otherwise(acc["sum"] + changed)
+            counts = [(acc[name] + F.when(kc == i, one(bc)).otherwise(F.lit(0)) - F.when((leaves >= 0) & (kl == i), one(bl)).otherwise(F.lit(0))).alias(name) for i, name in enumerate(longs)]
+            least = F.when(acc["at"] + 1 >= window, F.least(acc["least"], total)).otherwise(acc["least"])
+            return F.struct(*counts, total.alias("sum"), least.alias("least"), (acc["at"] + 1).alias("at"))
 
         return F.aggregate(all_chars, zero, step, lambda acc: F.greatest(F.lit(0.0), F.lit(log2(window)) - acc["least"] / window))
 
-    return F.get(F.transform(F.array(chars), slide), F.lit(0))
+    return _let(chars, slide)
 
 
-def _blanked(m: Column, at: Column, out: Column) -> Column:
-    """The match m, which starts at `at`, with blanks for what lies in the spans of out."""
-    return F.aggregate(out, m, lambda acc, b: F.overlay(acc, F.repeat(F.lit(" "), F.least(b["end"], at + F.char_length(m)) - F.greatest(b["start"], at)), F.greatest(b["start"], at) - at + 1))
-
-
-def _moved(found: Column, by: Column) -> Column:
-    return F.transform(found, lambda y: F.struct((y["start"] + by).alias("start"), y["kind"].alias("kind"), (y["end"] + by).alias("end"), y["match"].alias("match")))
-
-
-def _within(found: Column, out: Column) -> Column:
-    """The candidates left of the spans `found` once the spans of out are taken from them."""
-
-    def rest(x):
-        touching = F.filter(out, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"]))
-        return F.when(F.size(touching) == 0, F.array(x)).otherwise(_moved(spans(_blanked(x["match"], x["start"], touching), CANDIDATE, KINDS.index("entropy")), x["start"]))
-
-    return F.flatten(F.transform(found, rest))
+def _secret(m: Column, kind: str, window: int) -> Column:
+    """Whether m isn't on the allow-list and has a window of high entropy for its class."""
+    allowed = F.char_length(m) < window
+    for p in ALLOWED:
+        allowed = allowed | m.rlike(p)
+    alphabet, least = CLASSES[kind]
+    return F.when(allowed, False).otherwise(window_entropy(F.lower(m) if kind == "hex" else m, alphabet, window) >= least)
 
 
-def _value(x: Column) -> Column:
+def _value(x: Column, window: int) -> Column:
     """The span without the names around it, where what stays is as long as a window; else as it is."""
     m = x["match"]
     lead = F.char_length(F.regexp_extract(m, LEAD, 0))
-    core = F.regexp_replace(F.regexp_replace(m, LEAD, ""), TAIL, "")
+    core = lambda: F.substr(m, lead + 1, F.char_length(m) - lead - F.char_length(F.regexp_extract(F.reverse(F.substr(m, lead + 1)), TAIL_BACKWARDS, 0)))
     start = x["start"] + lead
-    cut = F.struct(start.alias("start"), x["kind"].alias("kind"), (start + F.char_length(core)).alias("end"), core.alias("match"))
-    return F.when(F.char_length(core) >= WINDOW, cut).otherwise(x)
+    cut = lambda c: F.struct(start.alias("start"), x["kind"].alias("kind"), (start + F.char_length(c)).alias("end"), c.alias("match"))
+    return _let(core(), lambda c: F.when(F.char_length(c) >= window, cut(c)).otherwise(x))
 
 
-def _secret(x: Column, kind: str, window: int) -> Column:
-    """Whether the span isn't on the allow-list and has a window of high entropy for its class."""
-    allowed = F.lit(False)
-    for p in ALLOWED:
-        allowed = allowed | x["match"].rlike(p)
-    alphabet, least = CLASSES[kind]
-    return F.when(allowed, False).otherwise(window_entropy(F.lower(x["match"]) if kind == "hex" else x["match"], alphabet, window) >= least)
+def entropy_spans(text: Column, window: int = WINDOW) -> Column:
+    """The spans of the text (without those of the base kinds, which are blank in it) with a window of high entropy for their class, the
+    allow-list's left out. Of each candidate, the runs of hex digits are judged by the limit of hex; then what is left, without the
+    names around it, by that of base64."""
+    kind = KINDS.index("entropy")
 
+    def within(x):
+        def judged(found):
+            rest = F.transform(spans(blanked(found), CANDIDATE, kind), lambda y: _value(y, window))
+            return F.concat(spans_of(found, kind), F.filter(rest, lambda y: _secret(y["match"], "base64", window)))
 
-def entropy_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Adds _more to rows (_text, _base): the spans with a window of high entropy for their class, the allow-list's left out.
-    Of each candidate, what lies in base spans is taken out; then its runs of hex digits are judged by the limit of hex;
-    then what is left, without the names around it, by that of base64."""
-    kind = KINDS.index("entropy")
-    rows = rows.withColumn("_found", spans(F.col("_text"), CANDIDATE, kind))
-    rows = rows.withColumn("_found", _within(F.col("_found"), F.col("_base")))
-    rows = rows.withColumn("_hex", F.filter(F.flatten(F.transform("_found", lambda x: _moved(spans(x["match"], HEX_RUN, kind), x["start"]))), lambda x: F.when(F.char_length(x["match"]) >= WINDOW, _secret(x, "hex", window)).otherwise(False)))
-    rows = rows.withColumn("_found", F.transform(_within(F.col("_found"), F.col("_hex")), _value))
-    return rows.withColumn("_more", F.concat("_hex", F.filter("_found", lambda x: _secret(x, "base64", window)))).drop("_found", "_hex")
+        return moved(_let(parts(x["match"], HEX_RUN, lambda m: _secret(m, "hex", window)), judged), x["start"])
+
+    return F.flatten(F.transform(spans(text, CANDIDATE, kind), within))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per row of docs: the id and `found`, an array of (start, kind, end), by start and kind. Null text is empty.
+    """One row per row of docs: the id and `found`, an array of (start, kind, end), by start and kind.
 
     Base kinds are assign (a named value of at least 8 characters), access and hex; the entropy scan adds runs
     of each character class with a sliding window of high entropy that lie in no base span and aren't on the allow-list. Positions count
-    code points, ends are exclusive. Row by row, with no shuffle: hot keys and copies make no difference.
+    code points, ends are exclusive. Null and empty texts have no spans; an empty table gives no rows; columns but the id and the text
+    are not read. Row by row, with no shuffle: hot keys and copies make no difference, repeated rows get the same. Long texts
+    take time in proportion to their length but for the lists of hits, which are put together in strides.
     """
-    rows = docs.select(F.col(id_col).alias(id_col), or_empty(F.col(text_col)).alias("_text"))
-    assign = F.filter(spans(F.col("_text"), ASSIGN, 0), lambda x: F.char_length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 8)
-    base = F.concat(assign, spans(F.col("_text"), ACCESS, 1), spans(F.col("_text"), HEX, 2))
-    rows = entropy_spans(rows.withColumn("_base", base), window)
-    return rows.select(id_col, F.transform(F.array_sort(F.concat("_base", "_more")), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias("found"))
+    rows = docs.select(F.col(id_col).alias("_id"), or_empty(F.col(text_col)).alias("_text"))
+    long_enough = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= 8
+    yes = lambda m: F.lit(True)
+    rows = rows.withColumn("_base", F.concat(spans(F.col("_text"), ASSIGN, 0, long_enough), spans(F.col("_text"), ACCESS, 1), spans(F.col("_text"), HEX, 2)))
+    left = F.col("_text")
+    for pattern, hit in ((ASSIGN, long_enough), (ACCESS, yes), (HEX, yes)):
+        rows = rows.withColumn("_text", F.when(left.rlike(pattern), blanked(parts(left, pattern, hit))).otherwise(left))
+    found = F.array_sort(F.concat("_base", entropy_spans(F.col("_text"), window)))
+    return rows.select(F.col("_id").alias(id_col), F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias("found"))
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:

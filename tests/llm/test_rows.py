@@ -164,6 +164,19 @@ def test_entropy(spark):
     assert {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.found] for r in found} == {0: ["wJalrXUtnFEMIK7MDENGbPxRfiCYq9Zt2"], 1: [], 2: [], 3: [], 4: ["9f8a3b2c7d6e5f4a1b0c9d8"]}
 
 
+def test_long_secrets(spark):
+    """Candidates of a megabyte, of each shape that a pattern repeats on, and many spans in one text."""
+    rng = np.random.default_rng(8)
+    b64 = "wJalrXUtnFEMIK7MDENGbPxRfiCYq9Zt2"
+    shapes = ["a1/" * 350_000, "/a1" * 350_000 + "/", "ab_" * 350_000 + b64, b64 + "_ab" * 350_000, "0a1b2c3d-" * 100_000, "0a1b2c3d4e5" * 90_000, "AbC=" * 250_000, "=" * 10**6, "A" * 10**6, "a-" * 400_000 + "9"]
+    many = [f"id-{''.join(rng.choice(list('0123456789abcdef'), 20))}" for _ in range(5000)] + ["token=abcdefgh1"] * 5000
+    texts = [*shapes, " ".join(many)]
+    out = {r.doc_id: r.found for r in secrets.scan_secrets(frame(spark, [(i, t, None, None, 0, None, None, None, None) for i, t in enumerate(texts)])).collect()}
+    got = {i: [texts[i][x.start : x.end] for x in out[i] if x.kind == 3] for i in out}
+    assert got[0] == got[1] == got[7] == got[8] == got[9] == [] and got[2] == got[3] == [b64]
+    assert sum(x.kind == 0 for x in out[10]) == 5000 and len(got[10]) > 4000 and all(len(m) == 20 for m in got[10])
+
+
 def test_entropy_of_runs_inside_candidates(spark):
     rng = np.random.default_rng(6)
     draw = lambda n, of="0123456789abcdef": "".join(rng.choice(list(of), n))
