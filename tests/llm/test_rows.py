@@ -1,8 +1,10 @@
 import re
 import sys
+import time
 import zlib
+from collections import Counter, defaultdict
 from itertools import product
-from math import log2
+from math import ceil, log2
 from pathlib import Path
 
 import numpy as np
@@ -252,26 +254,96 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_html_main():
     assert html_extract.main_text(PAGE) == "Title & more\n\nOne bold word next\n\nTwo <tags>"
-    assert html_extract.main_text("<div class=ad>x<article><p>In") == "In"
+    assert html_extract.main_text("<div class=ad>x<article><p>In") == html_extract.main_text("<aside>x<article><p>In") == "In"
     assert html_extract.main_text("<p>a</p>") is None and html_extract.main_text(None) is None
 
 
+def test_html_odd_markup():
+    odd = {
+        "<article><p class=it's>hello</p><p>don't stop</p><p>end": "hello|don't stop|end",
+        '<article><p title="abc>hello': "hello",
+        '<main class="no-comments"><p>text</main>': "text",
+        "<main><p>intro</p><article>one": "intro|one",
+        "<aside><article>teaser</article></aside><article>real</article>": "real",
+        '<article>a<div class="notice-board-history">board</div></article>': "a|board",
+        '<article>a<div class="cookie-notice-box">c</div><div id=comments>d</div></article>': "a",
+        "<article>a < b <3 <!-- x > y --> z<textarea>q</textarea> end</article>": "a < b <3 z end",
+        "<main><article>one</article><ul><li><a href=x>two</a></ul></main>": "one",
+    }
+    for page, want in odd.items():
+        assert html_extract.main_text(page) == want.replace("|", "\n\n"), page
+
+
+def test_html_takes_linear_time():
+    for shape in ("<a ", "<", "</a", '<p a="', "<!--", "<script>", "<a b='", "<a =", "</p>", "<p>", "<div class=ad><article>", "&", '<a b="<', "<article>"):
+        began = time.time()
+        html_extract.page_blocks(shape * 100_000)
+        assert time.time() - began < 5, shape
+
+
 def test_repeats_by_hand():
     rng = np.random.default_rng(2)
     streams = [list(rng.choice(list("abc"), rng.integers(0, 40))) for _ in range(6)]
-    got = html_extract.repeated(streams, 4, 2)
-    for p, s in enumerate(streams):
+    for p, (s, n) in enumerate(zip(streams, html_extract.page_counts(streams, 4), strict=True)):
+        holders = [sum(any(s[i : i + 4] == t[j : j + 4] for j in range(len(t) - 3)) for t in streams) for i in range(len(s) - 3)]
+        assert n.tolist() == (holders + [0] * len(s))[: len(s)], p
         want = np.zeros(len(s), bool)
-        for i in range(len(s) - 3):
-            if any(s[i : i + 4] == t[j : j + 4] for q, t in enumerate(streams) if q != p for j in range(len(t) - 3)):
-                want[i : i + 4] = True
-        assert (got[p] == want).all()
+        for i in np.flatnonzero(n >= 3):
+            want[i : i + 4] = True
+        assert (html_extract.covered(n >= 3, 4) == want).all()
+    assert html_extract.page_counts([], 4) == [] and [x.tolist() for x in html_extract.page_counts([[], ["a"]], 4)] == [[], [0]]
+
+
+def extract_by_hand(pages):
+    """Every rule by plain loops over a host's pages: (id, host, html) to texts by id."""
+    out, by = {}, defaultdict(list)
+    for i, host, page in pages:
+        by[host].append((i, *html_extract.page_blocks(page)))
+    for of in by.values():
+        streams = [[w for t, _ in blocks for w in t.split(" ")] for _, _, blocks in of]
+        on = Counter(g for s in streams for g in {tuple(s[k : k + n]) for n in (8, 25) for k in range(len(s) - n + 1)})
+        for (i, main, blocks), s in zip(of, streams, strict=True):
+            hit = [False] * len(s)
+            for n, least in [(8, max(3, ceil(len(of) * 0.5)))] if main else [(8, max(2, ceil(len(of) * 0.2))), (25, 2)]:
+                for k in range(len(s) - n + 1):
+                    if on[tuple(s[k : k + n])] >= least:
+                        hit[k : k + n] = [True] * n
+            at, kept, whole = 0, [], []
+            for t, k in blocks:
+                w = t.split(" ")
+                left = [x for x, h in zip(w, hit[at : at + len(w)], strict=True) if not h]
+                at += len(w)
+                whole += [t] * k
+                kept += [" ".join(left)] * bool(k and left)
+            out[i] = "\n\n".join(kept or whole)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [400, 7, 1])
+def test_extract_by_hand(spark, chunk):
+    """Hosts of any size, dealt into chunks or not: articles with a line that most pages have, with one that few have, open pages with footers,
+    a long notice on two of them, copies of a page."""
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 400, n))
+    rows = []
+    for h, n in {"big.x": 45, "mid.x": 9, "two.x": 2, "one.x": 1}.items():
+        line, rare, footer, notice = say(12), say(12), say(9), say(30)
+        for i in range(n):
+            body = f"<p>{say(30)}</p>" + (f"<p>{line}</p>" if i % 3 else "") + (f"<p>{say(3)} {rare} {say(3)}</p>" if i % 10 == 0 else "")
+            body = f"<article>{body}</article>" if i % 4 else f"{body}<div>{footer}</div>" + (f"<div>{notice}</div>" if i in (0, 8) else "")
+            rows.append((len(rows), f"http://{h}/{i}", f"<nav>{say(10)}</nav>{body}<footer>{footer}</footer>"))
+    rows += [(len(rows) + k, f"http://big.x/copy{k}", rows[1][2]) for k in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html_extract.extract_html(pages, chunk_pages=chunk).collect()}
+    want = extract_by_hand([(i, u.split("/")[2], h) for i, u, h in rows])
+    assert got == want
+    assert any(want[i] != "\n\n".join(t for t, k in html_extract.page_blocks(h)[1] if k) for i, _, h in rows if "<article>" in h)
 
 
 def test_extract_html(spark):
     shop = "<div>Welcome to our shop please look at all of this</div>"
     rows = [(0, "http://a.x/1", PAGE), (1, "http://a.x/2", f"{shop}<p>alpha beta</p>"), (2, "http://a.x/3", f"{shop}<p>gamma delta</p>"), (3, None, None), (4, "nowhere", ""), (4, "nowhere", ""), (None, "http://b.x", f"{shop}<p>only here</p>")]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(*r, "clash", "c", 1) for r in rows], "page_id long, url string, html string, text string, _host string, _row int")
     out = html_extract.extract_html(pages).collect()
     texts = {r.page_id: r.text for r in out}
     assert len(out) == 7 and texts[1] == "alpha beta" and texts[2] == "gamma delta" and texts[3] == texts[4] == ""
@@ -279,20 +351,6 @@ def test_extract_html(spark):
     assert html_extract.extract_html(pages.limit(0)).count() == 0
 
 
-def test_repeats_over_a_whole_host(spark):
-    """A long notice on two of many pages goes wherever they are dealt; a phrase that two pages share stays."""
-    rng = np.random.default_rng(4)
-    own = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(40)]
-    notice, phrase, footer = " ".join(f"n{i}" for i in range(30)), "one two three four five six seven eight nine", "all pages of this host end in these words"
-    want = [f"{t[:20]} {phrase} {t[20:]}" if i in (3, 31) else t for i, t in enumerate(own)]
-    html = [f"<p>{w}</p>" + (f"<div>{notice}</div>" if i in (0, 39) else "") + f"<p>{footer}</p>" for i, w in enumerate(want)]
-    html[5] += "<article></article><script>'<main>'</script>"  # no main text, so it is a page of the host like others
-    pages = spark.createDataFrame([(i, f"http://h.x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(3)
-    for chunk in (400, 4):
-        got = {r.page_id: r.text for r in html_extract.extract_html(pages, chunk_pages=chunk).collect()}
-        assert [got[i] for i in range(40)] == want
-
-
 def test_pages_without_main_text_meet_their_host(spark):
     shop = "<div>Welcome to our shop please look at all of this</div>"
     odd = ["<script>'<main>'</script>", "<!-- <article> -->", "<article></article>", "<article><nav>Menu</nav></article>"]
