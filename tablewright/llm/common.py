@@ -67,7 +67,7 @@ class Scratch:
     def path(self, df: DataFrame, partition_by: str | None = None) -> str:
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         return path
 
