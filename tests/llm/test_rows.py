@@ -284,14 +284,14 @@ def test_html_takes_linear_time():
 def test_repeats_by_hand():
     rng = np.random.default_rng(2)
     streams = [list(rng.choice(list("abc"), rng.integers(0, 40))) for _ in range(6)]
-    for p, (s, n) in enumerate(zip(streams, html_extract.page_counts(streams, 4), strict=True)):
+    for p, (s, n) in enumerate(zip(streams, html_extract.page_counts(html_extract.numbered(streams), 4), strict=True)):
         holders = [sum(any(s[i : i + 4] == t[j : j + 4] for j in range(len(t) - 3)) for t in streams) for i in range(len(s) - 3)]
         assert n.tolist() == (holders + [0] * len(s))[: len(s)], p
         want = np.zeros(len(s), bool)
         for i in np.flatnonzero(n >= 3):
             want[i : i + 4] = True
         assert (html_extract.covered(n >= 3, 4) == want).all()
-    assert html_extract.page_counts([], 4) == [] and [x.tolist() for x in html_extract.page_counts([[], ["a"]], 4)] == [[], [0]]
+    assert html_extract.page_counts([], 4) == [] and [x.tolist() for x in html_extract.page_counts(html_extract.numbered([[], ["a"]]), 4)] == [[], [0]]
 
 
 def extract_by_hand(pages):
