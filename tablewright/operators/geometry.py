@@ -19,7 +19,8 @@ _REGIONS = f"r(region, page, a0, b0, a1, b1) AS (VALUES {', '.join(str(r) for r
 
 
 def regions(spark) -> DataFrame:
-    return spark.createDataFrame(REGIONS, "region int, page int, a0 double, b0 double, a1 double, b1 double")
+    """As literal rows, whose size Spark knows."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(f'({r}, {p}, ' + ', '.join(f'{x}D' for x in box) + ')' for r, p, *box in REGIONS)} AS r(region, page, a0, b0, a1, b1)")
 
 
 def words_in_rect(words: DataFrame, rects: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def words_in_rect(words: DataFrame, rects: DataFrame) -> DataFrame:
     in reading order; neighbours on a line are glued if the gap is below 0.3 of a character's width."""
     w, h = F.least("x1", "a1") - F.greatest("x0", "a0"), F.least("y1", "b1") - F.greatest("y0", "b0")
     area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1.0))
-    hit = words.join(F.broadcast(rects), "page").filter((w > 0) & (h > 0) & (w * h >= area * 0.15))
+    hit = words.join(rects, "page").filter((w > 0) & (h > 0) & (w * h >= area * 0.15))
     ordered = hit.groupBy("doc", "page", "region").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "x1", "text"))).alias("ws"))
 
     def glue(acc, x):
@@ -41,7 +42,7 @@ def words_in_rect(words: DataFrame, rects: DataFrame) -> DataFrame:
 
 
 def words_in_rect_query(spark, sf_dir: str) -> DataFrame:
-    return words_in_rect(document_words(spark, sf_dir), regions(spark))
+    return words_in_rect(document_words(spark, sf_dir, last_page=max(r[1] for r in REGIONS)), regions(spark))
 
 
 WORDS_IN_RECT = f"""WITH {DOCUMENT_WORDS}, {_REGIONS},
@@ -53,7 +54,7 @@ def region_text(words: DataFrame, rects: DataFrame) -> DataFrame:
     """Value of each rect: words whose middle is in it by height and that lie in it by 40% of their width; the first line
     alone if it says enough (3 characters); numbers in parentheses, parentheses and odd characters out. With a confidence."""
     mid, inside = (F.col("y0") + F.col("y1")) / 2, F.least("x1", "a1") - F.greatest("x0", "a0")
-    hit = words.join(F.broadcast(rects), "page").filter((mid >= F.col("b0")) & (mid <= F.col("b1")) & (inside >= (F.col("x1") - F.col("x0")) * 0.4))
+    hit = words.join(rects, "page").filter((mid >= F.col("b0")) & (mid <= F.col("b1")) & (inside >= (F.col("x1") - F.col("x0")) * 0.4))
     top = F.min("y0").over(Window.partitionBy("doc", "page", "region"))
     lined = hit.dropDuplicates(["doc", "page", "region", "text", "x0", "y0"]).withColumn("first", F.col("y0") - top <= 6)
     listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["text"])
@@ -68,7 +69,7 @@ def region_text(words: DataFrame, rects: DataFrame) -> DataFrame:
 
 
 def region_text_query(spark, sf_dir: str) -> DataFrame:
-    return region_text(document_words(spark, sf_dir), regions(spark))
+    return region_text(document_words(spark, sf_dir, last_page=max(r[1] for r in REGIONS)), regions(spark))
 
 
 REGION_TEXT = f"""WITH {DOCUMENT_WORDS}, {_REGIONS},
@@ -105,12 +106,22 @@ SELECT doc, page, row, count(*) AS n_words, min(x0) AS x0, max(x1) AS x1, min(y0
 
 def detect_rows(words: DataFrame) -> DataFrame:
     """Row separators of each page: whole points midway between the mean middles of neighbouring rows, rows being clusters with
-    steps up to 0.6 of the median height."""
-    med = words.groupBy(*PAGE).agg(F.median(F.col("y1") - F.col("y0")).alias("med"))
-    mids = words.withColumn("mid", (F.col("y0") + F.col("y1")) / 2).join(med, PAGE)
-    rows = islands(mids, PAGE, "mid", F.col("med") * 0.6, "row").groupBy(*PAGE, "row").agg(F.avg("mid").alias("mean"))
-    after = F.lead("mean").over(Window.partitionBy(*PAGE).orderBy("row"))
-    return rows.withColumn("sep", ((F.col("mean") + after) / 2).cast("int")).filter(F.col("sep").isNotNull()).select(*PAGE, "sep")
+    steps up to 0.6 of the median height. Words of one middle and height are counted where they are read, so what is shuffled and
+    clustered is a few rows per page."""
+    counted = words.groupBy(*PAGE, ((F.col("y0") + F.col("y1")) / 2).alias("mid"), (F.col("y1") - F.col("y0")).alias("h")).agg(F.count("*").alias("n"))
+    pages = counted.groupBy(*PAGE).agg(F.percentile("h", F.lit(0.5), F.col("n")).alias("med"), F.array_sort(F.collect_list(F.struct("mid", "n"))).alias("ms"))
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<total:double,n:bigint>>").alias("rows"))
+
+    def cluster(acc, m):
+        near = m["mid"] - acc["last"] <= F.col("med") * 0.6
+        row, n = F.get(acc["rows"], F.size(acc["rows"]) - 1), F.size(acc["rows"])
+        joined = F.concat(F.slice(acc["rows"], F.lit(1), n - 1), F.array(F.struct((row["total"] + m["mid"] * m["n"]).alias("total"), (row["n"] + m["n"]).alias("n"))))
+        new = F.concat(acc["rows"], F.array(F.struct((m["mid"] * m["n"]).alias("total"), m["n"].alias("n"))))
+        return F.struct(m["mid"].alias("last"), F.when(near, joined).otherwise(new).alias("rows"))
+
+    means = pages.select(*PAGE, F.transform(F.aggregate("ms", start, cluster, lambda a: a["rows"]), lambda r: r["total"] / r["n"]).alias("means"))
+    between = F.filter(F.transform("means", lambda m, i: ((m + F.get("means", i + 1)) / 2).cast("int")), lambda s: s.isNotNull())
+    return means.select(*PAGE, F.explode(between).alias("sep"))
 
 
 def detect_rows_query(spark, sf_dir: str) -> DataFrame:

@@ -74,9 +74,13 @@ def close_spelling(a: Column, b: Column) -> Column:
     return (F.abs(F.char_length(clean(a)) - F.char_length(clean(b))) <= limit + 1) & (F.levenshtein(clean(a), clean(b)) <= limit)
 
 
+# Fixed patterns: numbers and money; day and month.
+SKIP = (r"^[\d,.\-\s/$%()]+$", r"^\d{1,2}[/\-]\d{1,2}([/\-]\d{2,4})?$")
+
+
 def skippable(c: Column) -> Column:
     """Short, numeric, money or dates: not worth spell-checking."""
-    return (F.char_length(c) < 4) | c.rlike(r"^[\d,.\-\s/$%()]+$") | c.rlike(r"^\d{1,2}[/\-]\d{1,2}([/\-]\d{2,4})?$")
+    return (F.char_length(c) < 4) | c.rlike(SKIP[0]) | c.rlike(SKIP[1])
 
 
 def frequencies(cells: DataFrame, keys: list[str], column: str, order: str) -> DataFrame:

@@ -104,7 +104,7 @@ def header_row(cells: DataFrame, within: int = 15) -> DataFrame:
 
 def looks_like_header(first_row: Column, n_rows: Column) -> Column:
     """Whether a table's first row (an array of cells) is a header: there are more rows, and some cell isn't a number."""
-    return (n_rows > 1) & F.exists(first_row, lambda c: (F.trim(c) != "") & ~F.regexp_replace(c, r"[.\-, ]", "").rlike(r"^\d+$"))
+    return (n_rows > 1) & F.exists(first_row, lambda c: (F.trim(c) != "") & ~F.regexp_replace(F.trim(c), r"[.\-,]", "").rlike(r"^\d+$"))
 
 
 def sheet_names(wanted: list[str], most: int = 31) -> list[str]:

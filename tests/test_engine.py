@@ -14,7 +14,7 @@ from tablewright.operators.page_folds import lines_of, merged_boxes, merged_cell
 from tablewright.plans.bank import spine
 from tablewright.plans.utility import month_key
 from tablewright.sources import xlsx
-from tablewright.streaming.usage_stream import current, slot_sink, usage_windows
+from tablewright.streaming.usage_stream import current, slot_sink, usage_windows, versions
 
 
 def test_names_match():
@@ -105,5 +105,10 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(60)
         spark.createDataFrame([("d", 1, "B", 2), ("d", 2, "c", 3)], schema).write.mode("append").parquet(src)
     assert {r.slot: r.value for r in current(spark, out).collect()} == {0: "a", 1: "B", 2: "c"}
+    merge = slot_sink(out, ["doc", "slot"])
+    for batch_id in (5, 6, 7, 6):  # an older answer that comes late, again and again, and a replay
+        merge(spark.createDataFrame([("d", 1, "OLD", 0), ("d", 3, f"new{batch_id}", batch_id)], schema), batch_id)
+    assert {r.slot: r.value for r in current(spark, out).collect()} == {0: "a", 1: "B", 2: "c", 3: "new7"}
+    assert versions(spark, out) == [6, 7]
     events = spark.createDataFrame([("2024-01-01 00:10:00", "view", 2), ("2024-01-01 00:50:00", "view", 3)], "used_at string, kind string, amount int")
     assert usage_windows(events).first()["amount"] == 5
