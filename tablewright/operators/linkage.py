@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import edit_limit, property_similar
+from ..functions.similarity import account_similar, address_similar, edit_limit, property_similar
 from ..functions.text import header_key
 from ..sources.tables import table
 
@@ -156,7 +156,55 @@ def folder_community(spark, sf_dir: str) -> DataFrame:
 FOLDER_COMMUNITY = r"""WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', ''), '/') AS parts FROM pages)
 SELECT CASE WHEN len(parts) < 2 THEN '(root)' ELSE coalesce(nullif(parts[len(parts) - 1], ''), '(root)') END AS community, count(*) AS n_pages, min(page_id) AS first_page FROM p GROUP BY 1"""
 
+# The fields whose values may be merged, and what they are called.
+MERGE_FIELDS = {"provider_name": "Provider Name", "property_name": "Property Name", "account_number": "Account Number", "address": "Address"}
+
+
+def merge_groups(rows: DataFrame, keys: list[str], order: str = "seq", fields: tuple[str, ...] = tuple(MERGE_FIELDS)) -> DataFrame:
+    """What a reader may merge among rows (keys, field, value, order): per field the groups of similar values under the field's label, the values in no
+    group, if two or more, as (other); without a group all values, if two or more, as (manual). Names and addresses meet by words and
+    spelling, accounts by their last digits."""
+    values = distinct_values(rows.filter(F.col("field").isin(*fields)), [*keys, "field"], "value", order)
+    alike = lambda a, b: F.when(F.col("field") == "account_number", account_similar(a, b)).when(F.col("field") == "address", address_similar(a, b)).otherwise(property_similar(a, b))
+    on = [*keys, "field"]
+    groups = star_groups(values, pairs(values, on, alike), on)
+    marked = values.join(groups, [*on, "value"], "left")
+    w = Window.partitionBy(*on)
+    marked = marked.withColumns({"some": F.count("seed").over(w) > 0, "loose": F.count_if(F.col("seed").isNull()).over(w)})
+    label = F.lit(None).cast("string")
+    for f, name in MERGE_FIELDS.items():
+        label = F.when(F.col("field") == f, F.lit(name)).otherwise(label)
+    tail = F.when(F.col("seed").isNotNull(), "").when(F.col("some"), " (other)").otherwise(" (manual)")
+    return marked.filter(F.col("seed").isNotNull() | (F.col("loose") >= 2)).select(*on, F.concat(label, tail).alias("label"), "seed", "value")
+
+
+def _offices(spark, sf_dir: str) -> DataFrame:
+    """Customers of each nation and balance class as bills of one office: five rows of it each."""
+    c = table(spark, sf_dir, "customer").withColumn("office", F.concat_ws("/", "c_nationkey", F.expr("c_custkey div 25 % 12")))
+    k = F.col("c_custkey")
+    cell = lambda f, v: F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"))
+    provider = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("North Power", "NorthPower Co", "City Water", "Gas and Light")]), (k % 4 + 1).cast("int")), F.when(k % 8 < 4, "").otherwise(" LLC"))
+    place = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Agave Village", "Agave Villge", "Stonegate Commons", "Zephyr Heights")]), (F.expr("c_custkey div 3 % 4") + 1).cast("int")))
+    street = F.concat((k % 3 * 100 + 7).cast("string"), F.lit(" Elm "), F.when(k % 2 == 0, "Street").otherwise("St"), F.lit(" Unit "), F.expr("c_custkey div 7 % 2").cast("string"))
+    cells = F.array(cell("provider_name", provider), cell("property_name", place), cell("account_number", F.concat(F.when(k % 2 == 0, "XXXX").otherwise("0098"), F.lpad((k * 37 % 5000).cast("string"), 4, "0"))), cell("address", street), cell("amount", F.col("c_acctbal")))
+    return c.select("office", k.alias("seq"), F.explode(cells).alias("x")).select("office", "seq", "x.field", "x.value")
+
+
+def merge_candidates(spark, sf_dir: str) -> DataFrame:
+    """Utility bills: all values of four fields."""
+    return merge_groups(_offices(spark, sf_dir), ["office"])
+
+
+def statement_merge_candidates(spark, sf_dir: str) -> DataFrame:
+    """Bank statements: the first value of each of three fields in a file (of ten customers)."""
+    rows = _offices(spark, sf_dir).withColumn("file", F.expr("seq div 10"))
+    first = rows.filter(F.trim("value") != "").groupBy("office", "file", "field").agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
+    return merge_groups(first, ["office"], fields=("property_name", "account_number", "address"))
+
+
 QUERIES = {
+    "merge_candidates": (merge_candidates, None),
+    "statement_merge_candidates": (statement_merge_candidates, None),
     "similar_pairs": (similar_pairs, SIMILAR_PAIRS),
     "star_groups": (star_groups_query, None),
     "sanitize_groups": (sanitize_groups, None),

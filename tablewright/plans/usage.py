@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import USAGE, usage
+from ..sources.tables import USAGE, table, usage
 
 NOW = datetime(2024, 1, 20, 12)
 
@@ -93,7 +93,72 @@ def usage_search(spark, sf_dir: str) -> DataFrame:
 
 USAGE_SEARCH = f"WITH {USAGE}, u AS (SELECT *, 'User' || user_id || 'e' AS username FROM usage) SELECT id, username, kind, doc_type FROM u WHERE contains(lower(username), '1e') OR contains(lower(kind), '1e') OR contains(lower(doc_type), '1e') OR contains(lower(username), 'sign') OR contains(lower(kind), 'sign') OR contains(lower(doc_type), 'sign')"
 
+def timestamp(iso: Column, now: Column, zone: str) -> Column:
+    """An ISO time as an instant: with an offset, that; without, UTC, unless that is more than two hours ahead of now: then it is local time in the
+    zone. Null if it is no time."""
+    naive = F.replace(iso, F.lit("T"), F.lit(" "))
+    utc = F.try_to_timestamp(F.concat(naive, F.lit("+00:00")))
+    local = F.to_utc_timestamp(F.try_to_timestamp(F.concat(naive, F.lit("+00:00"))), zone)
+    return F.when(iso.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(iso)).otherwise(F.when(utc > now + F.expr("interval 2 hours"), local).otherwise(utc))
+
+
+def duration_label(seconds: Column) -> Column:
+    """4.6 s, 1m 12s, 1h 5m; a dash for none or a negative one."""
+    s = F.round(seconds).cast("long")
+    minutes = F.concat(F.expr("0") + F.floor(s / 60), F.lit("m "), s % 60, F.lit("s"))
+    hours = F.concat(F.floor(s / 3600), F.lit("h "), F.floor(s / 60) % 60, F.lit("m"))
+    return F.when(seconds.isNull() | F.isnan(seconds) | (seconds < 0), "\u2014").when(seconds < 60, F.concat(F.format_string("%.1f", seconds), F.lit(" s"))).when(s < 3600, minutes).otherwise(hours)
+
+
+def age_label(then: Column, now: Column) -> Column:
+    """just now, 5m ago, 3h ago, 2d ago; beyond a week the day."""
+    rounded = lambda x: F.floor(x + 0.5).cast("long")
+    minutes = rounded((F.unix_micros(now) - F.unix_micros(then)) / 60e6)
+    hours = rounded(minutes / 60)
+    days = rounded(hours / 24)
+    return F.when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes, F.lit("m ago"))).when(hours < 24, F.concat(hours, F.lit("h ago"))).when(days < 7, F.concat(days, F.lit("d ago"))).otherwise(F.date_format(then, "MMM d"))
+
+
+def usage_times(spark, sf_dir: str) -> DataFrame:
+    """Events' times as clients write them: in UTC with Z or bare, six hours ahead with an offset, or six hours ahead and bare; seen from NOW."""
+    e = table(spark, sf_dir, "events").withColumn("t", F.date_trunc("second", F.col("ts").cast("timestamp_ntz").cast("timestamp")))
+    iso, ahead = F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(F.col("t") + F.expr("interval 6 hours"), "yyyy-MM-dd'T'HH:mm:ss")
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, F.concat(iso, F.lit("Z"))).when(k == 1, iso).when(k == 2, F.concat(ahead, F.lit("+06:00"))).otherwise(ahead)
+    now = F.lit(NOW).cast("timestamp_ntz").cast("timestamp")
+    at = timestamp(raw, now, "Asia/Dhaka")
+    seconds = (F.floor("value") * 10 * F.when(k == 3, -1).otherwise(F.col("event_id") % 97) + F.col("event_id") % 10) / 10.0
+    return e.select(F.col("event_id").alias("id"), F.unix_seconds(at).alias("at"), age_label(at, now).alias("age"), duration_label(seconds).alias("took"))
+
+
+USAGE_TIMES = """WITH e AS (SELECT event_id AS id, event_id % 4 AS k, date_trunc('second', CAST(ts AS TIMESTAMP)) AS t, TIMESTAMP '2024-01-20 12:00:00' AS now, (floor(value) * 10 * CASE WHEN event_id % 4 = 3 THEN -1 ELSE event_id % 97 END + event_id % 10) / 10.0::DOUBLE AS s FROM events),
+a AS (SELECT *, CASE WHEN k = 3 AND t + INTERVAL 6 HOUR <= now + INTERVAL 2 HOUR THEN t + INTERVAL 6 HOUR WHEN k = 1 AND t > now + INTERVAL 2 HOUR THEN t - INTERVAL 6 HOUR ELSE t END AS inst FROM e),
+m AS (SELECT *, floor((epoch_us(now) - epoch_us(inst)) / 60000000.0::DOUBLE + 0.5::DOUBLE) AS mi, CAST(round(s) AS BIGINT) AS r FROM a), h AS (SELECT *, floor(mi / 60 + 0.5::DOUBLE) AS ho FROM m), d AS (SELECT *, floor(ho / 24 + 0.5::DOUBLE) AS da FROM h)
+SELECT id, CAST(epoch(inst) AS BIGINT) AS "at", CASE WHEN mi < 1 THEN 'just now' WHEN mi < 60 THEN CAST(mi AS BIGINT) || 'm ago' WHEN ho < 24 THEN CAST(ho AS BIGINT) || 'h ago' WHEN da < 7 THEN CAST(da AS BIGINT) || 'd ago' ELSE strftime(inst, '%b %-d') END AS age,
+  CASE WHEN s < 0 THEN chr(8212) WHEN s < 60 THEN printf('%.1f', s) || ' s' WHEN r < 3600 THEN (r // 60) || 'm ' || (r % 60) || 's' ELSE (r // 3600) || 'h ' || (r // 60 % 60) || 'm' END AS took FROM d"""
+
+# What users can be sorted by.
+SORT_KEYS = ("files", "extracted", "pages_extracted", "downloads", "ocr_downloads", "table_extracts", "last_active")
+
+
+def usage_sorted(spark, sf_dir: str) -> DataFrame:
+    """Each user's place by each of the seven keys, the greatest first, ties by user."""
+    kinds = {"files": "purchase", "downloads": "click", "ocr_downloads": "signup", "table_extracts": "error"}
+    rows = usage(spark, sf_dir)
+    sums = [F.count_if(F.col("kind") == v).alias(k) for k, v in kinds.items()]
+    users = rows.groupBy("user_id").agg(*sums, F.count("*").alias("extracted"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages_extracted"), F.max("used_at").alias("last_active"))
+    long = users.select("user_id", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), (F.unix_micros(F.col(k).cast("timestamp")) if k == "last_active" else F.col(k).cast("long")).alias("value")) for k in SORT_KEYS])).alias("x"))
+    return long.select("x.key", "user_id", "x.value", F.row_number().over(Window.partitionBy("x.key").orderBy(F.desc("x.value"), "user_id")).alias("place"))
+
+
+USAGE_SORTED = f"""WITH {USAGE}, u AS (SELECT user_id, count(*) FILTER (kind = 'purchase') AS files, count(*) AS extracted, CAST(coalesce(sum(pages), 0) AS BIGINT) AS pages_extracted, count(*) FILTER (kind = 'click') AS downloads,
+  count(*) FILTER (kind = 'signup') AS ocr_downloads, count(*) FILTER (kind = 'error') AS table_extracts, epoch_us(CAST(max(used_at) AS TIMESTAMP)) AS last_active FROM usage GROUP BY user_id),
+l AS ({' UNION ALL '.join(f"SELECT '{k}' AS key, user_id, CAST({k} AS BIGINT) AS value FROM u" for k in SORT_KEYS)})
+SELECT key, user_id, value, CAST(row_number() OVER (PARTITION BY key ORDER BY value DESC, user_id) AS INTEGER) AS place FROM l"""
+
 QUERIES = {
+    "usage_times": (usage_times, USAGE_TIMES),
+    "usage_sorted": (usage_sorted, USAGE_SORTED),
     "usage_totals": (usage_totals, USAGE_TOTALS),
     "usage_by_user": (usage_by_user, USAGE_BY_USER),
     "usage_doc_types": (usage_doc_types, USAGE_DOC_TYPES),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import BILLS, bills
@@ -148,7 +148,43 @@ HEADER_MODE = f"""WITH {BILLS}, counted AS (SELECT property, utility, provider,
 SELECT property, utility, provider, n FROM (SELECT *, row_number() OVER (PARTITION BY property, utility ORDER BY n DESC, first) AS r FROM counted) WHERE r = 1"""
 
 
+def timeline(found: DataFrame) -> list[str]:
+    """The months that are seen, in order; a list of a few hundred at most."""
+    return [r[0] for r in found.select("month").distinct().orderBy("month").collect()]
+
+
+def months_across(found: DataFrame, months: list[str]) -> DataFrame:
+    """A row per property, utility, provider and account, a column per month; months without a bill stay blank. With the row's total."""
+    wide = found.groupBy("property", "utility", "provider", "account").pivot("month", months).agg(F.sum("recon"))
+    total = sum((F.coalesce(F.col(f"`{m}`"), F.lit(0)) for m in months), F.lit(0))
+    return wide.withColumn("total", total)
+
+
+def utility_pivot(spark, sf_dir: str) -> DataFrame:
+    found = cells(bills(spark, sf_dir))
+    months = timeline(found)
+    return months_across(found, months).select("property", "utility", "provider", "account", *[F.col(f"`{m}`").cast("double").alias(f"m{m.replace('-', '')}") for m in months], F.col("total").cast("double").alias("total"))
+
+
+_ALL_MONTHS = [f"{m // 12}-{m % 12 + 1:02d}" for m in range(1994 * 12 + 11, 2001 * 12 + 10)]
+UTILITY_PIVOT = f"""WITH {BILLS}, {CELLS} SELECT property, utility, provider, account, {', '.join(f"CAST(sum(recon) FILTER (month = '{m}') AS DOUBLE) AS m{m.replace('-', '')}" for m in _ALL_MONTHS)}, CAST(sum(recon) AS DOUBLE) AS total
+FROM cells GROUP BY property, utility, provider, account"""
+
+
+def account_order(spark, sf_dir: str) -> DataFrame:
+    """Each property's rows in the order of a reader's alphabet, by provider, then account: case only decides between equals."""
+    found = cells(bills(spark, sf_dir)).select("property", "provider", "account").distinct()
+    named = found.withColumn("provider", F.when(F.col("account") % 2 == 0, F.upper("provider")).otherwise(F.lower("provider"))).withColumn("account", F.concat(F.lit("A"), F.lpad(F.col("account").cast("string"), 9, "0")))
+    place = F.row_number().over(Window.partitionBy("property").orderBy(F.collate("provider", "UNICODE"), F.collate("account", "UNICODE")))
+    return named.select("property", "provider", "account", place.alias("place"))
+
+
+ACCOUNT_ORDER = f"""WITH {BILLS}, n AS (SELECT DISTINCT property, CASE WHEN account % 2 = 0 THEN upper(provider) ELSE lower(provider) END AS provider, 'A' || lpad(CAST(account AS VARCHAR), 9, '0') AS account FROM bills)
+SELECT property, provider, account, CAST(row_number() OVER (PARTITION BY property ORDER BY lower(provider), provider DESC, account) AS INTEGER) AS place FROM n"""
+
 QUERIES = {
+    "utility_pivot": (utility_pivot, UTILITY_PIVOT),
+    "account_order": (account_order, ACCOUNT_ORDER),
     "utility_cells": (utility_cells, UTILITY_CELLS),
     "utility_totals": (utility_totals, UTILITY_TOTALS),
     "utility_variance": (utility_variance, UTILITY_VARIANCE),

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import eav, extraction, fields, geometry, linkage, matching, page_folds, scalars
+from .operators import eav, extraction, fields, geometry, linkage, matching, page_folds, page_sources, scalars
 from .plans import bank, usage, utility
 
-MODULES = (utility, bank, eav, usage, scalars, linkage, matching, geometry, page_folds, extraction, fields)
+MODULES = (utility, bank, eav, usage, scalars, linkage, matching, geometry, page_folds, extraction, fields, page_sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
