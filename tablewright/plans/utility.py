@@ -52,24 +52,28 @@ UTILITY_CELLS = f"WITH {BILLS}, {CELLS} SELECT property, utility, provider, acco
 def totals(found: DataFrame) -> DataFrame:
     """The report in long form, a row per cell of each level: rows with their totals over months, a total per utility and
     month, all utilities per month, and the property's total. level says which columns are totalled over."""
-    sets = "(property, utility, provider, account, month), (property, utility, provider, account), (property, utility, month), (property, utility), (property, month), (property)"
-    found.createOrReplaceTempView("_tablewright_cells")
-    return found.sparkSession.sql(f"""
-        SELECT property, utility, provider, account, month, cast(grouping_id(property, utility, provider, account, month) AS int) AS level,
-          cast(sum(recon) AS double) AS recon, sum(n_bills) AS n_bills
-        FROM _tablewright_cells GROUP BY GROUPING SETS ({sets})""")
+    every = ["property", "utility", "provider", "account", "month"]
+    sets = [every, every[:4], ["property", "utility", "month"], every[:2], ["property", "month"], ["property"]]
+    by = lambda names: [F.col(c) for c in names]
+    return found.groupingSets([by(s) for s in sets], *by(every)).agg(F.grouping_id().cast("int").alias("level"), F.sum("recon").cast("double").alias("recon"), F.sum("n_bills").alias("n_bills"))
+
+
+def printed_once(rows: DataFrame) -> DataFrame:
+    """Bills whose provider, account and property are printed on a file's first page and on some others."""
+    here = (F.col("page") <= 1) | (F.col("page") % 3 == 0)
+    return rows.withColumns({c: F.when(here, F.col(c)) for c in ("provider", "account", "property")})
 
 
 def utility_totals(spark, sf_dir: str) -> DataFrame:
     """Flagship: file order carries provider, account and property forward, bills are bucketed into months and summed with
     other charges and taxes, and every subtotal of the report is added."""
-    rows = bills(spark, sf_dir)
-    named = rows.withColumns({c: carried(rows, c) for c in ("provider", "account", "property")})
-    return totals(cells(named))
+    rows = printed_once(bills(spark, sf_dir))
+    return totals(cells(rows.withColumns({c: carried(rows, c) for c in ("provider", "account", "property")})))
 
 
-UTILITY_TOTALS = f"""WITH {BILLS}, {CELLS} SELECT property, utility, provider, account, month, CAST(grouping_id(property, utility, provider, account, month) AS INTEGER) AS level,
-  CAST(sum(recon) AS DOUBLE) AS recon, CAST(sum(n_bills) AS BIGINT) AS n_bills
+_LAST = ", ".join(f"last_value(CASE WHEN page <= 1 OR page % 3 = 0 THEN {c} END IGNORE NULLS) OVER (PARTITION BY file ORDER BY seq ROWS UNBOUNDED PRECEDING) AS {c}" for c in ("provider", "account", "property"))
+UTILITY_TOTALS = f"""WITH {BILLS.replace("bills AS (", "all_bills AS (", 1)}, bills AS (SELECT * REPLACE ({_LAST}) FROM all_bills), {CELLS}
+SELECT property, utility, provider, account, month, CAST(grouping_id(property, utility, provider, account, month) AS INTEGER) AS level, CAST(sum(recon) AS DOUBLE) AS recon, CAST(sum(n_bills) AS BIGINT) AS n_bills
 FROM cells GROUP BY GROUPING SETS ((property, utility, provider, account, month), (property, utility, provider, account), (property, utility, month), (property, utility), (property, month), (property))"""
 
 
