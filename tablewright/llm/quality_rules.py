@@ -11,12 +11,14 @@ NGRAM = 5
 #: Share of a group's rows that the estimate fits, as is usual for MCD between 0.5 and 1.
 SUPPORT = 0.75
 C_STEPS = 4
-#: Groups of fewer rows share one pooled estimate.
-MIN_ROWS = 50
+#: Starting estimates of the search.
+STARTS = 3
+#: Rows that the estimate over all groups counts for in each group's own: a group of many rows is on its own, one of few leans on all.
+PRIOR_ROWS = 50
 #: Least standard deviation of each transformed statistic; most are constant over clean text, where MCD is singular.
 FLOORS = {"mean_word": 0.10, "symbols": 0.10, "dup_lines": 0.10, "repeats": 0.10, "upper": 0.10}
-#: Squared distance beyond which a row is rejected: nine standard deviations, as statistics of short texts have long tails (the 0.9999
-#: quantile of chi-squared at 5 degrees is 25.7).
+#: Squared distance beyond which a row is rejected: nine standard deviations. Set by hand, as statistics of short texts have longer tails than
+#: a normal: between it and the 0.9999 quantile of chi-squared at 5 degrees (25.7) lie some clean texts and no bad ones of the test tables.
 CUTOFF = 81.0
 
 
@@ -73,71 +75,96 @@ def transformed(s: DataFrame) -> DataFrame:
 DIMS = tuple(FLOORS)
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    aggs = [F.avg(d).alias(f"mu_{d}") for d in DIMS]
-    aggs += [F.covar_pop(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(DIMS) for j, b in enumerate(DIMS) if j <= i]
-    return _inverse(rows.groupBy("_key").agg(*aggs))
+PAIRS = [(i, j) for i in range(len(DIMS)) for j in range(i + 1)]
 
 
-def _inverse(est: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor of the covariance plus the floors' variances, one small row per group."""
-    for i, a in enumerate(DIMS):
-        for j in range(i + 1):
-            rest = F.col(f"c_{i}_{j}") + (F.lit(FLOORS[a] ** 2) if i == j else F.lit(0.0))
-            for k in range(j):
-                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            est = est.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return est.select("_key", *[f"mu_{d}" for d in DIMS], *[f"l_{i}_{j}" for i in range(len(DIMS)) for j in range(i + 1)])
+def _factor(est: DataFrame, s: int) -> DataFrame:
+    """Replaces start s's covariance by the Cholesky factor of it plus the floors' variances, and adds the log of its determinant."""
+    for i, j in PAIRS:
+        rest = F.col(f"c{s}_{i}_{j}") + F.lit(FLOORS[DIMS[i]] ** 2 if i == j else 0.0)
+        for k in range(j):
+            rest = rest - F.col(f"l{s}_{i}_{k}") * F.col(f"l{s}_{j}_{k}")
+        est = est.withColumn(f"l{s}_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{s}_{j}_{j}"))
+    return est.withColumn(f"det{s}", sum((2 * F.log(f"l{s}_{i}_{i}") for i in range(len(DIMS))), F.lit(0.0))).drop(*[f"c{s}_{i}_{j}" for i, j in PAIRS])
 
 
-def _distance(rows: DataFrame, est: DataFrame) -> DataFrame:
-    """Adds the squared Mahalanobis distance, by forward substitution."""
-    rows = rows.drop("d2").join(est, "_key")
-    total = F.lit(0.0)
+def _distance(s: int) -> Column:
+    """The squared Mahalanobis distance of the row's statistics from start s's estimate beside them, by forward substitution."""
+    zs: list[Column] = []
     for i, d in enumerate(DIMS):
-        z = F.col(d) - F.col(f"mu_{d}")
-        for k in range(i):
-            z = z - F.col(f"l_{i}_{k}") * F.col(f"z_{k}")
-        rows = rows.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
-        total = total + F.col(f"z_{i}") * F.col(f"z_{i}")
-    return rows.withColumn("d2", total).drop(*[c for c in est.columns if c != "_key"], *[f"z_{i}" for i in range(len(DIMS))])
+        z = F.col(d) - F.col(f"m{s}_{i}")
+        for k, before in enumerate(zs):
+            z = z - F.col(f"l{s}_{i}_{k}") * before
+        zs.append(z / F.col(f"l{s}_{i}_{i}"))
+    return sum((z * z for z in zs), F.lit(0.0))
+
+
+def _steadied(moments: DataFrame, prior: int) -> DataFrame:
+    """Moments of each group (n, m, c of each start), drawn towards those over all groups as by `prior` rows more. One row per group."""
+    names = [(s, n) for s in range(STARTS) for n in ([f"m{s}_{i}" for i in range(len(DIMS))] + [f"c{s}_{i}_{j}" for i, j in PAIRS])]
+    every = moments.agg(F.lit(1).alias("_one"), *[(F.sum(F.col(n) * F.col(f"n{s}")) / F.sum(f"n{s}")).alias(f"all_{n}") for s, n in names])
+    both = moments.withColumn("_one", F.lit(1)).join(every, "_one").drop("_one")
+    both = both.withColumns({n: (F.coalesce(n, F.lit(0.0)) * F.col(f"n{s}") + F.col(f"all_{n}") * prior) / (F.col(f"n{s}") + prior) for s, n in names})
+    for s in range(STARTS):
+        both = _factor(both, s)
+    return both.drop(*[f"all_{n}" for _, n in names])
+
+
+def mcd(rows: DataFrame, scratch: Scratch, support: float = SUPPORT, c_steps: int = C_STEPS, prior: int = PRIOR_ROWS) -> DataFrame:
+    """rows (_key, statistics) to one row per key: centre m0_i, Cholesky factor l0_i_j and log-determinant det0 of the best estimate found.
+
+    Deterministic starts: medians with the floors, medians with interquartile ranges, means with covariances. From each, c_steps times the `support`
+    share of a group's rows at the least distance gives new moments (the C-step of MCD); of the ends the one of least determinant is
+    taken. Without floors, prior and approximate percentiles no C-step would increase the determinant; with them one may, by little.
+    All starts go through the same passes: two aggregates a step over the statistics, with partial sums in each task, beside a table of one row per
+    group, whose size Spark knows as it is written. No group is gathered.
+    """
+    quarter = lambda d: F.percentile_approx(d, [0.25, 0.5, 0.75], 1000)
+    seen = scratch.write(rows.groupBy("_key").agg(F.count("*").cast("double").alias("n"), *[quarter(d).alias(f"q_{i}") for i, d in enumerate(DIMS)], *[F.avg(d).alias(f"a_{i}") for i, d in enumerate(DIMS)], *[F.covar_pop(DIMS[i], DIMS[j]).alias(f"v_{i}_{j}") for i, j in PAIRS]))
+    first = {f"n{s}": F.col("n") for s in range(STARTS)}
+    for i in range(len(DIMS)):
+        first |= {f"m0_{i}": F.get(f"q_{i}", F.lit(1)), f"m1_{i}": F.get(f"q_{i}", F.lit(1)), f"m2_{i}": F.col(f"a_{i}")}
+    for i, j in PAIRS:
+        spread = (F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349
+        first |= {f"c0_{i}_{j}": F.lit(0.0), f"c1_{i}_{j}": spread * spread if i == j else F.lit(0.0), f"c2_{i}_{j}": F.coalesce(f"v_{i}_{j}", F.lit(0.0))}
+    est = scratch.write(_steadied(seen.select("_key", *[c.alias(n) for n, c in first.items()]), prior))
+    for _ in range(c_steps):
+        near = rows.join(est, "_key").select("_key", *DIMS, *[_distance(s).alias(f"d{s}") for s in range(STARTS)])
+        radius = scratch.write(near.groupBy("_key").agg(*[F.percentile_approx(f"d{s}", support, 1000).alias(f"r{s}") for s in range(STARTS)]))
+        inner = near.join(radius, "_key")
+        aggs = []
+        for s in range(STARTS):
+            take = lambda d, s=s: F.when(F.col(f"d{s}") <= F.col(f"r{s}"), F.col(d))
+            aggs += [F.count(take(DIMS[0])).cast("double").alias(f"n{s}"), *[F.avg(take(d)).alias(f"m{s}_{i}") for i, d in enumerate(DIMS)], *[F.covar_pop(take(DIMS[i]), take(DIMS[j])).alias(f"c{s}_{i}_{j}") for i, j in PAIRS]]
+        new = scratch.write(_steadied(inner.groupBy("_key").agg(*aggs), prior))
+        scratch.drop(est, radius)
+        est = new
+    scratch.drop(seen)
+    pick = lambda name: F.coalesce(*[F.when(F.col(f"det{s}") == F.least(*[f"det{k}" for k in range(STARTS)]), F.col(name.format(s=s))) for s in range(STARTS)])
+    names = [f"m{{s}}_{i}" for i in range(len(DIMS))] + [f"l{{s}}_{i}_{j}" for i, j in PAIRS] + ["det{s}"]
+    return est.select("_key", *[pick(n).alias(n.format(s=0)) for n in names])
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), support: float = SUPPORT, c_steps: int = C_STEPS, min_rows: int = MIN_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), support: float = SUPPORT, c_steps: int = C_STEPS, prior: int = PRIOR_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """One row per row of docs: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance
     (squared; null if base_failed) and kept.
 
     Words are runs without ASCII white space (null text: none). Texts of fewer than 10 words, or with over 20% of their
     words in repeated 5-word windows, fail the base rules. For the others, each group (language and source, nulls being
-    values of their own) gets a robust centre and scatter of the transformed statistics: from the medians and the floors
-    as first estimate, c_steps times the `support` share of rows at the least distance is taken and its mean and covariance are
-    recomputed, which never increases the covariance's determinant (the C-step of MCD). Rows beyond the cutoff are
-    rejected. Groups of fewer than min_rows rows are pooled.
-
-    Texts are read once into a table of counts; the steps run on that, as partial aggregates by group and joins with one
-    small row per group, so a group with a third of all rows is never gathered. Medians and the support's radius are
-    approximate percentiles of bounded size. Repeated rows count each time.
+    values of their own) gets a robust centre and scatter of the transformed statistics (see mcd), drawn towards that of all groups as by `prior`
+    rows. Rows beyond the cutoff are rejected.
+
+    Texts are read once into a table of counts; the steps run on that. Medians and the support's radius are approximate
+    percentiles of bounded size. Repeated rows count each time. An empty table gives no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.write(statistics(docs, id_col, text_col, list(group_cols)))
     stats = stats.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    good = transformed(stats.filter("not base_failed"))
-    sizes = good.groupBy("_group").agg((F.count("*") >= min_rows).alias("_own"))
-    rows = good.select("_group", *DIMS).join(sizes, "_group").withColumn("_key", F.when(F.col("_own"), F.col("_group")).otherwise("pooled")).drop("_own")
-    keys = sizes.select("_group", F.when(F.col("_own"), F.col("_group")).otherwise("pooled").alias("_key"))
-
-    median = rows.groupBy("_key").agg(*[F.percentile_approx(d, 0.5, 1000).alias(f"mu_{d}") for d in DIMS])
-    est = _inverse(median.withColumns({f"c_{i}_{j}": F.lit(0.0) for i in range(len(DIMS)) for j in range(i + 1)}))
-    est = scratch.write(est)
-    for _ in range(c_steps):
-        near = _distance(rows, est)
-        radius = near.groupBy("_key").agg(F.percentile_approx("d2", support, 1000).alias("_radius"))
-        new = scratch.write(_moments(near.join(radius, "_key").filter("d2 <= _radius")))
-        scratch.drop(est)
-        est = new
-    est = est.join(keys, "_key").drop("_key").withColumnRenamed("_group", "_key")
-    out = _distance(good.withColumnRenamed("_group", "_key"), est).select("_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance"), (F.col("d2") <= cutoff).alias("kept"))
-    failed = stats.filter("base_failed").select("_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
+    good = transformed(stats.filter("not base_failed")).withColumnRenamed("_group", "_key")
+    est = scratch.write(mcd(good.select("_key", *DIMS), scratch, support, c_steps, prior))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    out = good.join(est, "_key").withColumn("distance", _distance(0)).select("_id", *counts, "distance", (F.col("distance") <= cutoff).alias("kept"))
+    failed = stats.filter("base_failed").select("_id", *counts, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return out.unionAll(failed).withColumnRenamed("_id", id_col)
 
 

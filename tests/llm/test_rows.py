@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 from fixtures import frame, messy  # noqa: E402
 
+from tablewright.llm.common import Scratch  # noqa: E402
 from tablewright.llm import html_extract, language_id, line_crf, packing, quality_rules, secrets  # noqa: E402
 
 
@@ -121,7 +122,7 @@ def test_quality(spark):
     rows = messy()
     rows += [(7000 + i, t, "en", "s1", 0, None, None, None, None) for i, t in enumerate(["a b c d e a b c d e f", "x y " * 30, "##" * 40 + " a b c d e f g h i j k l"])]
     junk = [(8000 + i, " ".join(f"{w}$$$###" for w in rows[i][1].split()), "en", "s1", 0, None, None, None, None) for i in range(10)]
-    out = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows + junk), min_rows=20).collect()}
+    out = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows + junk)).collect()}
     for i, t, *_ in rows + junk:
         if i not in (None, 5000):
             r = out[i]
@@ -133,6 +134,48 @@ def test_quality(spark):
     assert quality_rules.quality_rules(frame(spark, [])).count() == 0
 
 
+def mcd_by_hand(x, support, floors, rng, starts=300):
+    """The least determinant that C-steps from random starts reach, exact at every step."""
+    best, h = np.inf, int(np.ceil(support * len(x)))
+    for _ in range(starts):
+        some = x[rng.choice(len(x), 6, replace=False)]
+        for _ in range(30):
+            cov = np.cov(some.T, bias=True) + np.diag(floors**2)
+            z = x - some.mean(0)
+            some = x[np.argsort(np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z), kind="stable")[:h]]
+        best = min(best, np.linalg.slogdet(np.cov(some.T, bias=True) + np.diag(floors**2))[1])
+    return best
+
+
+def test_mcd_against_random_starts(spark):
+    """Two groups, a fifth of each far away: the search ends as low as the best of many random starts, and the far rows are far."""
+    rng = np.random.default_rng(9)
+    dims, floors = quality_rules.DIMS, np.array(list(quality_rules.FLOORS.values()))
+    data, out = {}, []
+    for key, scale in (("a", 1.0), ("b", 0.3)):
+        mix = rng.normal(size=(5, 5)) * scale
+        x = np.concatenate([rng.normal(size=(240, 5)) @ mix, 8 + rng.normal(size=(60, 5)) @ mix * 0.2])
+        data[key] = x
+        out += [(key, *map(float, r)) for r in x]
+    rows = spark.createDataFrame(out, "_key string, " + ", ".join(f"{d} double" for d in dims)).repartition(3)
+    est = {r["_key"]: r for r in quality_rules.mcd(rows, Scratch(spark, "test"), prior=0, c_steps=8).collect()}
+    for key, x in data.items():
+        assert est[key].det0 <= mcd_by_hand(x, quality_rules.SUPPORT, floors, rng) + 0.1
+        low = np.zeros((5, 5))
+        for i, j in quality_rules.PAIRS:
+            low[i, j] = est[key][f"l0_{i}_{j}"]
+        z = np.linalg.solve(low, (x - [est[key][f"m0_{i}"] for i in range(5)]).T)
+        d = (z * z).sum(0)
+        assert d[:240].max() < 81 < d[240:].min()
+
+
+def test_small_groups_lean_on_all(spark):
+    """A group's estimate moves with its number of rows without a step: one row of a language of its own is judged as all others are."""
+    rows = messy() + [(9100, "ordinary words of a text that is the only one in its language here", "xx", "s9", 0, None, None, None, None), (9101, " ".join(f"#$%&{k}***|||" for k in range(40)), "yy", "s9", 0, None, None, None, None)]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    assert out[9100].kept and not out[9101].kept
+
+
 # -- secrets
 
 
