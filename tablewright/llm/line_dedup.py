@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, Scratch, ascii_lower, or_empty, table
+from .common import SPACE_CHARS, Scratch, ascii_lower, or_empty, slot_filter, slot_of, slot_test, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -76,7 +76,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Ids are taken in `batches` ranges from the largest down, so the first batch that holds a line holds its keeper, and
     a line found in min_docs documents is settled: later batches merge-anti-join it away and it takes no further room.
     A line that all documents share costs one row per document in one even shuffle, then one partial sum per task.
-    Texts are shuffled once, by id, to meet the list of their dropped line numbers.
+    Texts that lose a line are shuffled once, by id, to meet the list of its number; a slot filter of bounded size lets the others pass. An empty
+    table gives no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(id_col).alias("_id"), or_empty(F.col(text_col)).alias("_text")).withColumn("_rid", F.xxhash64("_text"))
@@ -95,10 +96,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs.add(held.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("_id").alias("keeper")), min_docs)
     common = runs.view().filter(F.col("docs") >= min_docs).select("h1", "h2", "keeper")
     lost = lines.join(common, ["h1", "h2"]).filter(~F.col("_id").eqNullSafe(F.col("keeper")))
-    lost = lost.groupBy("_id", "_rid").agg(F.sort_array(F.collect_set("_pos")).alias("_lost"))
-
+    lost = scratch.write(lost.groupBy("_id", "_rid").agg(F.sort_array(F.collect_set("_pos")).alias("_lost")))
+    scratch.release()
+
+    # texts that lose no line stay where they are, but for a few that share a slot with one that does; the lists grow with the table, so they
+    # aren't broadcast even where they would fit
+    touched = scratch.write(slot_filter(lost.select(slot_of(F.col("_id"), F.col("_rid")).alias("slot")).distinct()))
+    marked = slot_test(rows.withColumn("_slot", slot_of(F.col("_id"), F.col("_rid"))), "_slot", touched, "_maybe").select("_id", "_rid", "_text", "_maybe")
+    met = marked.filter("_maybe").join(lost.withColumnsRenamed({"_id": "_lid", "_rid": "_lrid"}).hint("merge"), F.col("_id").eqNullSafe(F.col("_lid")) & (F.col("_rid") == F.col("_lrid")), "left")
     # what stays are the slices between dropped line numbers
-    text = rows.join(lost.withColumnsRenamed({"_id": "_lid", "_rid": "_lrid"}), F.col("_id").eqNullSafe(F.col("_lid")) & (F.col("_rid") == F.col("_lrid")), "left")
+    text = marked.filter(~F.col("_maybe")).select("_id", "_text", F.lit(None).cast("array<int>").alias("_lost")).unionAll(met.select("_id", "_text", "_lost"))
     text = text.withColumn("_lines", F.split("_text", "\n"))
     kept = F.expr("""array_join(flatten(transform(sequence(0, size(_lost)), i ->
         slice(_lines, if(i = 0, 0, _lost[i - 1] + 1) + 1, if(i = size(_lost), size(_lines), _lost[i]) - if(i = 0, 0, _lost[i - 1] + 1)))), '\n')""")
