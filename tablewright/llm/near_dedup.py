@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = groups.groupBy("l").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), (F.sum("n") <= BLOCK_SHINGLES).alias("few")).select("l", "parts", ((F.col("parts") == 1) & F.col("few")).alias("whole"))
     part = F.when(F.col("_id") == F.col("l"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int")))
     dealt = scratch.write(groups.join(parts, "l").select("l", "_id", "n", "whole", (F.col("_id") != F.col("l")).alias("follows"), F.explode(part).alias("part")))
-    streams = dealt.join(texts(picked), "_id").repartition("l", "part").sortWithinPartitions("l", "part", "follows").select("l", "part", "whole", "follows", "_id", "n", "_text")
+    # groups and blocks grow with the table, so they aren't broadcast even where they would fit
+    streams = dealt.hint("merge").join(texts(picked), "_id").repartition("l", "part").sortWithinPartitions("l", "part", "follows").select("l", "part", "whole", "follows", "_id", "n", "_text")
     edges = scratch.write(streams.mapInArrow(within_groups, f"a {kind}, b {kind}"))
     scratch.release()
     comps = scratch.write(components(edges, scratch))
@@ -313,7 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield _edges(found, g["_id"].type)
 
     far = scratch.write(slot_filter(known.select(slot_of(F.col("_id"), slots=FILTER).alias("slot")).distinct()))
-    meeting = blocks.join(texts(far), "_id").repartition("l", "i", "j").sortWithinPartitions("l", "i", "j").select("l", "i", "j", "at", "_id", "n", "c", "apart", "_text")
+    meeting = blocks.hint("merge").join(texts(far), "_id").repartition("l", "i", "j").sortWithinPartitions("l", "i", "j").select("l", "i", "j", "at", "_id", "n", "c", "apart", "_text")
     more = scratch.write(meeting.mapInArrow(within_blocks, f"a {kind}, b {kind}"))
     comps = scratch.write(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), scratch))
 
