@@ -50,7 +50,7 @@ def test_targets_and_taken(spark):
 
 def test_carry_keeps_columns_and_rows(spark):
     docs = spark.createDataFrame(rows_of(100), "doc_id long, text string, source string, size long")
-    out = mix_sources(docs, carry=True)
+    out = mix_sources(docs, carry="copies")
     assert out.columns == ["doc_id", "text", "source", "size", "copies"]
     assert sorted(map(str, out.drop("copies").collect())) == sorted(map(str, docs.collect()))
 
