@@ -39,30 +39,36 @@ class LanguageModel:
         self.probs = ((counts + SMOOTH) / (counts.sum(1, keepdims=True) + SMOOTH * BUCKETS)).astype(np.float64)
 
     def mixture(self, text: str | None) -> dict[str, float]:
-        """Language to proportion, of the languages selected; empty if the text has no letter or no language was learned.
+        """Language to proportion, of the languages selected; empty if the text has no letter or no language was learned."""
+        return self.infer(text)[0]
+
+    def infer(self, text: str | None) -> tuple[dict[str, float], float]:
+        """The mixture, and how much of the text it explains: its share beside a background that has every bucket alike.
 
         Expectation-maximisation over all languages orders them by proportion; then for the first, the first two, ... the
         proportions are fitted again, and the set with the greatest log-likelihood less PENALTY * log(n) per language is
-        taken, ending with the first set that isn't better than the one before.
+        taken, ending with the first set that isn't better than the one before. The background is fitted last, against
+        the set taken, and by the same penalty: without that gain the mixture explains all.
         """
         if not text or not self.names or not any(map(str.isalpha, text)):
-            return {}
+            return {}, 0.0
         grams = trigrams(text)
         if not len(grams):
-            return {}
+            return {}, 0.0
         count = np.bincount(grams, minlength=BUCKETS)
         seen = np.flatnonzero(count)
         p, w = self.probs[:, seen], count[seen].astype(np.float64)
         share = self._fit(p, w, np.full(len(self.names), 1 / len(self.names)), EM_STEPS)[0]
         order = np.argsort(-share, kind="stable")
-        penalty, best, found = PENALTY * np.log(w.sum() + 1), -np.inf, {}
+        penalty, best, found, mixed = PENALTY * np.log(w.sum() + 1), -np.inf, {}, p[order[0]]
         for k in range(1, len(order) + 1):
             some = order[:k]
             s, likelihood = self._fit(p[some], w, share[some] / share[some].sum() if share[some].sum() > 0 else np.full(k, 1 / k), EM_STEPS if k > 1 else 0)
             if likelihood - penalty * k <= best:
                 break
-            best, found = likelihood - penalty * k, {self.names[i]: float(x) for i, x in zip(some, s, strict=True)}
-        return found
+            best, found, mixed = likelihood - penalty * k, {self.names[i]: float(x) for i, x in zip(some, s, strict=True)}, s @ p[some]
+        beside, likelihood = self._fit(np.stack([mixed, np.full(len(mixed), 1 / BUCKETS)]), w, np.array([0.5, 0.5]), EM_STEPS)
+        return found, float(beside[0]) if likelihood - penalty > float(w @ np.log(mixed)) else 1.0
 
     @staticmethod
     def _fit(p: np.ndarray, w: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
@@ -110,22 +116,23 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", into: str = "language") -> DataFrame:
     """docs' columns and a struct `into` (in place of a column of that name) of lang_pred (the language of the greatest proportion, or und),
-    score (its proportion; 0 for und) and lang_mix (language to proportion).
+    score (its proportion; 0 for und), lang_mix (language to proportion) and known (how much of the text these languages explain, beside
+    a background of no language; 0 for und).
 
     Row by row, so repeated rows get the same and an empty table stays empty; only the text goes to Python. Null texts, and texts
     without a letter (Unicode category L; digits, symbols and marks are none), are und; so is every text if no language was learned.
     A text of any length is read whole, in memory proportional to it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("lang_mix", pa.map_(pa.string(), pa.float64()))])
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("lang_mix", pa.map_(pa.string(), pa.float64())), ("known", pa.float64())])
 
     def infer(texts: pa.Array) -> pa.Array:
-        mixes = [shared.value.mixture(t.as_py()) for t in texts]
-        top = [max(m.items(), key=lambda x: x[1]) if m else (UNKNOWN, 0.0) for m in mixes]
-        return pa.array([{"lang_pred": name, "score": min(1.0, share), "lang_mix": list(m.items())} for (name, share), m in zip(top, mixes, strict=True)], kind)
+        found = [shared.value.infer(t.as_py()) for t in texts]
+        top = [max(m.items(), key=lambda x: x[1]) if m else (UNKNOWN, 0.0) for m, _ in found]
+        return pa.array([{"lang_pred": name, "score": min(1.0, share), "lang_mix": list(m.items()), "known": known} for (name, share), (m, known) in zip(top, found, strict=True)], kind)
 
     # not deterministic only in name: Spark would else run it once for a filter and again for its columns
-    found = F.arrow_udf(infer, "struct<lang_pred:string,score:double,lang_mix:map<string,double>>").asNondeterministic()
+    found = F.arrow_udf(infer, "struct<lang_pred:string,score:double,lang_mix:map<string,double>,known:double>").asNondeterministic()
     return docs.withColumn(into, found(F.col(text_col).cast("string")))
 
 

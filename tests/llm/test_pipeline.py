@@ -39,6 +39,14 @@ def test_stages(spark):
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in mixed.collect())
 
 
+def test_language_stage_rejects_what_no_language_explains(spark):
+    rows = [tuple(r) for r in documents(spark).collect()]
+    junk = [(7000, " ".join("жλω#øþ"[k % 6 :] * 3 for k in range(60)), None, "s1", 0), (7001, "λόγος " * 40, "", "s1", 0)]
+    kept = {r.doc_id for r in through(spark, "language_id", spark.createDataFrame(rows + junk[:1], COLUMNS)).collect()}
+    assert 7000 not in kept and {4003, 4005, 4007, 5000} <= kept
+    assert 7001 in {r.doc_id for r in through(spark, "language_id", spark.createDataFrame(rows + junk[1:], COLUMNS)).collect()}  # a learned value
+
+
 CLASHES = ["score", "lang_pred", "lang_mix", "language", "copies", "copies_", "each", "_slot", "_maybe", "_sha", "_row", "_id", "_text", "_copy", "_b", "_k", "_gone", "kept", "size", "LANGUAGE_", "Copies__"]
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 import sys
 import time
@@ -96,6 +97,20 @@ def test_language(spark):
     assert language_id.identify(frame(spark), nothing).filter("language.lang_pred <> 'und'").count() == 0
 
 
+def test_known():
+    rng = random.Random(4)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(60)] for lang, letters in (("x", "abcdefgh"), ("y", "mnopqrst"))}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    counts = np.array([np.bincount(language_id.trigrams(text(lang, 20_000)), minlength=language_id.BUCKETS) for lang in ("x", "y")], float)
+    model = language_id.LanguageModel(["x", "y"], counts)
+    noise = lambda n: "".join(rng.choice("ijkluvwzåßλж") for _ in range(n))
+    assert all(model.infer(t)[1] > 0.95 for t in (text("x", 5), text("y", 500), text("x", 40) + " " + text("y", 40)))
+    assert all(model.infer(t)[1] < 0.1 for t in (noise(300), " ".join(noise(6) for _ in range(50))))
+    assert model.infer(None) == model.infer("12 + 3") == ({}, 0.0)
+    half = model.infer(text("x", 100) + " " + noise(600))
+    assert 0.25 < half[1] < 0.75 and half[0]["x"] > 0.9
+
+
 def test_mixture_is_a_maximum():
     """The fitted proportions beat a grid."""
     rng = np.random.default_rng(0)
