@@ -11,15 +11,14 @@ from tablewright.llm import language_id, mixing, near_dedup, packing
 from tablewright.llm.common import Scratch, ascii_lower, fresh, or_empty, packed, slot_filter, slot_of, slot_test, table, without_ids
 from tablewright.llm.exact_dedup import exact_dedup
 
-#: Least share of a document's words' trigrams that its main language must explain.
-MAIN_LANGUAGE = 0.5
 #: Least share of a document that the learned languages must explain, beside a background of no language. Random letters and other
 #: scripts have less than 0.1; a few words around long numbers and keys, which stay, 0.5 and more.
 KNOWN = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the documents' own language marks; rejects documents without a letter, in no learned language or without a main one.
+    """Learns from the documents' own language marks; rejects documents without a letter and those that no mixture of the
+    learned languages explains; a text in several of them stays, however even its shares.
     Without any mark nothing can be learned, and only documents without a letter go. Null and empty texts have no letter;
     repeated rows stay or go together; other columns come out as they went in, whatever their names."""
     model = language_id.learn(docs)
@@ -27,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     into = fresh("language", docs.columns)
     found = language_id.identify(docs, model, into=into)
-    return found.filter((F.col(f"{into}.lang_pred") != language_id.UNKNOWN) & (F.col(f"{into}.score") >= MAIN_LANGUAGE) & (F.col(f"{into}.known") >= KNOWN)).drop(into)
+    return found.filter((F.col(f"{into}.lang_pred") != language_id.UNKNOWN) & (F.col(f"{into}.known") >= KNOWN)).drop(into)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,14 @@ def test_language_stage_rejects_what_no_language_explains(spark):
     assert 7001 in {r.doc_id for r in through(spark, "language_id", spark.createDataFrame(rows + junk[1:], COLUMNS)).collect()}  # a learned value
 
 
+def test_language_stage_keeps_even_mixtures(spark):
+    words = {lang: ["".join(letters[(k * m + m) % len(letters)] for m in range(2, 7)) for k in range(40)] for lang, letters in (("x", "abcdefg"), ("y", "hijklmn"), ("z", "opqrstu"))}
+    rows = [(n, " ".join(w[(n + k) % 40] for k in range(50)), lang, "s", 0) for n, (lang, w) in enumerate(words.items())]
+    rows.append((9, " ".join(" ".join(w[:25]) for w in words.values()), None, "s", 0))
+    found = through(spark, "language_id", spark.createDataFrame(rows, COLUMNS))
+    assert sorted(r.doc_id for r in found.collect()) == [0, 1, 2, 9]
+
+
 CLASHES = ["score", "lang_pred", "lang_mix", "language", "copies", "copies_", "each", "_slot", "_maybe", "_sha", "_row", "_id", "_text", "_copy", "_b", "_k", "_gone", "kept", "size", "LANGUAGE_", "Copies__"]
 
 
