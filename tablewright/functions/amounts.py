@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def parse_number(c: Column) -> Column:
     """The number a text starts with, once $, commas and white space are out; null if it starts with none."""
@@ -14,12 +16,14 @@ def parse_number(c: Column) -> Column:
 def normalise_amount(c: Column, strict: bool = False) -> Column:
     """Amount with two decimals. Keeps digits, points, commas, dollars and minus; a text of even length whose halves are
     equal is taken for one printed twice, unless strict; parentheses lose their sign; what isn't a number stays raw."""
-    kept = F.regexp_replace(F.trim(c), r"[^0-9.,$-]", "")
-    half = (F.char_length(kept) / 2).cast("int")
-    twice = (F.char_length(kept) > 0) & (F.char_length(kept) % 2 == 0) & (F.substr(kept, F.lit(1), half) == F.substr(kept, half + 1))
-    once = kept if strict else F.when(twice, F.substr(kept, F.lit(1), half)).otherwise(kept)
-    number = F.regexp_extract(F.regexp_replace(once, r"[$,]", ""), r"^-?(?:\d+\.?\d*|\.\d+)", 0).try_cast("decimal(20,2)")
-    return F.when(c.isNull(), None).when(number.isNull(), c).otherwise(number.cast("string"))
+
+    def read(kept: Column) -> Column:
+        half = (F.char_length(kept) / 2).cast("int")
+        twice = (F.char_length(kept) > 0) & (F.char_length(kept) % 2 == 0) & (F.substr(kept, F.lit(1), half) == F.substr(kept, half + 1))
+        once = kept if strict else F.when(twice, F.substr(kept, F.lit(1), half)).otherwise(kept)
+        return F.regexp_extract(F.regexp_replace(once, r"[$,]", ""), r"^-?(?:\d+\.?\d*|\.\d+)", 0).try_cast("decimal(20,2)").cast("string")
+
+    return F.coalesce(let(F.regexp_replace(F.trim(c), r"[^0-9.,$-]", ""), read), c)
 
 
 def is_numeric_token(c: Column) -> Column:

@@ -1,6 +1,7 @@
 """Text cleaning, tokens and names."""
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +26,11 @@ NOISE = (
 )
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c evaluated once, however often it is used: expressions nested by plain repetition grow exponentially."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def halve_double(c: Column) -> Column:
     """A text printed twice, with or without a space between, once."""
     n = F.char_length(c)
@@ -44,7 +50,7 @@ def sanitise(c: Column) -> Column:
     s = c
     for pattern in NOISE:
         s = F.regexp_replace(s, pattern, "")
-    return F.nullif(halve_double(F.trim(F.regexp_replace(s, r"[\s\p{Z}]+", " "))), F.lit(""))
+    return let(F.trim(F.regexp_replace(s, r"[\s\p{Z}]+", " ")), lambda x: F.when(x != "", halve_double(x)))
 
 
 def normalise_text(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import normalise_amount, normalise_percent, normalise_year
 from ..functions.dates import extract_date, normalise_date
-from ..functions.text import sanitise
+from ..functions.text import let, sanitise
 from ..sources.tables import EXTRACTED, extracted, table
 
 # The fields of each kind. No field is a percent.
@@ -28,9 +28,12 @@ END_FIELD = "billing_date"
 
 def clean_value(field: Column, value: Column) -> Column:
     """The value cleaned, then normalised by its field's kind; null if nothing is left of it."""
-    v = sanitise(value)
-    out = F.when(field == END_FIELD, normalise_date(v, take_end=True)).when(field.isin(*DATE_FIELDS), normalise_date(v)).when(field.isin(*AMOUNT_FIELDS), normalise_amount(v)).when(field.isin(*YEAR_FIELDS), normalise_year(v))
-    return (out.when(field.isin(*PERCENT_FIELDS), normalise_percent(v)) if PERCENT_FIELDS else out).otherwise(v)
+
+    def by_kind(v: Column) -> Column:
+        out = F.when(field == END_FIELD, normalise_date(v, take_end=True)).when(field.isin(*DATE_FIELDS), normalise_date(v)).when(field.isin(*AMOUNT_FIELDS), normalise_amount(v)).when(field.isin(*YEAR_FIELDS), normalise_year(v))
+        return (out.when(field.isin(*PERCENT_FIELDS), normalise_percent(v)) if PERCENT_FIELDS else out).otherwise(v)
+
+    return let(sanitise(value), by_kind)
 
 
 def early_date(field: Column, value: Column) -> Column:
