@@ -168,3 +168,16 @@ def test_layout_of_long_lines(spark):
     for k in want:
         by_page[k[1] // 50 + 1] += 1
     assert by_page[1] == first.count()
+
+
+def test_label_values(spark):
+    from tablewright.operators.label_search import label_values
+    from tablewright.sources.layout import words
+
+    rest = "\n\n\n\n\nother words that make this page one of more than ten"
+    pages = [(1, "Due date : 03/04/2024" + rest), (2, "Due date       here" + rest), (3, "My due date\n   soon and later" + rest), (4, "due\ndate\n --" + rest), (5, "Due date: x"), (6, "Date due y | z" + rest), (7, "" + rest)]
+    found = label_values(words(spark.createDataFrame(pages, "id long, t string"), "id", "t"), [("when", "Due Date"), ("when", "due"), ("never", "no such label"), ("empty", "")])
+    rows = {(r.doc, r.field): r.value for r in found.collect()}
+    # 2: one word beside the label, however far; 4: a separator below the first label, the word below the second; 5: too few words; 6: the second label of the field
+    assert rows == {(1, "when"): "03/04/2024", (2, "when"): "here", (3, "when"): "soon", (4, "when"): "date", (6, "when"): "y"}
+    assert label_values(words(spark.createDataFrame([], "id long, t string"), "id", "t"), [("a", "b")]).count() == 0
