@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language_id, line_crf, line_dedup, mixing, near_dedup, packing, quality_rules, secrets
+from . import exact_dedup, html_extract, language_id, line_crf, line_dedup, mixing, near_dedup, packing, quality_rules, secrets, vector_search
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op7_secret_scan": secrets.op7_secret_scan,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_nearest_neighbours": vector_search.op11_nearest_neighbours,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": line_dedup.ORACLE,
         "op5_mix_sources": mixing.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
+        "op11_nearest_neighbours": vector_search.ORACLE,
     }
