@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language_id, line_crf, line_dedup, mixing, near_dedup, packing, quality_rules, secrets, spelling, vector_search
+from . import exact_dedup, html_extract, language_id, lexical_search, line_crf, line_dedup, mixing, near_dedup, packing, quality_rules, secrets, spelling, vector_search
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_nearest_neighbours": vector_search.op11_nearest_neighbours,
         "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_ranked_search": lexical_search.op13_ranked_search,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_exact_dedup": exact_dedup.ORACLE,
         "op11_nearest_neighbours": vector_search.ORACLE,
         "op12_spelling_variants": spelling.ORACLE,
+        "op13_ranked_search": lexical_search.ORACLE,
     }
