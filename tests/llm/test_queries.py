@@ -55,7 +55,7 @@ def folder(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def results(spark, folder):
-    return {k: QUERIES[k](spark, folder[0]).collect() for k in QUERIES}
+    return {k: QUERIES[k](spark, folder[0]).collect() for k in COLUMNS}
 
 
 @pytest.mark.parametrize("op", sorted(COLUMNS))
