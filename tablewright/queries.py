@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import eav, extraction, fields, geometry, label_search, linkage, matching, page_folds, page_sources, scalars
+from .operators import eav, extraction, fields, geometry, label_search, linkage, matching, page_folds, page_sources, region_tables, scalars
 from .plans import bank, usage, utility
 
-MODULES = (utility, bank, eav, usage, scalars, linkage, matching, geometry, page_folds, extraction, fields, label_search, page_sources)
+MODULES = (utility, bank, eav, usage, scalars, linkage, matching, geometry, page_folds, extraction, fields, label_search, page_sources, region_tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
