@@ -145,6 +145,45 @@ def batch_counts(spark, sf_dir: str) -> DataFrame:
 BATCH_COUNTS = "SELECT n_nationkey AS batch, n_name AS name, count(c_custkey) AS record_count FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 = 1 AND c_nationkey % 5 <> 0) ON n_nationkey = c_nationkey GROUP BY 1, 2"
 
 
+def list_batches(batches: DataFrame, records: DataFrame) -> DataFrame:
+    """Batches (batch, created_at, ...) with the number of their records (batch, record), newest first, ties by batch: a range-partitioned sort.
+    Records are counted before they meet their batch, so a batch with many is no more than one row per task."""
+    counts = records.groupBy("batch").agg(F.count("record").alias("record_count"))
+    return batches.join(counts, "batch", "left").fillna(0, ["record_count"]).orderBy(F.desc("created_at"), "batch")
+
+
+def batch_records(records: DataFrame, batch: int) -> DataFrame:
+    """A batch's records by filename and page, their fields, kept as JSON text, as a map; text that isn't JSON gives no fields."""
+    return records.filter(F.col("batch") == batch).withColumn("fields", F.from_json("fields", "map<string,string>")).orderBy("filename", "page")
+
+
+def batch_list(spark, sf_dir: str) -> DataFrame:
+    """Customers as batches of their orders; place is a batch's among those of its nation, newest first."""
+    batches = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch"), "c_nationkey", F.expr("date_add(date'2024-01-01', cast(c_custkey * 7 % 365 as int))").alias("created_at"))
+    records = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("record"))
+    listed = list_batches(batches, records)
+    return listed.select("batch", "record_count", F.col("created_at").cast("string").alias("created_at"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("created_at"), "batch")).alias("place"))
+
+
+BATCH_LIST = """WITH b AS (SELECT c_custkey AS batch, c_nationkey, DATE '2024-01-01' + CAST(c_custkey * 7 % 365 AS INTEGER) AS created_at FROM customer)
+SELECT batch, count(o_orderkey) AS record_count, CAST(created_at AS VARCHAR) AS created_at, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY created_at DESC, batch) AS INTEGER) AS place
+FROM b LEFT JOIN orders ON o_custkey = batch GROUP BY batch, c_nationkey, created_at"""
+
+
+def batch_record_fields(spark, sf_dir: str) -> DataFrame:
+    """Every order's line items as a batch's records, whose fields are kept as JSON: read back in the order of the list, with fields as a map; every tenth
+    text is broken."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch"), F.concat(F.lit("f"), F.col("l_suppkey"), F.lit(".pdf")).alias("filename"), F.col("l_linenumber").cast("int").alias("page"), "l_partkey", "l_extendedprice", F.to_json(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_partkey").cast("string").alias("part"))).alias("fields"))
+    li = li.withColumn("fields", F.when((F.col("batch") + F.col("page")) % 10 == 0, F.expr("left(fields, 5)")).otherwise(F.col("fields")))
+    read = li.withColumn("fields", F.from_json("fields", "map<string,string>"))
+    order = Window.partitionBy("batch").orderBy("filename", "page", "l_partkey", "l_extendedprice")
+    return read.select("batch", "filename", "page", F.row_number().over(order).alias("place"), F.element_at("fields", F.lit("flag")).alias("flag"), F.element_at("fields", F.lit("part")).alias("part"))
+
+
+BATCH_RECORD_FIELDS = """SELECT l_orderkey AS batch, 'f' || l_suppkey || '.pdf' AS filename, CAST(l_linenumber AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY 'f' || l_suppkey || '.pdf', l_linenumber, l_partkey, l_extendedprice) AS INTEGER) AS place,
+  CASE WHEN (l_orderkey + l_linenumber) % 10 <> 0 THEN l_returnflag END AS flag, CASE WHEN (l_orderkey + l_linenumber) % 10 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS part FROM lineitem"""
+
+
 def _records(spark, sf_dir: str, change: bool) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     rows = c.selectExpr("c_nationkey AS batch", "c_custkey AS session", "cast(c_custkey % 3 AS int) AS page", "c_name AS value")
@@ -255,6 +294,8 @@ QUERIES = {
     "batch_fold": (batch_fold, BATCH_FOLD),
     "batch_unpivot": (batch_unpivot, BATCH_UNPIVOT),
     "batch_counts": (batch_counts, BATCH_COUNTS),
+    "batch_list": (batch_list, BATCH_LIST),
+    "batch_record_fields": (batch_record_fields, BATCH_RECORD_FIELDS),
     "batch_upsert": (batch_upsert, BATCH_UPSERT),
     "live_wins_union": (live_wins_union, LIVE_WINS_UNION),
     "edit_nth": (edit_nth, EDIT_NTH),

@@ -42,13 +42,14 @@ SELECT conv_id, turn, nullif(CASE WHEN length(s) % 2 = 1 AND length(s) > 2 AND s
 
 
 def printed_dates(spark, sf_dir: str) -> DataFrame:
-    """Every order's date in one of eight ways, some within a range."""
+    """Every order's date in one of twelve ways, some within a range, some that only one of the two readers takes."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
     f = lambda p, c="d": F.date_format(c, p)
-    later, k = F.date_add("d", 40), F.col("o_orderkey") % 8
+    later, k = F.date_add("d", 40), F.col("o_orderkey") % 12
     raw = (
         F.when(k == 0, f("MMM d, yyyy")).when(k == 1, f("MM/dd/yyyy")).when(k == 2, f("yyyy-MM-dd")).when(k == 3, F.concat(F.lit("Statement Period: "), f("MMMM d, yyyy"), F.lit(" to "), F.date_format(later, "MMMM d, yyyy")))
-        .when(k == 4, f("d MMM yyyy")).when(k == 5, F.concat(f("MM/dd/yyyy"), F.lit("-"), F.date_format(later, "MM/dd/yyyy"))).when(k == 6, F.concat(f("MMMM d"), F.lit("th "), f("yyyy"))).otherwise(f("M / d / yyyy"))
+        .when(k == 4, f("d MMM yyyy")).when(k == 5, F.concat(f("MM/dd/yyyy"), F.lit("-"), F.date_format(later, "MM/dd/yyyy"))).when(k == 6, F.concat(f("MMMM d"), F.lit("th "), f("yyyy"))).when(k == 7, f("M / d / yyyy"))
+        .when(k == 8, f("MMM d. yyyy")).when(k == 9, f("yyyy MMM d")).when(k == 10, f("MM dd yyyy")).otherwise(F.concat(f("MMM d"), F.lit(" - "), F.date_format(later, "MMM d, yyyy"), F.lit(" to "), F.date_format(F.date_add("d", 80), "MMM d yyyy")))
     )
     return o.withColumn("raw", raw)
 
@@ -58,14 +59,22 @@ def date_normalise(spark, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", normalise_date(F.col("raw")).alias("first"), normalise_date(F.col("raw"), take_end=True).alias("last"))
 
 
-DATE_NORMALISE = """SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS first, CASE WHEN o_orderkey % 8 = 3 THEN strftime(o_orderdate + INTERVAL 40 DAY, '%m/%d/%Y') ELSE strftime(o_orderdate, '%m/%d/%Y') END AS last FROM orders"""
+_PRINTED = "p AS (SELECT o_orderkey, o_orderkey % 12 AS k, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + 40 AS later, CAST(o_orderdate AS DATE) + 80 AS last FROM orders)"
+#: Texts in which no date is found come back as they are.
+DATE_NORMALISE = f"""WITH {_PRINTED}, kept AS (SELECT *, CASE k WHEN 8 THEN strftime(d, '%b %-d. %Y') WHEN 9 THEN strftime(d, '%Y %b %-d') WHEN 10 THEN strftime(d, '%m %d %Y') END AS kept FROM p)
+SELECT o_orderkey, coalesce(kept, strftime(CASE k WHEN 11 THEN later ELSE d END, '%m/%d/%Y')) AS first, coalesce(kept, strftime(CASE k WHEN 3 THEN later WHEN 11 THEN last ELSE d END, '%m/%d/%Y')) AS last FROM kept"""
 
 
 def date_extract(spark, sf_dir: str) -> DataFrame:
     return printed_dates(spark, sf_dir).select("o_orderkey", extract_date(F.col("raw")).alias("date"))
 
 
-DATE_EXTRACT = "SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (0, 6) AND month(o_orderdate) = 10 THEN 'NONE' ELSE strftime(o_orderdate, '%m/%d/%Y') END AS date FROM orders"
+#: October's first letter is a zero where it starts the text; a range whose second day has two digits reads as day, month and two-digit year.
+DATE_EXTRACT = f"""WITH {_PRINTED} SELECT o_orderkey, CASE
+  WHEN k IN (0, 6, 8) AND month(d) = 10 THEN 'NONE'
+  WHEN k = 7 THEN 'NONE'
+  WHEN k = 11 AND day(later) >= 10 THEN coalesce(strftime(try_strptime(format('{{:02d}}/{{:02d}}/{{:04d}}', month(later), day(d), 2000 + day(later)), '%m/%d/%Y'), '%m/%d/%Y'), 'NONE')
+  WHEN k = 11 THEN strftime(later, '%m/%d/%Y') ELSE strftime(d, '%m/%d/%Y') END AS date FROM p"""
 
 
 def numeric_token(spark, sf_dir: str) -> DataFrame:

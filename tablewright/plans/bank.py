@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import parse_number
+from ..functions.dates import parse_date
 from ..sources.tables import TRANSACTIONS, transactions
 from .utility import money
 
@@ -186,7 +187,25 @@ def bank_last_statement(spark, sf_dir: str) -> DataFrame:
 BANK_LAST_STATEMENT = f"""WITH {TRANSACTIONS}, ranked AS (SELECT *, date_trunc('month', day) AS month, row_number() OVER (PARTITION BY property, account, date_trunc('month', day) ORDER BY seq DESC) AS r FROM transactions)
 SELECT property, CAST(CAST(month AS DATE) AS VARCHAR) AS month, count(*) AS n_accounts, CAST(sum(CASE WHEN kind = 'credit' THEN amount ELSE 0 END) AS DOUBLE) AS credits, CAST(sum(CASE WHEN kind = 'debit' THEN amount ELSE 0 END) AS DOUBLE) AS debits FROM ranked WHERE r = 1 GROUP BY property, month"""
 
+def by_date(date: Column, seq: Column) -> Column:
+    """The order of an account's statements: by date, those without a valid one before all later than 1970, then as they came."""
+    return F.struct(F.coalesce(date, F.lit("1970-01-01").cast("date")).alias("day"), seq.alias("seq"))
+
+
+def statement_order(spark, sf_dir: str) -> DataFrame:
+    """Each account's statements in order, as printed dates, some of them no dates: the account's opening balance is the first one's."""
+    t = transactions(spark, sf_dir)
+    printed = F.when(F.col("seq") % 7 == 0, "n/a").when(F.col("seq") % 11 == 0, "").otherwise(F.date_format("day", "M/d/yyyy"))
+    t = t.select("account", "seq", "amount", parse_date(printed).alias("date"))
+    place = Window.partitionBy("account").orderBy(by_date(F.col("date"), F.col("seq")))
+    return t.select("account", "seq", F.row_number().over(place).alias("place"), F.first("amount").over(place.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("opening"))
+
+
+STATEMENT_ORDER = f"""WITH {TRANSACTIONS}, d AS (SELECT account, seq, amount, CASE WHEN seq % 7 <> 0 AND seq % 11 <> 0 THEN day ELSE DATE '1970-01-01' END AS date FROM transactions)
+SELECT account, seq, CAST(row_number() OVER w AS INTEGER) AS place, CAST(first_value(amount) OVER w AS DOUBLE) AS opening FROM d WINDOW w AS (PARTITION BY account ORDER BY date, seq)"""
+
 QUERIES = {
+    "statement_order": (statement_order, STATEMENT_ORDER),
     "bank_flatten": (bank_flatten, BANK_FLATTEN),
     "bank_property_group": (bank_property_group, BANK_PROPERTY_GROUP),
     "bank_month_spine": (bank_month_spine, BANK_MONTH_SPINE),

@@ -23,8 +23,8 @@ def carried(rows: DataFrame, column: str, file: str = "file", order: str = "seq"
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """One row per property, utility, provider, account and month: its bills, and with them other charges and taxes, which count for
-    every utility on the page."""
+    """One row per property, utility, provider, account and month, of bills that come with their other charges and taxes beside them;
+    page_cells is for charges that a page has once."""
     return (
         rows.withColumn("month", month_key(F.col("billing_date")))
         .groupBy("property", "utility", "provider", "account", "month")
@@ -33,6 +33,69 @@ def cells(rows: DataFrame) -> DataFrame:
     )
 
 
+def page_cells(bills: DataFrame, charges: DataFrame) -> DataFrame:
+    """As cells, of bills (file, page, seq, property, utility, provider, account, billing_date, amount) and what is printed once on a page: charges (file,
+    page, other, taxes), which count in full for every utility on it. A page's first bill of a utility is the one that counts; bills without a number don't.
+
+    row_key is the account, or the file where there's none; row_files has a row's files. Pages without a date have no month, and no charges; a row
+    that has no other pages is one blank cell. Charges are one row per page, so joining them
+    by page spreads them without growing the bills; both sides share the page's partitioning.
+    """
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    item = F.struct("seq", "property", "provider", "account", "billing_date", "amount")
+    first = bills.filter(F.col("amount").isNotNull()).groupBy("file", "page", "utility").agg(F.min(item).alias("x")).select("file", "page", "utility", "x.*")
+    spread = first.join(charges.select("file", "page", "other", "taxes"), ["file", "page"], "left").withColumn("month", month_key(F.col("billing_date")))
+    keyed = spread.withColumn("row_key", F.when(blank("account"), F.col("file").cast("string")).otherwise(F.col("account").cast("string")))
+    row = ["property", "utility", "provider", "row_key"]
+    dated = F.col("month").isNotNull()
+    sums = keyed.groupBy(*row, "month").agg(*[F.sum(F.when(dated, F.col(c))).alias(to) for c, to in (("amount", "bills"), ("other", "other"), ("taxes", "taxes"))], F.count_if(dated).alias("n_bills"))
+    some = F.max(F.col("month").isNotNull()).over(Window.partitionBy(*row))
+    kept = sums.withColumn("_some", some).filter(F.col("month").isNotNull() | ~F.col("_some")).drop("_some")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(18,2)"))
+    return kept.withColumn("recon", F.when(F.col("month").isNotNull(), F.col("bills") + zero("other") + zero("taxes")))
+
+
+def row_files(bills: DataFrame, separator: str = " · ") -> DataFrame:
+    """(property, utility, provider, row_key, files): the files that a row's bills came from, by name in the order first seen."""
+    key = F.coalesce(F.nullif(F.trim(F.col("account").cast("string")), F.lit("")), F.col("file").cast("string"))
+    seen = bills.filter(F.col("amount").isNotNull()).groupBy("property", "utility", "provider", key.alias("row_key"), "file").agg(F.min("at").alias("at"))
+    return seen.groupBy("property", "utility", "provider", "row_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"].cast("string")), separator).alias("files"))
+
+
+def two_to_a_page(spark, sf_dir: str) -> DataFrame:
+    """Bills, two to a page; other charges and taxes are those of its first line. Every seventh account is blank, every eleventh bill has no date, some no
+    number."""
+    b = bills(spark, sf_dir).withColumn("line", F.col("page")).withColumn("page", F.expr("cast((line + 1) div 2 as int)"))
+    when = lambda cond, c: F.when(cond, None).otherwise(F.col(c))
+    return b.withColumns({"account": when(F.col("account") % 7 == 0, "account"), "billing_date": when((F.col("file") + F.col("page")) % 11 == 0, "billing_date"), "amount": when((F.col("file") + F.col("line")) % 13 == 0, "amount"), "at": F.struct("file", "seq")})
+
+
+def utility_page_cells(spark, sf_dir: str) -> DataFrame:
+    b = two_to_a_page(spark, sf_dir)
+    charges = b.groupBy("file", "page").agg(F.min_by("other", "seq").alias("other"), F.min_by("taxes", "seq").alias("taxes"))
+    return page_cells(b, charges).select("property", "utility", "provider", "row_key", "month", "n_bills", *money("bills", "other", "taxes", "recon"))
+
+
+_PAGED = """paged AS (SELECT * REPLACE (CASE WHEN account % 7 <> 0 THEN account END AS account, CAST((page + 1) // 2 AS INTEGER) AS page, CASE WHEN (file + (page + 1) // 2) % 11 <> 0 THEN billing_date END AS billing_date,
+  CASE WHEN (file + page) % 13 <> 0 THEN amount END AS amount), page AS line FROM bills)"""
+UTILITY_PAGE_CELLS = f"""WITH {BILLS}, {_PAGED},
+charges AS (SELECT file, page, other, taxes FROM (SELECT *, row_number() OVER (PARTITION BY file, page ORDER BY seq) AS k FROM paged) WHERE k = 1),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, page, utility ORDER BY seq) AS k FROM paged WHERE amount IS NOT NULL) WHERE k = 1),
+spread AS (SELECT f.property, f.utility, f.provider, coalesce(CAST(f.account AS VARCHAR), CAST(f.file AS VARCHAR)) AS row_key, {MONTH_SQL} AS month, f.amount, c.other, c.taxes FROM firsts f LEFT JOIN charges c USING (file, page)),
+dated AS (SELECT property, utility, provider, row_key, month, sum(amount) AS bills, sum(other) AS other, sum(taxes) AS taxes, count(*) AS n FROM spread WHERE month IS NOT NULL GROUP BY ALL),
+every AS (SELECT DISTINCT property, utility, provider, row_key FROM spread)
+SELECT property, utility, provider, row_key, month, coalesce(n, 0) AS n_bills, CAST(bills AS DOUBLE) AS bills, CAST(other AS DOUBLE) AS other, CAST(taxes AS DOUBLE) AS taxes, CAST(bills + coalesce(other, 0) + coalesce(taxes, 0) AS DOUBLE) AS recon
+FROM every LEFT JOIN dated USING (property, utility, provider, row_key)"""
+
+
+def utility_row_files(spark, sf_dir: str) -> DataFrame:
+    return row_files(two_to_a_page(spark, sf_dir))
+
+
+UTILITY_ROW_FILES = f"""WITH {BILLS}, {_PAGED}, seen AS (SELECT property, utility, provider, coalesce(CAST(account AS VARCHAR), CAST(file AS VARCHAR)) AS row_key, file FROM paged WHERE amount IS NOT NULL GROUP BY ALL)
+SELECT property, utility, provider, row_key, string_agg(CAST(file AS VARCHAR), ' · ' ORDER BY file) AS files FROM seen GROUP BY ALL"""
+
+
 def money(*cols: str) -> list[Column]:
     """Exact decimal sums, shown as doubles."""
     return [F.col(c).cast("double").alias(c) for c in cols]
@@ -190,6 +253,8 @@ QUERIES = {
     "utility_pivot": (utility_pivot, UTILITY_PIVOT),
     "account_order": (account_order, ACCOUNT_ORDER),
     "utility_cells": (utility_cells, UTILITY_CELLS),
+    "utility_page_cells": (utility_page_cells, UTILITY_PAGE_CELLS),
+    "utility_row_files": (utility_row_files, UTILITY_ROW_FILES),
     "utility_totals": (utility_totals, UTILITY_TOTALS),
     "utility_variance": (utility_variance, UTILITY_VARIANCE),
     "portfolio_rollup": (portfolio_rollup, PORTFOLIO_ROLLUP),

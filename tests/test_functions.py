@@ -32,6 +32,27 @@ def test_extract_date(spark):
     assert apply(spark, extract_date, ["October 5, 2025", "20250131", "Foo: 15-Jan-2022", ""]) == ["NONE", "01/31/2025", "01/15/2022", "NONE"]
 
 
+#: Text, start and end as the server's extraction reads them.
+EXTRACTED = [
+    ("Jan 9. 2025", "01/09/2025", "01/09/2025"), ("2025 Jan 9", "01/09/2025", "01/09/2025"), ("01 31 2026", "01/31/2026", "01/31/2026"), ("31 01 2026", "01/31/2026", "01/31/2026"), ("Jan 9 ,2025", "01/09/2025", "01/09/2025"),
+    ("the 5th day of March, 2024", "03/05/2024", "03/05/2024"), ("15-Oct-2025", "NONE", "NONE"), ("Bill Date: 3/4/25 12:30 PM", "03/04/2025", "03/04/2025"), ("Feb 30, 2025", "NONE", "NONE"), ("2025/13/01", "NONE", "NONE"),
+    ("Dec 11 2024 to Jan 13 2025", "12/11/2024", "01/13/2025"), ("Dec 1 - Jan 3, 2025", "12/01/2025", "01/03/2025"), ("11/01/2025-11/30/2025", "11/01/2025", "11/30/2025"), ("1/O5/2025", "01/05/2025", "01/05/2025"), ("l2/31/2025", "12/31/2025", "12/31/2025"),
+    ("Ol/02/2025", "01/02/2025", "01/02/2025"), (" to Jan 13 2025", "01/13/2025", "01/13/2025"), ("due date 12.31.69", "12/31/2069", "12/31/2069"), ("12.31.70", "12/31/1970", "12/31/1970"), ("Jan", "NONE", "NONE"), ("01312025", "01/31/2025", "01/31/2025"), ("from Dec 11 - Jan 13, 2025 to Feb 3 2026", "01/11/2013", "02/03/2026"), (None, "NONE", "NONE"),
+]
+
+
+def test_extract_shapes(spark):
+    texts = [t for t, _, _ in EXTRACTED]
+    got = list(zip(texts, apply(spark, extract_date, texts), apply(spark, lambda c: extract_date(c, take_end=True), texts), strict=True))
+    assert got == EXTRACTED
+
+
+def test_ranges_by_separator_order(spark):
+    s = "Dec 11 - Jan 13, 2025 to Feb 3 2026"
+    assert apply(spark, normalise_date, [s, "a – b", " - Jan 3 2025", "Jan 9. 2025"]) == ["01/13/2025", "a", "01/03/2025", "Jan 9. 2025"]
+    assert apply(spark, lambda c: normalise_date(c, take_end=True), [s, "Jan 3 2025 - "]) == ["02/03/2026", "01/03/2025"]
+
+
 def test_amounts(spark):
     assert apply(spark, normalise_amount, ["$1,234.56", "34503450", "1212", "(123.45)", "abc", None]) == ["1234.56", "3450.00", "12.00", "123.45", "abc", None]
     assert apply(spark, lambda c: normalise_amount(c, strict=True), ["1212"]) == ["1212.00"]
