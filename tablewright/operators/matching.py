@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.layout import BENCHMARK_WORDS, DOCUMENT_WORDS, benchmark_words, document_words
 from ..sources.tables import table
+from .anchors import Keys
 
 PAGE = ["doc", "page"]
 
@@ -102,7 +106,8 @@ SELECT label_id, text AS value, CASE how WHEN 0 THEN 'right' ELSE 'below' END AS
 
 def place_anchored(pairs: DataFrame, hits: DataFrame) -> DataFrame:
     """Where a pair's value lies on a page: the key's nearest hit on the page (by squared distance to where the key was) plus the offset of
-    value from key, clamped to the page; without a hit, the source's own place."""
+    value from key, clamped to the page. Keys are single words; a page without a hit has no row (anchors.anchor_values is for keys of several words,
+    and for places on every page)."""
     p = pairs.select("pair", "key", "kx", "ky", "vx", "vy")
     near = p.join(hits.withColumnRenamed("text", "key"), "key").withColumn("d", (F.col("x0") - F.col("kx")) * (F.col("x0") - F.col("kx")) + (F.col("y0") - F.col("ky")) * (F.col("y0") - F.col("ky")))
     best = near.groupBy("pair", "doc", "page").agg(F.min_by(F.struct("x0", "y0", "kx", "ky", "vx", "vy"), F.struct("d", "y0", "x0")).alias("b"))
@@ -124,33 +129,33 @@ SELECT pair, doc, page, least(greatest(x, 0), 612) AS x, least(greatest(y, 0), 7
 
 def find_text(texts: DataFrame, queries: list[str], id_col: str = "doc", text_col: str = "text") -> DataFrame:
     """Every non-overlapping hit of each query in each text, whatever the case and the white space: (id, query, hit, start,
-    end) in characters of the text. A scan that must start where the last hit ended, so a batch function."""
+    end) in characters of the text. All queries are looked for in one pass over the text's words, in lower case with single spaces."""
     kind = texts.select(id_col).schema[0].dataType.simpleString()
     wanted = [" ".join(q.lower().split()) for q in queries]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def places(word: str) -> range | list[int]:
+        """Where each character of the lower-cased word comes from; lower case may be longer."""
+        return range(len(word)) if len(word.lower()) == len(word) else [i for i, c in enumerate(word) for _ in c.lower()]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = Keys(wanted)
         for b in batches:
-            out = []
-            for doc, text in zip(b["_id"], b["_text"], strict=True):
-                chars, at = [], []
-                for i, ch in enumerate(text or ""):
-                    low = ch.lower()
-                    if low.isspace():
-                        if chars and chars[-1] != " ":
-                            chars.append(" ")
-                            at.append(i)
-                    else:
-                        chars.extend(low)
-                        at.extend([i] * len(low))
-                plain = "".join(chars)
-                for q in wanted:
-                    k, n = plain.find(q) if q else -1, 0
-                    while k >= 0:
-                        out.append((doc, q, n, at[k], at[k + len(q) - 1] + 1))
-                        k, n = plain.find(q, k + len(q)), n + 1
-            yield pd.DataFrame(out, columns=["_id", "query", "hit", "start", "end"])
-
-    return texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(scan, f"_id {kind}, query string, hit int, start int, end int").withColumnRenamed("_id", id_col)
+            rows, cols = [], ([], [], [], [])
+            for i, text in enumerate(b.column(1)):
+                words = [(m.start(), m[0]) for m in re.finditer(r"\S+", text.as_py() or "")]
+                low = [w.lower() for _, w in words]
+                starts = [0, *accumulate(len(w) + 1 for w in low)]
+                n = [0] * len(wanted)
+                for k, start, end in keys.hits(" ".join(low)):
+                    first, last = bisect_right(starts, start) - 1, bisect_right(starts, end - 1) - 1
+                    at, to = words[first][0] + places(words[first][1])[start - starts[first]], words[last][0] + places(words[last][1])[end - 1 - starts[last]] + 1
+                    rows.append(i)
+                    for c, v in zip(cols, (wanted[k], n[k], at, to), strict=True):
+                        c.append(v)
+                    n[k] += 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.string()), *[pa.array(c, pa.int32()) for c in cols[1:]]], ["_id", "query", "hit", "start", "end"])
+
+    return texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(scan, f"_id {kind}, query string, hit int, start int, end int").withColumnRenamed("_id", id_col)
 
 
 def text_positions(spark, sf_dir: str) -> DataFrame:
