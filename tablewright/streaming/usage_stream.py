@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bucket_table import BUCKETS, BucketTable
+
 
 def usage_windows(events: DataFrame, width: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Events (used_at, kind, amount) per window and kind. On a stream, events later than the watermark are dropped and
@@ -15,49 +17,16 @@ def usage_windows(events: DataFrame, width: str = "1 hour", late: str = "30 minu
     return stream.groupBy(F.window("used_at", width), "kind").agg(F.count("*").alias("n"), F.sum("amount").alias("amount")).select(F.col("window.start").alias("start"), "kind", "n", "amount")
 
 
-def slot_sink(path: str, keys: list[str], keep: int = 2):
+def slot_sink(path: str, keys: list[str], keep: int = 2, buckets: int = BUCKETS):
     """A foreachBatch function that keeps in a table, for each slot, the result of the greatest seq: pages may answer in any order, within a batch
-    or across, and a late older answer changes nothing; nor does a replayed batch. Each batch writes a new version beside the old one, then points
-    to it, and the last `keep` versions stay, for readers of the one before."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = latest_version(spark, path)
-        if version is not None and version >= batch_id:
-            return
-        rows = batch if version is None else spark.read.parquet(f"{path}/v{version}").select(*batch.columns).unionAll(batch)
-        rest = F.struct("seq", *[c for c in batch.columns if c not in keys and c != "seq"])
-        rows.groupBy(*keys).agg(F.max(rest).alias("r")).select(*keys, "r.*").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        spark.createDataFrame([(batch_id,)], "version long").write.mode("overwrite").parquet(f"{path}/pointers/{batch_id}")
-        old = [v for v in versions(spark, path) if v <= batch_id - keep]
-        for v in old:
-            _delete(spark, f"{path}/v{v}")
-            _delete(spark, f"{path}/pointers/{v}")
-
-    return merge
-
-
-def _delete(spark, name: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    or across, and a late older answer changes nothing; nor does a replayed batch. A batch rewrites the buckets it touches."""
+    return lambda batch, batch_id: BucketTable(batch.sparkSession, path, keys, buckets, keep).merge(batch, batch_id)
 
 
 def versions(spark, path: str) -> list[int]:
-    """The versions whose pointers are complete, in order; at most a few."""
-    try:
-        found = spark.read.option("recursiveFileLookup", True).schema("version long").parquet(f"{path}/pointers").collect()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return []
-        raise
-    return sorted(r[0] for r in found)
-
-
-def latest_version(spark, path: str) -> int | None:
-    return max(versions(spark, path), default=None)
+    return BucketTable(spark, path, []).versions()
 
 
 def current(spark, path: str) -> DataFrame | None:
     """The table's latest version, if there is one."""
-    version = latest_version(spark, path)
-    return None if version is None else spark.read.parquet(f"{path}/v{version}")
+    return BucketTable(spark, path, []).read()
