@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocking import account_keys, address_keys, keyed, property_keys, spelling_keys
 from ..functions.similarity import account_similar, address_similar, edit_limit, property_similar
 from ..functions.text import header_key
+from ..sources.shared import written
 from ..sources.tables import table
 
 
@@ -16,47 +17,80 @@ def distinct_values(rows: DataFrame, keys: list[str], column: str, order: str) -
     return rows.filter(F.trim(column) != "").groupBy(*keys, F.trim(column).alias("value")).agg(F.min(order).alias("seq"), F.count("*").alias("n"))
 
 
-def pairs(values: DataFrame, keys: list[str], similar) -> DataFrame:
-    """Pairs of a group's values, the earlier first, that are similar. Groups are blocks: values meet only within one."""
-    a = values.select(*keys, F.col("value").alias("a"), F.col("seq").alias("sa"))
-    b = values.select(*keys, F.col("value").alias("b"), F.col("seq").alias("sb"))
-    return a.join(b, keys).filter((F.col("sa") < F.col("sb")) & similar(F.col("a"), F.col("b")))
-
-
-def star_groups(values: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy groups: in the order first seen, a value that is in no group yet takes all later ones, in no group yet, that are similar to it. Members needn't be similar to each other. Groups are small: distinct values of one key."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in values.schema.fields if f.name in keys)
-    near = found.groupBy(*keys, F.col("a").alias("value")).agg(F.collect_list("b").alias("near"))
-    rows = values.select(*keys, "value", "seq").join(near, [*keys, "value"], "left")
-
-    def group(key, vs: pd.DataFrame) -> pd.DataFrame:
-        vs = vs.sort_values("seq")
-        ordered = list(vs["value"])
-        similar = {v: set(x) for v, x in zip(vs["value"], vs["near"], strict=True) if x is not None}
-        taken, out = set(), []
-        for i, seed in enumerate(ordered):
-            if seed in taken or seed not in similar:
-                continue
-            members = [v for v in ordered[i + 1 :] if v in similar[seed] and v not in taken]
-            if members:
-                taken.update([seed, *members])
-                out += [(*key, seed, v) for v in [seed, *members]]
-        return pd.DataFrame(out, columns=[*keys, "seed", "value"])
-
-    return rows.groupBy(*keys).applyInPandas(group, f"{kinds}, seed string, value string")
+#: Rules by name: the keys that similar values share, and the predicate on (earlier, later).
+RULES = {"property": (property_keys, property_similar), "account": (account_keys, account_similar), "address": (address_keys, address_similar)}
+
+
+#: Values of a group that meet directly: up to about here that is fewer rows than their keys are.
+FEW = 400
+
+
+def pairs(values: DataFrame, keys: list[str], rule: str | Column, few: int = FEW) -> DataFrame:
+    """Pairs (a, b, sa, sb) of a group's values, the earlier first, that are similar by a rule of RULES; a Column names each value's. In groups of more than
+    `few` values they meet through the keys that similar ones share, and are judged once; there is no product of such a group. Both ways find the same."""
+    named = values.select(*keys, "value", "seq", (F.lit(rule) if isinstance(rule, str) else rule).alias("_rule"))
+    sizes = named.groupBy(*keys).agg((F.count("*") > few).alias("_large"))
+    sized = named.join(sizes, keys)
+    side = lambda v, q: sized.filter("not _large").select(*keys, F.col("value").alias(v), F.col("seq").alias(q), *(["_rule"] if v == "a" else []))
+    met = side("a", "sa").join(side("b", "sb"), keys).filter("sa < sb").select(*keys, "a", "b", "sa", "sb", "_rule")
+    if not sizes.filter("_large").isEmpty():
+        met = met.unionByName(_by_keys(sized.filter("_large").drop("_large"), keys))
+    similar = F.lit(False)
+    for name, (_, predicate) in RULES.items():
+        if not isinstance(rule, str) or name == rule:
+            similar = F.when(F.col("_rule") == name, predicate(F.col("a"), F.col("b"))).otherwise(similar)
+    return met.filter(similar).drop("_rule")
+
+
+def _by_keys(named: DataFrame, keys: list[str]) -> DataFrame:
+    """The pairs of values that share a key that one looks for and the other is found by."""
+    held = named.select(*keys, "value", "seq", "_rule", F.struct("seq", "value", *keys).alias("id"))
+    found = written(keyed(held, "_rule", {k: v[0] for k, v in RULES.items()}).select(*[F.col(f"id.{k}").alias(k) for k in keys], F.col("id.value").alias("value"), F.col("id.seq").alias("seq"), F.xxhash64("key").alias("key"), "looks"), "keys")
+    side = lambda looks, v, q: found.filter(F.col("looks") if looks else ~F.col("looks")).select(*keys, "key", F.col("value").alias(v), F.col("seq").alias(q))
+    met = side(False, "x", "sx").join(side(True, "y", "sy"), [*keys, "key"]).filter("sx <> sy")
+    first = F.col("sx") < F.col("sy")
+    each = lambda n, p, q: F.when(first, F.col(p)).otherwise(F.col(q)).alias(n)
+    once = met.select(*keys, each("a", "x", "y"), each("b", "y", "x"), each("sa", "sx", "sy"), each("sb", "sy", "sx")).distinct()
+    return once.join(named.select(*keys, F.col("value").alias("a"), "_rule"), [*keys, "a"]).select(*keys, "a", "b", "sa", "sb", "_rule")
+
+
+def star_groups(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Greedy groups (keys, seed, value) from pairs (keys, a, b, sa, sb): in the order first seen, a value that is in no group yet takes all later ones, in
+    no group yet, that are similar to it. Members needn't be similar to each other.
+
+    So a value is a seed once no earlier similar one is left that isn't taken, and taken once one of them is a seed: each round settles those for whom
+    it is clear and drops their pairs, and rounds end when no pair is left. A taken value belongs to its earliest seed. Rounds are as many as the
+    longest run of values each of which waits for the one before; only whether any is left comes to the driver.
+    """
+    left = written(found.select(*keys, "sa", "sb"), "star")
+    seeds = None
+    while not left.isEmpty():
+        waiting = left.select(*keys, F.col("sb").alias("sa")).distinct()
+        new = written(left.select(*keys, "sa").distinct().join(waiting, [*keys, "sa"], "left_anti"), "star")
+        seeds = new if seeds is None else seeds.unionByName(new)
+        taken = left.join(new, [*keys, "sa"], "left_semi").select(*keys, F.col("sb").alias("s")).distinct()
+        settled = taken.unionByName(new.withColumnRenamed("sa", "s"))
+        rest = left.join(settled.withColumnRenamed("s", "sa"), [*keys, "sa"], "left_anti").join(settled.withColumnRenamed("s", "sb"), [*keys, "sb"], "left_anti")
+        left = written(rest, "star")
+    if seeds is None:
+        return found.select(*keys, F.col("a").alias("seed"), F.col("b").alias("value"))
+    # pairs of two seeds don't exist, so whoever a seed is similar to is taken by it or by an earlier one
+    members = found.join(seeds, [*keys, "sa"]).groupBy(*keys, F.col("b").alias("value")).agg(F.min_by("a", "sa").alias("seed"))
+    members = members.select(*keys, "seed", "value")
+    return members.unionByName(members.select(*keys, "seed").distinct().withColumn("value", F.col("seed")))
 
 
 def _names(spark, sf_dir: str) -> DataFrame:
-    """Part names within their brand and size class, as the values of a field."""
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("field"), F.col("p_name").alias("name"), F.col("p_partkey").alias("at"))
+    """Part names of a brand, as the values of a field in files of a thousand parts: groups don't grow with the table."""
+    return table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), F.expr("p_partkey div 1000")).alias("field"), F.col("p_name").alias("name"), F.col("p_partkey").alias("at"))
 
 
 def similar_pairs(spark, sf_dir: str) -> DataFrame:
     values = distinct_values(_names(spark, sf_dir), ["field"], "name", "at")
-    return pairs(values, ["field"], property_similar).select("field", "a", "b", F.levenshtein("a", "b").alias("edits"))
+    return pairs(values, ["field"], "property").select("field", "a", "b", F.levenshtein("a", "b").alias("edits"))
 
 
-_VALUES = "v AS (SELECT p_brand AS field, trim(p_name) AS value, min(p_partkey) AS seq, count(*) AS n FROM part GROUP BY 1, 2)"
+_VALUES = "v AS (SELECT p_brand || '/' || p_partkey // 1000 AS field, trim(p_name) AS value, min(p_partkey) AS seq, count(*) AS n FROM part GROUP BY 1, 2)"
 SIMILAR_PAIRS = f"""WITH {_VALUES}, t AS (SELECT *, string_split(value, ' ') AS w FROM v),
 p AS (SELECT a.field, a.value AS a, b.value AS b, a.w AS wa, b.w AS wb, len(list_intersect(a.w, b.w)) AS shared, levenshtein(a.value, b.value) AS edits FROM t a JOIN t b ON a.field = b.field AND a.seq < b.seq)
 SELECT field, a, b, CAST(edits AS INTEGER) AS edits FROM p WHERE contains(a, b) OR contains(b, a) OR shared >= 1 OR edits <= greatest(3, floor(least(length(a), length(b)) * 0.3))"""
@@ -64,7 +98,7 @@ SELECT field, a, b, CAST(edits AS INTEGER) AS edits FROM p WHERE contains(a, b)
 
 def star_groups_query(spark, sf_dir: str) -> DataFrame:
     values = distinct_values(_names(spark, sf_dir), ["field"], "name", "at")
-    return star_groups(values, pairs(values, ["field"], property_similar), ["field"])
+    return star_groups(pairs(values, ["field"], "property"), ["field"])
 
 
 def close_spelling(a: Column, b: Column) -> Column:
@@ -74,6 +108,8 @@ def close_spelling(a: Column, b: Column) -> Column:
     return (F.abs(F.char_length(clean(a)) - F.char_length(clean(b))) <= limit + 1) & (F.levenshtein(clean(a), clean(b)) <= limit)
 
 
+RULES["spelling"] = (spelling_keys, close_spelling)
+
 # Fixed patterns: numbers and money; day and month.
 SKIP = (r"^[\d,.\-\s/$%()]+$", r"^\d{1,2}[/\-]\d{1,2}([/\-]\d{2,4})?$")
 
@@ -90,7 +126,7 @@ def frequencies(cells: DataFrame, keys: list[str], column: str, order: str) -> D
 def sanitize_groups(spark, sf_dir: str) -> DataFrame:
     """Misspelt values of each brand's table, with the most frequent spelling as the one to keep, ties to the first seen."""
     values = frequencies(_names(spark, sf_dir), ["field"], "name", "at")
-    groups = star_groups(values, pairs(values, ["field"], close_spelling), ["field"])
+    groups = star_groups(pairs(values, ["field"], "spelling"), ["field"])
     counted = groups.join(values, ["field", "value"])
     w = Window.partitionBy("field", "seed")
     return counted.select("field", "seed", "value", "n", F.max_by("value", F.struct("n", -F.col("seq"))).over(w).alias("canonical"))
@@ -165,9 +201,9 @@ def merge_groups(rows: DataFrame, keys: list[str], order: str = "seq", fields: t
     group, if two or more, as (other); without a group all values, if two or more, as (manual). Names and addresses meet by words and
     spelling, accounts by their last digits."""
     values = distinct_values(rows.filter(F.col("field").isin(*fields)), [*keys, "field"], "value", order)
-    alike = lambda a, b: F.when(F.col("field") == "account_number", account_similar(a, b)).when(F.col("field") == "address", address_similar(a, b)).otherwise(property_similar(a, b))
+    rule = F.when(F.col("field") == "account_number", "account").when(F.col("field") == "address", "address").otherwise("property")
     on = [*keys, "field"]
-    groups = star_groups(values, pairs(values, on, alike), on)
+    groups = star_groups(pairs(values, on, rule), on)
     marked = values.join(groups, [*on, "value"], "left")
     w = Window.partitionBy(*on)
     marked = marked.withColumns({"some": F.count("seed").over(w) > 0, "loose": F.count_if(F.col("seed").isNull()).over(w)})
@@ -179,8 +215,8 @@ def merge_groups(rows: DataFrame, keys: list[str], order: str = "seq", fields: t
 
 
 def _offices(spark, sf_dir: str) -> DataFrame:
-    """Customers of each nation and balance class as bills of one office: five rows of it each."""
-    c = table(spark, sf_dir, "customer").withColumn("office", F.concat_ws("/", "c_nationkey", F.expr("c_custkey div 25 % 12")))
+    """Customers of each nation, three hundred at a time, as bills of one office: five rows of it each. Offices don't grow with the table."""
+    c = table(spark, sf_dir, "customer").withColumn("office", F.concat_ws("/", "c_nationkey", F.expr("c_custkey div 300")))
     k = F.col("c_custkey")
     cell = lambda f, v: F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"))
     provider = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("North Power", "NorthPower Co", "City Water", "Gas and Light")]), (k % 4 + 1).cast("int")), F.when(k % 8 < 4, "").otherwise(" LLC"))

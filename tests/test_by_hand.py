@@ -12,7 +12,7 @@ from tablewright.functions.text import search_key
 from tablewright.operators.extraction import first_match
 from tablewright.operators.fields import clean_value
 from tablewright.operators.geometry import right_edges, words_in_rect
-from tablewright.operators.linkage import MERGE_FIELDS, distinct_values, close_spelling, merge_groups, pairs, star_groups
+from tablewright.operators.linkage import MERGE_FIELDS, RULES, close_spelling, distinct_values, merge_groups, pairs, star_groups
 from tablewright.operators.matching import find_text
 from tablewright.operators.page_folds import aligned_tables, expand_spans, lines_of
 from tablewright.operators.page_sources import cell_text, choose_words
@@ -53,13 +53,41 @@ def some_values(n, seed):
 def test_star_and_spelling_groups(spark):
     values = some_values(40, 1)
     rows = spark.createDataFrame([("f", v, i) for i, v in enumerate(values)], "field string, name string, at int")
-    for predicate in (property_similar, close_spelling):
+    for rule, predicate in (("property", property_similar), ("spelling", close_spelling)):
         similar = decide(spark, values, predicate)
         found = distinct_values(rows, ["field"], "name", "at")
-        got = star_groups(found, pairs(found, ["field"], predicate), ["field"]).collect()
+        got = star_groups(pairs(found, ["field"], rule), ["field"]).collect()
         assert sorted((r.seed, r.value) for r in got) == sorted(star_by_hand(values, lambda a, b: (a, b) in similar))
 
 
+def test_similar_values_share_a_key(spark):
+    """Every pair that a rule calls similar meets, of random texts of all lengths, short and empty ones too."""
+    rng = random.Random(8)
+    values = list(dict.fromkeys(["", "!", "a", "ab", "12", "x 12", *some_values(60, 5), *("".join(rng.choice("ab 1") for _ in range(rng.randint(1, 22))).strip() for _ in range(60))]))
+    values = [v for v in values if v.strip()]
+    rows = spark.createDataFrame([("f", v, i) for i, v in enumerate(values)], "field string, name string, at int")
+    found = distinct_values(rows, ["field"], "name", "at")
+    for rule, (_, predicate) in RULES.items():
+        at = {v: i for i, v in enumerate(values)}
+        want = sorted((a, b) for a, b in decide(spark, values, predicate) if at[a] < at[b])
+        for few in (0, 10**6):
+            assert sorted((r.a, r.b) for r in pairs(found, ["field"], rule, few).collect()) == want, (rule, few)
+
+
+def test_no_product_of_a_group(spark):
+    rows = distinct_values(spark.createDataFrame([("f", "v", 1)], "field string, name string, at int"), ["field"], "name", "at")
+    plan = pairs(rows, ["field"], "property", 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and any("key" in line for line in plan.splitlines() if "Join Inner" in line)
+
+
+def test_long_chains_of_stars(spark):
+    """Each value is similar to the next: every second one is a seed, as many rounds as it takes."""
+    n = 12
+    found = spark.createDataFrame([("f", f"v{i:02}", f"v{i + 1:02}", i, i + 1) for i in range(n)], "field string, a string, b string, sa int, sb int")
+    got = {(r.seed, r.value) for r in star_groups(found, ["field"]).collect()}
+    assert got == {(f"v{i:02}", f"v{k:02}") for i in range(0, n, 2) for k in (i, i + 1)}
+
+
 def test_merge_groups(spark):
     """Auto groups, others, manual groups, single values, by each field's own rule; the two accounts of the vectors are alike."""
     by_field = {"provider_name": some_values(12, 2), "property_name": ["Zephyr Heights", "Stonegate Commons"], "account_number": ["XXXX1234", "00981234", "777000"], "address": ["12 Elm Street"], "amount": ["1", "2"]}
