@@ -26,26 +26,53 @@ def _shorter(a: Column, b: Column) -> Column:
     return F.least(F.char_length(a), F.char_length(b))
 
 
-def property_similar(a: Column, b: Column) -> Column:
-    na, nb, sa, sb = normalise_text(a), normalise_text(b), significant_tokens(a), significant_tokens(b)
+def forms(c: Column) -> Column:
+    """What the predicates below compare, so that it is made once per value and not once per pair."""
+    return F.struct(c.alias("raw"), normalise_text(c).alias("plain"), significant_tokens(c).alias("kept"), F.filter(tokens(c), lambda w: w.rlike(r"^\d+$")).alias("numbers"), F.regexp_replace(c, "[^0-9]", "").alias("digits"), F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")).alias("spelt"))
+
+
+def property_alike(a: Column, b: Column) -> Column:
+    """Of two forms."""
+    na, nb, sa, sb = a["plain"], b["plain"], a["kept"], b["kept"]
     both = (F.size(sa) > 0) & (F.size(sb) > 0)
     n = shared(sa, sb)
     close = F.levenshtein(na, nb) <= F.greatest(F.lit(3), F.floor(_shorter(na, nb) * 0.3))
     alike = F.contains(na, nb) | F.contains(nb, na) | (both & ((jaccard(sa, sb) >= 0.5) | (n >= 2) | ((n >= 1) & (F.least(F.size(sa), F.size(sb)) <= 2)))) | close
-    return (a != "") & (b != "") & ((na == nb) | ((_shorter(na, nb) >= 2) & alike))
+    return (a["raw"] != "") & (b["raw"] != "") & ((na == nb) | ((_shorter(na, nb) >= 2) & alike))
 
 
-def account_similar(a: Column, b: Column) -> Column:
-    da, db = F.regexp_replace(a, "[^0-9]", ""), F.regexp_replace(b, "[^0-9]", "")
+def account_alike(a: Column, b: Column) -> Column:
+    da, db = a["digits"], b["digits"]
     short = _shorter(da, db)
     last = lambda k: F.right(da, F.lit(k)) == F.right(db, F.lit(k))
     return (short > 0) & (((short >= 4) & last(4)) | ((short >= 3) & (short <= 6) & last(3)) | F.contains(da, db) | F.contains(db, da))
 
 
-def address_similar(a: Column, b: Column) -> Column:
-    na, nb, sa, sb = normalise_text(a), normalise_text(b), significant_tokens(a), significant_tokens(b)
-    numbers = lambda c: F.filter(tokens(c), lambda w: w.rlike(r"^\d+$"))
+def address_alike(a: Column, b: Column) -> Column:
+    na, nb, sa, sb = a["plain"], b["plain"], a["kept"], b["kept"]
     both = (F.size(sa) > 0) & (F.size(sb) > 0)
-    words = both & ((jaccard(sa, sb) >= 0.4) | ((shared(numbers(a), numbers(b)) >= 1) & (shared(sa, sb) >= 1)))
+    words = both & ((jaccard(sa, sb) >= 0.4) | ((shared(a["numbers"], b["numbers"]) >= 1) & (shared(sa, sb) >= 1)))
     close = F.levenshtein(na, nb) <= F.greatest(F.lit(4), F.floor(_shorter(na, nb) * 0.25))
-    return (a != "") & (b != "") & ((na == nb) | ((_shorter(na, nb) >= 4) & (F.contains(na, nb) | F.contains(nb, na) | words | close)))
+    return (a["raw"] != "") & (b["raw"] != "") & ((na == nb) | ((_shorter(na, nb) >= 4) & (F.contains(na, nb) | F.contains(nb, na) | words | close)))
+
+
+def spelling_alike(a: Column, b: Column) -> Column:
+    """Within the edits that the first text's length allows, lengths compared first."""
+    limit = edit_limit(F.char_length(a["spelt"]))
+    return (F.abs(F.char_length(a["spelt"]) - F.char_length(b["spelt"])) <= limit + 1) & (F.levenshtein(a["spelt"], b["spelt"]) <= limit)
+
+
+def property_similar(a: Column, b: Column) -> Column:
+    return property_alike(forms(a), forms(b))
+
+
+def account_similar(a: Column, b: Column) -> Column:
+    return account_alike(forms(a), forms(b))
+
+
+def address_similar(a: Column, b: Column) -> Column:
+    return address_alike(forms(a), forms(b))
+
+
+def close_spelling(a: Column, b: Column) -> Column:
+    return spelling_alike(forms(a), forms(b))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocking import account_keys, address_keys, keyed, property_keys, spelling_keys
-from ..functions.similarity import account_similar, address_similar, edit_limit, property_similar
+from ..functions.similarity import account_alike, address_alike, forms, property_alike, spelling_alike
 from ..functions.text import header_key
 from ..sources.shared import written
 from ..sources.tables import table
@@ -17,8 +17,8 @@ def distinct_values(rows: DataFrame, keys: list[str], column: str, order: str) -
     return rows.filter(F.trim(column) != "").groupBy(*keys, F.trim(column).alias("value")).agg(F.min(order).alias("seq"), F.count("*").alias("n"))
 
 
-#: Rules by name: the keys that similar values share, and the predicate on (earlier, later).
-RULES = {"property": (property_keys, property_similar), "account": (account_keys, account_similar), "address": (address_keys, address_similar)}
+#: Rules by name: the keys that similar values share, and the predicate on the forms of (earlier, later).
+RULES = {"property": (property_keys, property_alike), "account": (account_keys, account_alike), "address": (address_keys, address_alike), "spelling": (spelling_keys, spelling_alike)}
 
 
 #: Values of a group that meet directly: up to about here that is fewer rows than their keys are.
@@ -28,18 +28,18 @@ FEW = 400
 def pairs(values: DataFrame, keys: list[str], rule: str | Column, few: int = FEW) -> DataFrame:
     """Pairs (a, b, sa, sb) of a group's values, the earlier first, that are similar by a rule of RULES; a Column names each value's. In groups of more than
     `few` values they meet through the keys that similar ones share, and are judged once; there is no product of such a group. Both ways find the same."""
-    named = values.select(*keys, "value", "seq", (F.lit(rule) if isinstance(rule, str) else rule).alias("_rule"))
+    named = values.select(*keys, "value", "seq", (F.lit(rule) if isinstance(rule, str) else rule).alias("_rule"), forms(F.col("value")).alias("_form"))
     sizes = named.groupBy(*keys).agg((F.count("*") > few).alias("_large"))
     sized = named.join(sizes, keys)
-    side = lambda v, q: sized.filter("not _large").select(*keys, F.col("value").alias(v), F.col("seq").alias(q), *(["_rule"] if v == "a" else []))
-    met = side("a", "sa").join(side("b", "sb"), keys).filter("sa < sb").select(*keys, "a", "b", "sa", "sb", "_rule")
+    side = lambda v, q: sized.filter("not _large").select(*keys, F.col("value").alias(v), F.col("seq").alias(q), F.col("_form").alias(f"_{v}"), *(["_rule"] if v == "a" else []))
+    met = side("a", "sa").join(side("b", "sb"), keys).filter("sa < sb").select(*keys, "a", "b", "sa", "sb", "_a", "_b", "_rule")
     if not sizes.filter("_large").isEmpty():
         met = met.unionByName(_by_keys(sized.filter("_large").drop("_large"), keys))
     similar = F.lit(False)
     for name, (_, predicate) in RULES.items():
         if not isinstance(rule, str) or name == rule:
-            similar = F.when(F.col("_rule") == name, predicate(F.col("a"), F.col("b"))).otherwise(similar)
-    return met.filter(similar).drop("_rule")
+            similar = F.when(F.col("_rule") == name, predicate(F.col("_a"), F.col("_b"))).otherwise(similar)
+    return met.filter(similar).drop("_rule", "_a", "_b")
 
 
 def _by_keys(named: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,7 +51,8 @@ def _by_keys(named: DataFrame, keys: list[str]) -> DataFrame:
     first = F.col("sx") < F.col("sy")
     each = lambda n, p, q: F.when(first, F.col(p)).otherwise(F.col(q)).alias(n)
     once = met.select(*keys, each("a", "x", "y"), each("b", "y", "x"), each("sa", "sx", "sy"), each("sb", "sy", "sx")).distinct()
-    return once.join(named.select(*keys, F.col("value").alias("a"), "_rule"), [*keys, "a"]).select(*keys, "a", "b", "sa", "sb", "_rule")
+    form = lambda v: named.select(*keys, F.col("value").alias(v), F.col("_form").alias(f"_{v}"), *(["_rule"] if v == "a" else []))
+    return once.join(form("a"), [*keys, "a"]).join(form("b"), [*keys, "b"]).select(*keys, "a", "b", "sa", "sb", "_a", "_b", "_rule")
 
 
 def star_groups(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,15 +102,6 @@ def star_groups_query(spark, sf_dir: str) -> DataFrame:
     return star_groups(pairs(values, ["field"], "property"), ["field"])
 
 
-def close_spelling(a: Column, b: Column) -> Column:
-    """Within the edits that the first text's length allows, lengths compared first."""
-    clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    limit = edit_limit(F.char_length(clean(a)))
-    return (F.abs(F.char_length(clean(a)) - F.char_length(clean(b))) <= limit + 1) & (F.levenshtein(clean(a), clean(b)) <= limit)
-
-
-RULES["spelling"] = (spelling_keys, close_spelling)
-
 # Fixed patterns: numbers and money; day and month.
 SKIP = (r"^[\d,.\-\s/$%()]+$", r"^\d{1,2}[/\-]\d{1,2}([/\-]\d{2,4})?$")
 

@@ -7,12 +7,12 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tablewright.functions.amounts import normalise_percent, normalise_year
-from tablewright.functions.similarity import account_similar, address_similar, edit_limit, property_similar
+from tablewright.functions.similarity import account_similar, address_similar, close_spelling, edit_limit, property_similar
 from tablewright.functions.text import search_key
 from tablewright.operators.extraction import first_match
 from tablewright.operators.fields import clean_value
 from tablewright.operators.geometry import right_edges, words_in_rect
-from tablewright.operators.linkage import MERGE_FIELDS, RULES, close_spelling, distinct_values, merge_groups, pairs, star_groups
+from tablewright.operators.linkage import MERGE_FIELDS, RULES, distinct_values, merge_groups, pairs, star_groups
 from tablewright.operators.matching import find_text
 from tablewright.operators.page_folds import aligned_tables, expand_spans, lines_of
 from tablewright.operators.page_sources import cell_text, choose_words
@@ -67,7 +67,8 @@ def test_similar_values_share_a_key(spark):
     values = [v for v in values if v.strip()]
     rows = spark.createDataFrame([("f", v, i) for i, v in enumerate(values)], "field string, name string, at int")
     found = distinct_values(rows, ["field"], "name", "at")
-    for rule, (_, predicate) in RULES.items():
+    for rule, predicate in {"property": property_similar, "account": account_similar, "address": address_similar, "spelling": close_spelling}.items():
+        assert rule in RULES
         at = {v: i for i, v in enumerate(values)}
         want = sorted((a, b) for a, b in decide(spark, values, predicate) if at[a] < at[b])
         for few in (0, 10**6):
