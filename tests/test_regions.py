@@ -1,10 +1,13 @@
 """Region tables: the cascade against plain loops over random pages, and hand-made pages for each finder."""
 
 import random
+import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.operators.page_folds import aligned_tables, bordered, fixpoint, page_tables
 from tablewright.operators.region_tables import channels, region_columns, region_tables, selected_columns
 
 WORDS = "doc long, page int, x0 double, y0 double, x1 double, y1 double, text string"
@@ -41,7 +44,7 @@ def test_each_finder(spark):
     assert got[1, 0] == ("geometry", 12.0, 3, 3, [(0, 0, 1, 1, "Name"), (0, 1, 1, 2, "both cells"), (1, 0, 1, 1, "a"), (1, 1, 1, 1, "1"), (1, 2, 1, 1, "2"), (2, 0, 1, 1, "b\nc"), (2, 1, 1, 1, ""), (2, 2, 1, 1, "")])
     # the frame's grid has one cell, so the words' own grid is better; both documents have the same
     assert got[2, 0][0] == got[3, 0][0] == "words" and got[2, 0][1:] == got[3, 0][1:]
-    assert got[3, 0][2:4] == (4, 3) and (1, 1, 1, 1, "1") in got[3, 0][4] and (1, 2, 1, 1, "2") in got[3, 0][4]
+    assert got[3, 0][2:4] == (4, 4) and (1, 1, 1, 1, "1") in got[3, 0][4] and (1, 3, 1, 1, "2") in got[3, 0][4]
     # a line of the ruled page: its columns are the page's
     assert got[1, 1] == ("page-columns", 0.2, 1, 2, [(0, 0, 1, 1, "1"), (0, 1, 1, 1, "2")])
     assert set(got) == {(1, 0), (1, 1), (2, 0), (3, 0)}
@@ -88,7 +91,7 @@ def test_channels_are_empty_bins():
 
 def test_numbers_add_boundaries():
     words = [{"x0": e - 50, "x1": e, "text": t} for e in (100.0, 152.0, 300.0) for t in ("1,200.50", "(3)", "$7")] + [{"x0": 0.0, "x1": 300.0, "text": "long"}] * 3
-    assert channels(words, 10.0) == [126.0, 226.0]
+    assert channels(words, 10.0) == [126.0, 201.25, 226.0]  # a white channel, and midpoints of numbers' edges that are not near it
 
 
 def test_selected_columns(spark):
@@ -111,3 +114,40 @@ def test_one_shuffle(spark):
     df = lambda kind: spark.createDataFrame([], kind)
     plan = region_tables(df(WORDS), df(SEGMENTS), df(REGIONS))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc") <= 2
+
+
+def touching_by_hand(boxes, gap):
+    """Any two that touch become their bounding box, one pair at a time, until none do."""
+    todo = [(*b, 1) for b in boxes]
+    while True:
+        pair = next(((i, j) for i in range(len(todo)) for j in range(i) if all(todo[j][k] <= todo[i][k + 2] + gap and todo[j][k + 2] >= todo[i][k] - gap for k in (0, 1))), None)
+        if pair is None:
+            return sorted(todo)
+        i, j = pair
+        a, b = todo.pop(i), todo.pop(j)
+        todo.append((min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4]))
+
+
+def test_touching_boxes():
+    rng = random.Random(6)
+    for n in (0, 1, 2, 5, 20, 60):
+        for scale in (0.02, 0.1, 0.4):
+            for _ in range(15):
+                boxes = [(x, y, x + rng.random() * scale, y + rng.random() * scale * rng.choice([0, 0.3, 1])) for x, y in ((rng.random(), rng.random()) for _ in range(n))]
+                assert fixpoint(boxes, 0.01) == touching_by_hand(boxes, 0.01)
+    began = time.time()
+    grid = [(x * 10.0, y * 10.0, x * 10.0 + 5, y * 10.0 + 5) for x in range(150) for y in range(150)]
+    assert len(fixpoint(grid, 0.1)) == len(grid) and time.time() - began < 5
+
+
+def test_borders_and_aligned_words():
+    rect = lambda x0, y0, x1, y1: SimpleNamespace(text=None, x0=float(x0), y0=float(y0), x1=float(x1), y1=float(y1))
+    w = lambda t, x, y: SimpleNamespace(text=t, x0=float(x), y0=float(y), x1=float(x + 20), y1=float(y + 10))
+    # two that touch within 15 points, one alone, two specks
+    rects = [rect(0, 0, 100, 20), rect(110, 0, 200, 20), rect(400, 400, 500, 500), rect(300, 0, 302, 50), rect(300, 60, 400, 61)]
+    assert bordered(rects) == [(0.0, 0.0, 200 / 612, 20 / 792)]
+    words = [w("a", 0, 30), w("b", 60, 30), w("c", 3, 50), w("d", 60, 50), w("lone", 0, 300)]
+    assert [b[1] for b in aligned_tables(words)] == [2]
+    # the bordered table and the words below it are a point apart on the page's scale
+    merged = page_tables(rects + [w("a", 0, 26), w("b", 60, 26), w("c", 3, 46), w("d", 60, 46)])
+    assert [(i, round(x1 * 612), round(y1 * 792)) for i, _, _, x1, y1 in merged] == [(0, 200, 56)]
