@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import anchors, eav, extraction, fields, geometry, label_search, linkage, matching, page_folds, page_sources, region_tables, scalars
-from .plans import bank, usage, utility
+from .plans import bank, typed_export, usage, utility
 
-MODULES = (utility, bank, eav, usage, scalars, linkage, matching, geometry, page_folds, extraction, fields, label_search, page_sources, region_tables, anchors)
+MODULES = (utility, bank, eav, usage, scalars, linkage, matching, geometry, page_folds, extraction, fields, label_search, page_sources, region_tables, anchors, typed_export)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -107,15 +107,36 @@ def looks_like_header(first_row: Column, n_rows: Column) -> Column:
     return (n_rows > 1) & F.exists(first_row, lambda c: (F.trim(c) != "") & ~F.regexp_replace(F.trim(c), r"[.\-,]", "").rlike(r"^\d+$"))
 
 
-def sheet_names(wanted: list[str], most: int = 31) -> list[str]:
-    """Names a workbook accepts: forbidden characters out, cut, and numbered where they would repeat."""
-    out: list[str] = []
+#: How workbooks name their sheets: what is cut off, what forbidden characters become, the greatest length, and how a repeated name is cut and numbered.
+#: "exact" rules compare names with their case.
+NAMINGS = {
+    "numbered": {"strip": None, "put": " ", "most": 31, "cut": None, "tail": " ({})", "exact": False, "empty": "Sheet"},
+    "page": {"strip": None, "put": None, "most": 31, "cut": 28, "tail": "_{}", "exact": True, "empty": ""},
+    "bank": {"strip": None, "put": "-", "most": 31, "cut": None, "tail": " ({})", "exact": True, "empty": "Sheet", "raw": True},
+    "utility": {"strip": None, "put": " ", "most": 31, "cut": 28, "tail": " {}", "exact": True, "empty": "Property", "spaces": True},
+    "document": {"strip": r"(?i)\.(pdf|docx?)$", "put": "-", "most": 28, "cut": 27, "tail": "_{}", "exact": True, "empty": "Sheet"},
+    "file": {"strip": r"\.[^.]+$", "put": "_", "most": 27, "cut": None, "tail": "_{}", "exact": False, "empty": "Sheet", "untrimmed": True},
+}
+
+
+def sheet_names(wanted: list[str], naming: str = "numbered") -> list[str]:
+    """Names a workbook accepts, by a rule of NAMINGS: forbidden characters replaced, cut, and numbered from 2 where they would repeat. The bank's
+    numbered names are cut from the name as it came."""
+    rule, used, out = NAMINGS[naming], set(), []
+    seen = (lambda x: x) if rule["exact"] else str.lower
     for w in wanted:
-        base = re.sub(r"[\\/*?:\[\]]", " ", w).strip()[:most] or "Sheet"
+        base = re.sub(rule["strip"], "", w) if rule["strip"] else w
+        if rule["put"] is not None:
+            base = re.sub(r"[\\/*?:\[\]]", rule["put"], base[:31] if rule.get("raw") else base)
+        if rule.get("spaces"):
+            base = re.sub(r"\s+", " ", base)
+        base = base if rule.get("untrimmed") or rule.get("raw") or naming == "page" else base.strip()
+        base = base[: rule["most"]] or rule["empty"]
         name, k = base, 2
-        while name.lower() in (x.lower() for x in out):
-            tail = f" ({k})"
-            name, k = base[: most - len(tail)] + tail, k + 1
+        while seen(name) in used:
+            tail = rule["tail"].format(k)
+            name, k = (w if rule.get("raw") else base)[: rule["cut"] or rule["most"] - len(tail)] + tail, k + 1
+        used.add(seen(name))
         out.append(name)
     return out
 

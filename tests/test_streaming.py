@@ -2,12 +2,14 @@
 
 import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.streaming.bucket_table import BucketTable, apply_changes
+from tablewright.streaming.progress import Progress, watched
 from tablewright.streaming.session_store import ROCKS, Sessions, session_changes, store_stats
 
 USES = "store string, session string, seq long, used_at string, action string, bytes long"
@@ -160,3 +162,30 @@ def test_failed_batch_leaves_the_table(spark, tmp_path):
     assert table.versions() == [0] and [r.x for r in table.read().collect()] == ["a"]
     table.merge(rows.withColumn("seq", F.col("seq") + 1).withColumn("x", F.lit("b")), 1)
     assert [r.x for r in table.read().collect()] == ["b"]
+
+
+def test_progress_equals_a_recount(spark, tmp_path):
+    """The state after two runs of a stream, the second from its checkpoint, is what a count over the sink gives."""
+    rng = random.Random(3)
+    rows = [(f"d{rng.randrange(4)}", i, None if rng.random() < 0.8 else "unreadable") for i in range(120)]
+    pages = {f"d{k}": sum(d == f"d{k}" for d, _, _ in rows) + k for k in range(3)}
+    progress = Progress(pages)
+    spark.streams.addListener(progress)
+    try:
+        for part in (rows[:50], rows[50:]):
+            spark.createDataFrame(part, "doc string, page int, error string").repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema("doc string, page int, error string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            q = watched(stream, list(pages)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+            assert q.awaitTermination(120)
+        deadline = time.time() + 20
+        while progress.state()["running"] and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(progress)
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    count = lambda d, bad: sum((r.doc == d or d is None) and (r.error is not None) == bad for r in out)
+    state = progress.state()
+    assert len(out) == 120 and not state["running"] and state["error"] is None
+    assert (state["done"], state["failed"]) == (count(None, False), count(None, True))
+    assert state["documents"] == {d: (count(d, False), count(d, True), n - count(d, False) - count(d, True)) for d, n in pages.items()}
+    assert [x[2] for x in state["documents"].values()] == [0, 1, 2]
