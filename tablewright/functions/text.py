@@ -3,7 +3,7 @@
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,17 +71,37 @@ def header_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
 
 
-def search_key(c: Column) -> Column:
-    """Compatibility-decomposed, without marks, lower case, edge punctuation off. Spark has no decomposition of its own; a
-    batch at a time."""
+_EDGE = ".,:;!?()[]{}\"'"
+
+
+def _batchwise(one: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A Column function of texts, a batch at a time; what is ASCII alone is the same in every normal form, so Python sees it once per distinct text."""
+
+    def column(c: Column) -> Column:
+        def run(texts: pa.Array) -> pa.Array:
+            known = texts.dictionary_encode()
+            return pa.array([one(x) for x in known.dictionary.to_pylist()], pa.string()).take(known.indices)
+
+        return F.arrow_udf(run, "string")(c)
+
+    return column
 
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        plain = "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)).lower()
-        return " ".join(plain.split()).strip(".,:;!?()[]{}\"'")
 
-    def keys(s: pd.Series) -> pd.Series:
-        return s.map(one)
+def _basic(text: str) -> str:
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).split())
 
-    return F.pandas_udf(keys, "string")(c)
+
+def _search(text: str) -> str:
+    if not text.isascii():
+        text = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+    return " ".join(text.lower().split()).strip(_EDGE)
+
+
+def normalise_basic(c: Column) -> Column:
+    """Compatibility-composed (NFKC), single spaces, none at the ends. Spark has no composition of its own."""
+    return _batchwise(_basic)(c)
+
+
+def search_key(c: Column) -> Column:
+    """Compatibility-decomposed (NFKD), without marks, lower case, single spaces, edge punctuation off."""
+    return _batchwise(_search)(c)

@@ -167,7 +167,7 @@ def apply_template(marks: DataFrame, pages: DataFrame, first_target: int) -> Dat
     that a document lacks get none."""
     first = marks.agg(F.min("page").alias("first"))  # one row
     shifted = marks.join(F.broadcast(first)).withColumn("page", (F.col("page") - F.col("first") + first_target).cast("int")).drop("first")
-    return pages.join(F.broadcast(shifted), "page").select("doc", "mark", "page", "x", "y")
+    return pages.join(shifted, "page").select("doc", "mark", "page", "x", "y")
 
 
 def template_apply(spark, sf_dir: str) -> DataFrame:

@@ -187,7 +187,17 @@ def as_tsv(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\r\n]+", " ")), "\t")
 
 
+def _safe(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def as_html(cells: Column) -> Column:
     """A row (array of cells) as a table row, escaped."""
-    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<td>"), safe(c), F.lit("</td>"))), ""), F.lit("</tr>"))
+    return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<td>"), _safe(c), F.lit("</td>"))), ""), F.lit("</tr>"))
+
+
+def as_html_spans(cells: Column) -> Column:
+    """A row of cells (text, rowspan, colspan) as a table row; spans of one aren't written."""
+    span = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
+    cell = lambda c: F.concat(F.lit("<td"), span("rowspan", c["rowspan"]), span("colspan", c["colspan"]), F.lit(">"), _safe(c["text"]), F.lit("</td>"))
+    return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, cell), ""), F.lit("</tr>"))
