@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import BILLS, EXTRACTED, bills, extracted, table
 from ..plans.utility import carried
+from .ranks import ranked
 
 FIELDS = ["click", "error", "purchase", "signup", "view"]
 
@@ -235,8 +236,8 @@ APPLY_MERGES = "SELECT p_partkey AS seq, 'name' AS field, CASE WHEN p_partkey %
 def panel_sort(spark, sf_dir: str) -> DataFrame:
     """Place of each row in the panel, within its market segment, by a mixed column; sorting is stable by the key."""
     c = table(spark, sf_dir, "customer").withColumn("shown", F.expr("CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN date_format(date_add(date'2024-01-31', cast(c_custkey % 400 AS int)), 'MM/dd/yyyy') WHEN 2 THEN concat('$', cast(cast(c_custkey % 97 AS int) AS string)) WHEN 3 THEN c_name END"))
-    w = lambda d: Window.partitionBy("c_mktsegment").orderBy(*panel_order(F.col("shown"), d), "c_custkey")
-    return c.select("c_custkey", "c_mktsegment", F.row_number().over(w(False)).alias("up"), F.row_number().over(w(True)).alias("down"))
+    up = ranked(c.select("c_custkey", "c_mktsegment", "shown"), ["c_mktsegment"], [*panel_order(F.col("shown")), F.asc("c_custkey")], "up")
+    return ranked(up, ["c_mktsegment"], [*panel_order(F.col("shown"), True), F.asc("c_custkey")], "down").drop("shown")
 
 
 PANEL_SORT = """WITH c AS (SELECT *, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN strftime(DATE '2024-01-31' + CAST(c_custkey % 400 AS INTEGER), '%m/%d/%Y') WHEN 2 THEN '$' || (c_custkey % 97) WHEN 3 THEN c_name END AS shown FROM customer),

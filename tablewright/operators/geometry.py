@@ -94,8 +94,29 @@ def row_islands(words: DataFrame) -> DataFrame:
     return islands(mids, PAGE, "mid", F.greatest(F.col("med") * 0.5, F.lit(2.0)), "row")
 
 
+def row_boxes(words: DataFrame) -> DataFrame:
+    """(doc, page, row, n_words, x0, x1, y0) of the rows that row_islands numbers. Words of one middle and height are counted where they are read, so a
+    page is a few rows when it is gathered, and its median and clusters are folds over those."""
+    counted = words.groupBy(*PAGE, ((F.col("y0") + F.col("y1")) / 2).alias("mid"), (F.col("y1") - F.col("y0")).alias("h")).agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"))
+    pages = counted.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("mid", "n", "x0", "x1", "y0"))).alias("ms"), F.array_sort(F.collect_list(F.struct("h", "n"))).alias("hs"), F.expr("sum(n) div 2").alias("half"))
+    passed = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["med"].isNotNull(), a["med"]).when(a["seen"] + x["n"] > F.col("half"), x["h"]).alias("med"))
+    med = F.aggregate("hs", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("med")), passed, lambda a: a["med"])
+    pages = pages.withColumn("tol", F.greatest(med * 0.5, F.lit(2.0)))
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<n:bigint,x0:double,x1:double,y0:double>>").alias("rows"))
+
+    def cluster(acc, m):
+        own = F.struct(*[m[c].alias(c) for c in ("n", "x0", "x1", "y0")])
+        row = F.get(acc["rows"], F.size(acc["rows"]) - 1)
+        more = F.struct((row["n"] + m["n"]).alias("n"), F.least(row["x0"], m["x0"]).alias("x0"), F.greatest(row["x1"], m["x1"]).alias("x1"), F.least(row["y0"], m["y0"]).alias("y0"))
+        joined = F.concat(F.slice(acc["rows"], F.lit(1), F.size(acc["rows"]) - 1), F.array(more))
+        return F.struct(m["mid"].alias("last"), F.when(m["mid"] - acc["last"] <= F.col("tol"), joined).otherwise(F.array_append(acc["rows"], own)).alias("rows"))
+
+    rows = pages.select(*PAGE, F.posexplode(F.aggregate("ms", start, cluster, lambda a: a["rows"])).alias("row", "r"))
+    return rows.select(*PAGE, "row", F.col("r.n").alias("n_words"), "r.x0", "r.x1", "r.y0")
+
+
 def row_islands_query(spark, sf_dir: str) -> DataFrame:
-    return row_islands(document_words(spark, sf_dir)).groupBy(*PAGE, F.col("row").cast("long").alias("row")).agg(F.count("*").alias("n_words"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"))
+    return row_boxes(document_words(spark, sf_dir)).withColumn("row", F.col("row").cast("long"))
 
 
 ROW_ISLANDS = f"""WITH {DOCUMENT_WORDS}, h AS (SELECT doc, page, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS med FROM words GROUP BY doc, page),

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from ..sources.tables import USAGE, table, usage
 
 NOW = datetime(2024, 1, 20, 12)
@@ -148,7 +149,7 @@ def usage_sorted(spark, sf_dir: str) -> DataFrame:
     sums = [F.count_if(F.col("kind") == v).alias(k) for k, v in kinds.items()]
     users = rows.groupBy("user_id").agg(*sums, F.count("*").alias("extracted"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages_extracted"), F.max("used_at").alias("last_active"))
     long = users.select("user_id", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), (F.unix_micros(F.col(k).cast("timestamp")) if k == "last_active" else F.col(k).cast("long")).alias("value")) for k in SORT_KEYS])).alias("x"))
-    return long.select("x.key", "user_id", "x.value", F.row_number().over(Window.partitionBy("x.key").orderBy(F.desc("x.value"), "user_id")).alias("place"))
+    return ranked(long.select("x.key", "user_id", "x.value"), ["key"], [F.desc("value"), F.asc("user_id")], "place")
 
 
 USAGE_SORTED = f"""WITH {USAGE}, u AS (SELECT user_id, count(*) FILTER (kind = 'purchase') AS files, count(*) AS extracted, CAST(coalesce(sum(pages), 0) AS BIGINT) AS pages_extracted, count(*) FILTER (kind = 'click') AS downloads,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from ..sources.tables import BILLS, bills
 
 MONTH_SQL = "strftime(CASE WHEN day(billing_date) < 15 THEN billing_date - INTERVAL 1 MONTH ELSE billing_date END, '%Y-%m')"
@@ -242,8 +243,7 @@ def account_order(spark, sf_dir: str) -> DataFrame:
     """Each property's rows in the order of a reader's alphabet, by provider, then account: case only decides between equals."""
     found = cells(bills(spark, sf_dir)).select("property", "provider", "account").distinct()
     named = found.withColumn("provider", F.when(F.col("account") % 2 == 0, F.upper("provider")).otherwise(F.lower("provider"))).withColumn("account", F.concat(F.lit("A"), F.lpad(F.col("account").cast("string"), 9, "0")))
-    place = F.row_number().over(Window.partitionBy("property").orderBy(F.collate("provider", "UNICODE"), F.collate("account", "UNICODE")))
-    return named.select("property", "provider", "account", place.alias("place"))
+    return ranked(named.select("property", "provider", "account"), ["property"], [F.collate("provider", "UNICODE"), F.collate("account", "UNICODE")], "place")
 
 
 ACCOUNT_ORDER = f"""WITH {BILLS}, n AS (SELECT DISTINCT property, CASE WHEN account % 2 = 0 THEN upper(provider) ELSE lower(provider) END AS provider, 'A' || lpad(CAST(account AS VARCHAR), 9, '0') AS account FROM bills)

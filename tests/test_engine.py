@@ -13,6 +13,7 @@ from tablewright.operators.linkage import community, star_groups
 from tablewright.operators.page_folds import lines_of, merged_boxes, merged_cells
 from tablewright.plans.bank import spine
 from tablewright.plans.utility import month_key
+from tablewright.operators.ranks import ranked
 from tablewright.sources import xlsx
 from tablewright.streaming.usage_stream import current, slot_sink, usage_windows, versions
 
@@ -112,3 +113,13 @@ def test_streams(spark, tmp_path):
     assert versions(spark, out) == [6, 7]
     events = spark.createDataFrame([("2024-01-01 00:10:00", "view", 2), ("2024-01-01 00:50:00", "view", 3)], "used_at string, kind string, amount int")
     assert usage_windows(events).first()["amount"] == 5
+
+
+def test_ranks_by_hand(spark):
+    """Places over more partitions than one, a group that fills several, nulls, ties broken by the order's last key."""
+    rows = [("hot" if i % 3 else (None if i % 2 else "cold"), (i * 7919) % 50, i) for i in range(400)]
+    out = ranked(spark.createDataFrame(rows, "g string, v int, i int"), ["g"], [F.desc("v"), F.asc("i")], "place", parts=9)
+    want = []
+    for g in {r[0] for r in rows}:
+        want += [(*r, k) for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])), 1)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)

@@ -7,6 +7,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.operators.geometry import row_boxes, row_islands
 from tablewright.operators.page_folds import aligned_tables, bordered, fixpoint, page_tables
 from tablewright.operators.region_tables import channels, region_columns, region_tables, selected_columns
 
@@ -151,3 +152,11 @@ def test_borders_and_aligned_words():
     # the bordered table and the words below it are a point apart on the page's scale
     merged = page_tables(rects + [w("a", 0, 26), w("b", 60, 26), w("c", 3, 46), w("d", 60, 46)])
     assert [(i, round(x1 * 612), round(y1 * 792)) for i, _, _, x1, y1 in merged] == [(0, 200, 56)]
+
+
+def test_row_boxes_are_those_of_the_islands(spark):
+    rng = random.Random(11)
+    words = [(d, 1, float(x), y, x + 20.0, y + rng.choice([4.0, 10.0, 10.0, 30.0]), "w") for d in range(8) for x, y in ((rng.randrange(300), rng.choice([0.0, 3.0, 5.5, 12.0, 30.0, 31.0]) + 60 * rng.randrange(3)) for _ in range(rng.randint(1, 25)))]
+    df = spark.createDataFrame(words, WORDS)
+    want = row_islands(df).groupBy("doc", "page", "row").agg(F.count("*").alias("n"), F.min("x0"), F.max("x1"), F.min("y0"))
+    assert sorted(map(tuple, row_boxes(df).collect())) == sorted(map(tuple, want.collect()))
