@@ -19,6 +19,8 @@ EM_STEPS = 12
 #: the 0.5 of independent draws.
 PENALTY = 3.0
 UNKNOWN = "und"
+#: Most languages that are learned: the model is their number times BUCKETS doubles, 128 MB at most, on the driver and in each worker.
+MOST_LANGUAGES = 500
 
 _CLEAN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -106,7 +108,10 @@ def count_trigrams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Counts over all given documents. What comes to the driver is the model: a row per language and bucket."""
+    """Counts over all given documents. What comes to the driver is the model: a row per language and bucket. A column of more than MOST_LANGUAGES
+    values is no column of languages, and an error."""
+    if docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col)).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
     rows = count_trigrams(docs, text_col, lang_col).toPandas()
     names = sorted(rows["lang"].unique())
     counts = np.zeros((len(names), BUCKETS))

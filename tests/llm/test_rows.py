@@ -97,6 +97,14 @@ def test_language(spark):
     assert language_id.identify(frame(spark), nothing).filter("language.lang_pred <> 'und'").count() == 0
 
 
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    docs = lambda n: spark.createDataFrame([("text of it", f"l{i}") for i in range(n)] + [(None, f"x{i}") for i in range(9)], "text string, lang string")
+    assert len(language_id.learn(docs(3)).names) == 3
+    with pytest.raises(ValueError, match="more than 3"):
+        language_id.learn(docs(4))
+
+
 def test_known():
     rng = random.Random(4)
     words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(60)] for lang, letters in (("x", "abcdefgh"), ("y", "mnopqrst"))}
