@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import anchors, eav, extraction, fields, geometry, label_search, linkage, matching, page_folds, page_sources, region_tables, reports, scalars
+from .operators import anchors, eav, extraction, fields, geometry, label_search, linkage, matching, page_folds, page_sources, region_tables, reports, scalars, templates
 from .plans import bank, typed_export, usage, utility
 
-MODULES = (utility, bank, eav, usage, scalars, linkage, matching, geometry, page_folds, extraction, fields, label_search, page_sources, region_tables, anchors, typed_export, reports)
+MODULES = (utility, bank, eav, usage, scalars, linkage, matching, geometry, page_folds, extraction, fields, label_search, page_sources, region_tables, anchors, typed_export, reports, templates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
