@@ -13,6 +13,8 @@ from .language_id import held_out
 #: Bound of the fit: labelled documents of each label, read whole. Scoring reads every line of every document.
 FIT_DOCS = 1500
 FIT_STEPS = 150
+#: Most of a bad document's length that may be taken for good lines when its lines get labels of their own.
+GOOD_SHARE = 0.4
 
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 upper, 2 lower, 3 digit, 4 white space, 5 symbol, 6 beyond ASCII
 _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = 1, 2, 3, 6
@@ -86,35 +88,59 @@ class LineCRF:
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[int], steps: int = FIT_STEPS) -> LineCRF:
-        """Maximum likelihood with a small L2 penalty, by Adam on all lines of the sample. A document's lines all carry its label.
-        Documents of like length are padded together. Without both labels the score is constant."""
+        """Maximum likelihood with a small L2 penalty, by Adam on all lines of the sample. A document's label says what most of it is, so the lines' labels
+        are latent: at first they all carry the document's, and lines are fitted without the chain; then those of a bad document that look good by
+        themselves, up to GOOD_SHARE of its length, the best first, are labelled good, and the chain is fitted on labels that change along a
+        document. Documents of like length are padded together. Without both labels the score is constant."""
         if len(set(labels)) < 2:
             return cls(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 4.0 if sum(labels) or not labels else -4.0, 0.0)
-        seqs = [line_features(t)[0] for t in texts]
-        flat = np.concatenate(seqs)
+        read = [line_features(t) for t in texts]
+        flat = np.concatenate([f for f, _ in read])
         centre, scale, total = flat.mean(0), flat.std(0) + 1e-3, len(flat)
         by_size: dict[int, list[int]] = {}
-        for i, s in enumerate(seqs):
-            by_size.setdefault(len(s).bit_length(), []).append(i)
-        padded = []
+        for i, (f, _) in enumerate(read):
+            by_size.setdefault(len(f).bit_length(), []).append(i)
+        padded, sizes = [], []
         for some in by_size.values():
-            longest = max(len(seqs[i]) for i in some)
-            x, there = np.zeros((len(some), longest, WIDTH), np.float32), np.zeros((len(some), longest), np.float32)
+            longest = max(len(read[i][0]) for i in some)
+            x, there, size = np.zeros((len(some), longest, WIDTH), np.float32), np.zeros((len(some), longest), np.float32), np.zeros((len(some), longest))
             for k, i in enumerate(some):
-                x[k, : len(seqs[i])], there[k, : len(seqs[i])] = (seqs[i] - centre) / scale, 1
-            padded.append((x, there, np.array([labels[i] for i in some], np.float32)[:, None]))
-        p, m, v = np.zeros(WIDTH + 2), np.zeros(WIDTH + 2), np.zeros(WIDTH + 2)
+                n = len(read[i][0])
+                x[k, :n], there[k, :n], size[k, :n] = (read[i][0] - centre) / scale, 1, read[i][1] + 1
+            padded.append((x, there, np.repeat(np.array([labels[i] for i in some], np.float32)[:, None], longest, 1)))
+            sizes.append(size)
+        p = cls._climb(padded, np.zeros(WIDTH + 2), total, steps, chain=False)
+        padded = [(x, there, cls._own_labels((x @ p[:WIDTH].astype(np.float32) + p[WIDTH]) * there, there, y, size)) for (x, there, y), size in zip(padded, sizes, strict=True)]
+        p = cls._climb(padded, p, total, steps)
+        return cls(centre, scale, p[:WIDTH].copy(), float(p[WIDTH]), float(min(0.0, p[-1])))
+
+    @classmethod
+    def _climb(cls, padded: list[tuple[np.ndarray, np.ndarray, np.ndarray]], p: np.ndarray, total: int, steps: int, chain: bool = True) -> np.ndarray:
+        """Adam's steps from p on sequences (features, which lines are there, the lines' labels); without the chain neighbours don't matter."""
+        m, v = np.zeros(WIDTH + 2), np.zeros(WIDTH + 2)
+        seen = sum(float((np.abs(y[:, 1:] - y[:, :-1]) * there[:, 1:]).sum()) for _, there, y in padded)
         for k in range(1, steps + 1):
             grad = np.zeros(WIDTH + 2)
             for x, there, y in padded:
                 odds = (x @ p[:WIDTH].astype(np.float32) + p[WIDTH]) * there
-                good, differ = cls._expect(odds, there, p[-1])
+                good, differ = cls._expect(odds, there, p[-1]) if chain else (1 / (1 + np.exp(-np.clip(odds, -30, 30))), 0.0)
                 rest = (good - y) * there
                 grad += np.concatenate([np.tensordot(rest, x, 2), [rest.sum(), differ]])
+            grad[-1] -= seen if chain else 0
             grad = grad / total + 1e-4 * p
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-            p -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        return cls(centre, scale, p[:WIDTH].copy(), float(p[WIDTH]), float(min(0.0, p[-1])))
+            p = p - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        return p
+
+    @staticmethod
+    def _own_labels(odds: np.ndarray, there: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Lines' labels: of a bad document, good for lines of positive log-odds, the greatest first, while they make up GOOD_SHARE of it at most."""
+        order = np.argsort(-np.where(there > 0, odds, -np.inf), axis=1, kind="stable")
+        taken = np.cumsum(np.take_along_axis(size, order, 1), axis=1) <= GOOD_SHARE * size.sum(1, keepdims=True)
+        good = taken & (np.take_along_axis(odds, order, 1) > 0) & (np.take_along_axis(there, order, 1) > 0)
+        out = y.copy()
+        np.put_along_axis(out, order, np.maximum(np.take_along_axis(y, order, 1), good), 1)
+        return out
 
     @staticmethod
     def _expect(odds: np.ndarray, there: np.ndarray, change: float) -> tuple[np.ndarray, float]:

@@ -281,6 +281,23 @@ def test_marginals_by_enumeration():
     assert 0 < differ < 3
 
 
+def test_lines_get_labels_of_their_own():
+    """Bad documents with a clean half: their clean lines end up good, their junk bad, and the document bad; the chain has learned from changes."""
+    rng = random.Random(3)
+    clean = lambda: " ".join("".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 8))) for _ in range(12))
+    junk = lambda: " ".join("".join(rng.choice("#$%&|<>0123456789") for _ in range(rng.randint(5, 14))) for _ in range(12))
+    bad = lambda: "\n".join([*(clean() for _ in range(4)), *(junk() for _ in range(6))])
+    good = lambda: "\n".join(clean() for _ in range(10))
+    model = line_crf.LineCRF.fit([bad() for _ in range(40)] + [good() for _ in range(40)], [0] * 40 + [1] * 40)
+    text = bad()
+    m = model.marginals(model.odds(line_crf.line_features(text)[0]))
+    assert (m[:3] > 0.5).all() and (m[5:] < 0.5).all() and model.score(text) < 0.5 < model.score(good())
+    assert model.change < 0
+    y, there = np.zeros((1, 4), np.float32), np.array([[1, 1, 1, 0]], np.float32)
+    own = line_crf.LineCRF._own_labels(np.array([[3.0, 5.0, -1.0, 9.0]]), there, y, np.array([[3.0, 4.0, 3.0, 0.0]]))
+    assert own.tolist() == [[0, 1, 0, 0]]  # the second line is 40 % of the length, with the first it would be 70
+
+
 def test_fit_reads_whole_documents():
     """Bad lines that come late teach as those that come early do."""
     clean, junk = "these are plain words of an even line of text", "$$ ## !! 99 || && ** %%"
