@@ -184,6 +184,22 @@ def folder_community(spark, sf_dir: str) -> DataFrame:
 FOLDER_COMMUNITY = r"""WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', ''), '/') AS parts FROM pages)
 SELECT CASE WHEN len(parts) < 2 THEN '(root)' ELSE coalesce(nullif(parts[len(parts) - 1], ''), '(root)') END AS community, count(*) AS n_pages, min(page_id) AS first_page FROM p GROUP BY 1"""
 
+def summary(images: DataFrame, rows: DataFrame) -> DataFrame:
+    """What an incident workbook says of itself: rows, images read, communities among them, and images that failed. images (path, error), rows (path)."""
+    read = images.agg(F.count("*").alias("images"), F.countDistinct(community(F.col("path"))).alias("communities"), F.count("error").alias("errors"))
+    return read.join(rows.agg(F.count("*").alias("rows"))).select("rows", "images", "communities", "errors")
+
+
+def incident_summary(spark, sf_dir: str) -> DataFrame:
+    """Pages as images by their address, every thirteenth of which fails; one that doesn't gives a row per paragraph."""
+    p = table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^[a-z]+://", "").alias("path"), "page_id", "html").withColumn("error", F.when(F.col("page_id") % 13 == 0, "unreadable"))
+    rows = p.filter("error is null").select("path", F.explode(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).alias("row"))
+    return summary(p.select("path", "error"), rows)
+
+
+INCIDENT_SUMMARY = r"""WITH p AS (SELECT *, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', ''), '/') AS parts FROM pages)
+SELECT CAST(sum(len(regexp_extract_all(html, '<p>'))) FILTER (page_id % 13 <> 0) AS BIGINT) AS rows, count(*) AS images, count(DISTINCT CASE WHEN len(parts) < 2 THEN '(root)' ELSE coalesce(nullif(parts[len(parts) - 1], ''), '(root)') END) AS communities, count(*) FILTER (page_id % 13 = 0) AS errors FROM p"""
+
 # The fields whose values may be merged, and what they are called.
 MERGE_FIELDS = {"provider_name": "Provider Name", "property_name": "Property Name", "account_number": "Account Number", "address": "Address"}
 
@@ -239,4 +255,5 @@ QUERIES = {
     "value_frequency": (value_frequency, VALUE_FREQUENCY),
     "import_mapping": (import_mapping, IMPORT_MAPPING),
     "folder_community": (folder_community, FOLDER_COMMUNITY),
+    "incident_summary": (incident_summary, INCIDENT_SUMMARY),
 }
