@@ -228,7 +228,11 @@ def region_tables(words: DataFrame, segments: DataFrame, regions: DataFrame, fin
 
     def find(ws: list[dict], ss: list[dict], bounds: list[float] | None) -> list[tuple]:
         names = ("row", "col", "rowspan", "colspan", "text")
-        found = [(name, f(ws, ss, bounds)) for name, f in finders]
+        first = finders[0][1](ws, ss, bounds)
+        if first and first[0] >= 2 and first[1] >= 2 and len({c[1] for c in first[2] if c[4].strip()}) >= 2:
+            found = [(finders[0][0], first)]  # it is taken whatever the others find
+        else:
+            found = [(finders[0][0], first), *((name, f(ws, ss, bounds)) for name, f in finders[1:])]
         return [{"source": name, "n_rows": g[0], "n_cols": g[1], "cells": [dict(zip(names, c, strict=True)) for c in g[2]]} for name, g in found if g]
 
     grids = at.select(*REGION, F.posexplode(_column(f"array<{_GRID}>", find)(F.col("w"), F.col("s"), F.col("bounds"))).alias("place", "g"))
