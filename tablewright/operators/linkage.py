@@ -82,8 +82,8 @@ def star_groups(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _names(spark, sf_dir: str) -> DataFrame:
-    """Part names of a brand, as the values of a field in files of a thousand parts: groups don't grow with the table."""
-    return table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), F.expr("p_partkey div 1000")).alias("field"), F.col("p_name").alias("name"), F.col("p_partkey").alias("at"))
+    """Part names of a brand, as the values of a field."""
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("field"), F.col("p_name").alias("name"), F.col("p_partkey").alias("at"))
 
 
 def similar_pairs(spark, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def similar_pairs(spark, sf_dir: str) -> DataFrame:
     return pairs(values, ["field"], "property").select("field", "a", "b", F.levenshtein("a", "b").alias("edits"))
 
 
-_VALUES = "v AS (SELECT p_brand || '/' || p_partkey // 1000 AS field, trim(p_name) AS value, min(p_partkey) AS seq, count(*) AS n FROM part GROUP BY 1, 2)"
+_VALUES = "v AS (SELECT p_brand AS field, trim(p_name) AS value, min(p_partkey) AS seq, count(*) AS n FROM part GROUP BY 1, 2)"
 SIMILAR_PAIRS = f"""WITH {_VALUES}, t AS (SELECT *, string_split(value, ' ') AS w FROM v),
 p AS (SELECT a.field, a.value AS a, b.value AS b, a.w AS wa, b.w AS wb, len(list_intersect(a.w, b.w)) AS shared, levenshtein(a.value, b.value) AS edits FROM t a JOIN t b ON a.field = b.field AND a.seq < b.seq)
 SELECT field, a, b, CAST(edits AS INTEGER) AS edits FROM p WHERE contains(a, b) OR contains(b, a) OR shared >= 1 OR edits <= greatest(3, floor(least(length(a), length(b)) * 0.3))"""
