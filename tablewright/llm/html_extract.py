@@ -409,7 +409,7 @@ def large_hosts(pages: DataFrame, kind: str, scratch: Scratch) -> DataFrame:
     What is found on a share of the host's pages is found on that share of some chunk's, so each chunk's suffix array gives the
     candidates: at most the chunk's tokens per page, over the share. Chunks get two bytes a token, which is enough for that. The
     candidates are exchanged by hash, counted over the host's pages by the tokens' full hashes, and those on enough pages come
-    back to every page. Long repeats on any two pages are counted by the hashes of all open pages' windows.
+    back to every page. Long repeats on any two pages, of which one is open, are counted by the hashes of the windows of all pages of hosts that have open ones.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,11 +459,11 @@ def large_hosts(pages: DataFrame, kind: str, scratch: Scratch) -> DataFrame:
     def cut_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         for b in batches:
-            for row, h, texts in _rows(b, "_row", "_host", "_texts"):
+            for row, h, main, texts in _rows(b, "_row", "_host", "_main", "_texts"):
                 found = windows(hashes(tokens_of(texts), seen), LONG_TOKENS)
-                first = np.zeros(len(found), bool)
-                first[np.unique(found, return_index=True)[1]] = True
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array(np.arange(len(found), dtype=np.int32)), pa.array([h] * len(found), pa.string()), pa.array(found), pa.array(first)], ["_row", "_at", "_host", "h", "_first"])
+                once = np.unique(found, return_index=True)[1]
+                at = np.sort(once) if main else np.arange(len(found))  # nothing long goes from an article's page, so where it has it again doesn't matter
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array([h] * len(at), pa.string()), pa.array(found[at]), pa.array(np.isin(at, once)), pa.array(np.full(len(at), main))], ["_row", "_at", "_host", "h", "_first", "_main"])
 
     def settle_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
@@ -491,9 +491,10 @@ def large_hosts(pages: DataFrame, kind: str, scratch: Scratch) -> DataFrame:
     counted = pages.join(asked, "_host").select("_host", "_main", "_texts", "_keep", "_hashes").mapInArrow(count, "_host string, h long, on long, beside long").groupBy("_host", "h").agg(F.sum("on").alias("on"), F.sum("beside").alias("beside"))
     often = counted.join(pages.select("_host", "_pages").distinct(), "_host").filter(F.col("on") >= F.greatest(F.lit(OPEN_PAGES), F.ceil(F.col("_pages") * OPEN_SHARE)))
     told = scratch.write(often.groupBy("_host").agg(F.collect_list(F.struct("h", "on", "beside")).alias("_found")).select("_host", F.col("_found.h").alias("_hashes"), F.col("_found.on").alias("_on"), F.col("_found.beside").alias("_beside")))
-    at = pages.filter("not _main").select("_row", "_host", "_texts").mapInArrow(cut_long, "_row long, _at int, _host string, h long, _first boolean")
+    beside = pages.filter("not _main").select("_host").distinct()
+    at = pages.join(beside, "_host", "left_semi").select("_row", "_host", "_main", "_texts").mapInArrow(cut_long, "_row long, _at int, _host string, h long, _first boolean, _main boolean")
     twice = at.filter("_first").groupBy("_host", "h").agg(F.count("*").alias("on")).filter(F.col("on") >= OPEN_PAGES).select("_host", "h")
-    long = scratch.write(at.select("_row", "_at", "_host", "h").join(twice, ["_host", "h"]).groupBy("_row").agg(F.collect_list("_at").alias("_long")))
+    long = scratch.write(at.filter("not _main").select("_row", "_at", "_host", "h").join(twice, ["_host", "h"]).groupBy("_row").agg(F.collect_list("_at").alias("_long")))
     rows = pages.join(told, "_host", "left").join(long, "_row", "left")
     return rows.select("_id", "_url", "_main", "_pages", "_texts", "_keep", "_hashes", "_on", "_beside", "_long").mapInArrow(settle_pages, f"_id {kind}, _url string, text string")
 

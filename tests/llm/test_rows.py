@@ -409,6 +409,17 @@ def extract_by_hand(pages):
     return out
 
 
+@pytest.mark.parametrize("chunk", [400, 2, 1])
+def test_extract_long_passage_of_an_article(spark, chunk):
+    """What an open page shares with one article of its host counts, whether the host is one chunk or several."""
+    shared = " ".join(f"s{i}" for i in range(30))
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(0, "http://h.x/0", f"<p>{say(0)}</p><p>{shared}</p>"), (1, "http://h.x/1", f"<article><p>{say(1)}</p><p>{shared}</p></article>")]
+    rows += [(k, f"http://h.x/{k}", f"<article><p>{say(k)}</p></article>") for k in range(2, 8)]
+    got = {r.page_id: r.text for r in html_extract.extract_html(spark.createDataFrame(rows, "page_id long, url string, html string"), chunk_pages=chunk).collect()}
+    assert got == extract_by_hand([(i, "h.x", h) for i, _, h in rows]) and shared not in got[0] and shared in got[1]
+
+
 @pytest.mark.parametrize("chunk", [400, 7, 1])
 def test_extract_by_hand(spark, chunk):
     """Hosts of any size, dealt into chunks or not: articles with a line that most pages have, with one that few have, open pages with footers,
