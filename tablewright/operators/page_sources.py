@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import is_numeric_token
+from ..functions.text import let
 from ..sources.layout import BENCHMARK_WORDS, DOCUMENT_WORDS, benchmark_words, document_words
 from ..sources.tables import EXTRACTED, extracted, table
 from .geometry import _REGIONS, LEDGER, PAGE, REGIONS, ledger_words, regions
+from .pages import joined_texts
 
 #: Points per inch of a page, and pixels per inch of its image.
 PIXELS = 150.0 / 72.0
@@ -117,13 +119,13 @@ EDGES = (40.0, 151.0, 251.0)
 def edge_column(edges: Column) -> Column:
     """A word's column under right-hand borders: numbers by their right edge, text by its left; beyond the last border, one more column."""
     anchor = F.when(is_numeric_token(F.col("text")), F.col("x1")).otherwise(F.col("x0"))
-    return F.size(F.filter(edges, lambda b: b < anchor))
+    return let(anchor, lambda a: F.size(F.filter(edges, lambda b: b < a)))
 
 
 def edge_cells(spark, sf_dir: str) -> DataFrame:
     """The ledger's rows as cells; a month that is as wide as a number goes by its left edge."""
     w = ledger_words(spark, sf_dir).withColumn("col", edge_column(F.array(*[F.lit(x) for x in EDGES])))
-    return w.groupBy(*PAGE, "line", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return joined_texts(w, [*PAGE, "line", "col"], ["x0"])
 
 
 EDGE_CELLS = f"""WITH {LEDGER}, c AS (SELECT *, CASE WHEN regexp_matches(text, '^[0-9.,]+$') THEN x1 ELSE x0 END AS anchor FROM words)
