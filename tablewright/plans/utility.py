@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import ranked
+from ..sources.shared import written
 from ..sources.tables import BILLS, bills
 
 MONTH_SQL = "strftime(CASE WHEN day(billing_date) < 15 THEN billing_date - INTERVAL 1 MONTH ELSE billing_date END, '%Y-%m')"
@@ -223,13 +224,13 @@ def timeline(found: DataFrame) -> list[str]:
 
 def months_across(found: DataFrame, months: list[str]) -> DataFrame:
     """A row per property, utility, provider and account, a column per month; months without a bill stay blank. With the row's total."""
-    wide = found.groupBy("property", "utility", "provider", "account").pivot("month", months).agg(F.sum("recon"))
-    total = sum((F.coalesce(F.col(f"`{m}`"), F.lit(0)) for m in months), F.lit(0))
-    return wide.withColumn("total", total)
+    row = ["property", "utility", "provider", "account"]
+    of = found.groupBy(*row, "month").agg(F.sum("recon").alias("recon")).groupBy(*row).agg(F.map_from_entries(F.filter(F.collect_list(F.struct("month", "recon")), lambda x: x["month"].isNotNull())).alias("by"), F.coalesce(F.sum(F.when(F.col("month").isin(months), F.col("recon"))), F.lit(0)).alias("total"))
+    return of.select(*row, *[F.element_at("by", F.lit(m)).alias(m) for m in months], "total")
 
 
 def utility_pivot(spark, sf_dir: str) -> DataFrame:
-    found = cells(bills(spark, sf_dir))
+    found = written(cells(bills(spark, sf_dir)).select("property", "utility", "provider", "account", "month", "recon"), "cells")
     months = timeline(found)
     return months_across(found, months).select("property", "utility", "provider", "account", *[F.col(f"`{m}`").cast("double").alias(f"m{m.replace('-', '')}") for m in months], F.col("total").cast("double").alias("total"))
 
