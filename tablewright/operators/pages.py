@@ -17,7 +17,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 PAGE = ["doc", "page"]
 
 
-def _values(c: pa.Array) -> list:
+def values(c: pa.Array) -> list:
+    """A column's values; numbers without nulls the fast way."""
     plain = c.null_count == 0 and (pa.types.is_floating(c.type) or pa.types.is_integer(c.type))
     return c.to_numpy().tolist() if plain else c.to_pylist()
 
@@ -39,7 +40,7 @@ def per_page(rows: DataFrame, solve: Callable[[list], list[tuple]], schema: str)
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, target, strict=True)], schema=target)
 
         for b in batches:
-            out, cols = [], [_values(c) for c in b.columns]
+            out, cols = [], [values(c) for c in b.columns]
             for k, g in groupby(zip(cols[0], cols[1], map(row, *cols[2:])), key=itemgetter(0, 1)):
                 if k != key:
                     if held:

@@ -3,6 +3,7 @@
 import duckdb
 
 from tablewright.operators import linkage
+from tablewright.operators.pages import joined_texts, per_page
 
 
 def test_similar_pairs_meet_over_the_whole_table(spark, tmp_path):
@@ -13,3 +14,17 @@ def test_similar_pairs_meet_over_the_whole_table(spark, tmp_path):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert got == set(db.sql(linkage.SIMILAR_PAIRS).fetchall()) == {("Brand#1", "green valve", "green valves", 1)}
+
+
+def test_pages_longer_than_a_batch(spark):
+    """A page that several Arrow batches share is one page, to per_page and to joined_texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(d, 1, i % 3, float(-i), f"t{i}") for d in range(5) for i in range(d * 9)] + [(9, 1, 0, 0.0, None), (9, 1, 0, 1.0, "x")]
+        words = spark.createDataFrame(rows, "doc long, page int, row int, x0 double, text string")
+        assert {(r.doc, r.n) for r in per_page(words, lambda page: [(len(page),)], "n int").collect()} == {(1, 9), (2, 18), (3, 27), (4, 36), (9, 2)}
+        got = {(r.doc, r.row): r.text for r in joined_texts(words, ["doc", "page", "row"], ["x0"]).collect()}
+        want = {(d, k): [r for r in rows if (r[0], r[2]) == (d, k)] for d, k in {(r[0], r[2]) for r in rows}}
+        assert got == {k: " ".join(r[4] for r in sorted(of, key=lambda r: r[3]) if r[4]) for k, of in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
