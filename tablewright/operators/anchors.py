@@ -11,10 +11,13 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from ..sources.shared import written
 from ..sources.tables import table
+from .pages import PAGE, values
 
-PAGE = ["doc", "page"]
 _OTHER = re.compile(r"[^a-z0-9 ]+")
 _MARKS = re.compile("[̀-ͯ҃-҉֑-ֽؐ-ًؚ-ٟऀ-ः᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
 
@@ -58,58 +61,88 @@ class Keys:
 
 
 def page_hits(words: list[dict], keys: Keys) -> list[tuple]:
-    """(key, hit, x0, y0, x1, y1): where keys stand on a page of words (text, x0, y0, x1, y1) in reading order. The plain texts of the words are one
+    """As plain_hits, of words (text, x0, y0, x1, y1) as they are printed."""
+    return plain_hits([(plain(w["text"] or ""), w["x0"], w["y0"], w["x1"], w["y1"]) for w in words], keys)
+
+
+def plain_hits(words: list[tuple], keys: Keys) -> list[tuple]:
+    """(key, hit, x0, y0, x1, y1): where keys stand on a page of words (plain text, x0, y0, x1, y1) in reading order. The plain texts of the words are one
     string; a hit's box spans the words it covers, of those at its ends as much as their share of letters."""
-    starts, ends, texts, held, at = [], [], [], [], 0
-    for w in words:
-        t = plain(w["text"] or "")
-        if t:
-            starts.append(at)
-            ends.append(at + len(t))
-            texts.append(t)
-            held.append(w)
-            at += len(t) + 1
+    held = [w for w in words if w[0]]
+    starts, at = [], 0
+    for w in held:
+        starts.append(at)
+        at += len(w[0]) + 1
     out, n = [], {}
-    for k, a, b in keys.hits(" ".join(texts)):
+    for k, a, b in keys.hits(" ".join([w[0] for w in held])):
         first, last = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
         box = None
         for i in range(first, last + 1):
-            lo, hi = max(a, starts[i]), min(b, ends[i])
+            text, left, top, right, bottom = held[i]
+            size = len(text)
+            lo, hi = max(a, starts[i]), min(b, starts[i] + size)
             if lo < hi:
-                w, size = held[i], ends[i] - starts[i]
-                wide = w["x1"] - w["x0"]
-                x0, x1 = w["x0"] + (lo - starts[i]) / size * wide, w["x0"] + (hi - starts[i]) / size * wide
-                box = (min(box[0], x0), min(box[1], w["y0"]), max(box[2], x1), max(box[3], w["y1"])) if box else (x0, w["y0"], x1, w["y1"])
+                wide = right - left
+                x0, x1 = left + (lo - starts[i]) / size * wide, left + (hi - starts[i]) / size * wide
+                box = (min(box[0], x0), min(box[1], top), max(box[2], x1), max(box[3], bottom)) if box else (x0, top, x1, bottom)
         if box and box[2] > box[0] and box[3] > box[1]:
             n[k] = n.get(k, -1) + 1
             out.append((k, n[k], *map(float, box)))
     return out
 
 
+#: Texts whose plain form a task remembers.
+KNOWN = 200_000
+
+
 def find_keys(words: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc, page, key, hit, x0, y0, x1, y1) of keys (doc, keys: an array of texts) on all pages of their document; keys are given as they are looked
-    for, in plain text. A page's words (with line and word_no) are gathered by one aggregate; a list of keys, which as a rule many pages share, is
-    compiled once in a row."""
-    kind = words.schema["doc"].dataType.simpleString()
-    pages = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line", "word_no", "text", "x0", "y0", "x1", "y1"))).alias("ws")).join(keys, "doc")
+    for, in plain text. A document's keys are a row before its words (with line and word_no), which are moved once and read in their order, a page at a
+    time; a list of keys is compiled once in a row."""
+    kinds = {c: words.schema[c].dataType.simpleString() for c in PAGE}
+    at = ["page", "line", "word_no", "text", "x0", "y0", "x1", "y1"]
+    marks = words.select("doc", *at, F.lit(None).cast("array<string>").alias("keys")).unionAll(keys.select("doc", *[F.lit(None).cast(words.schema[c].dataType).alias(c) for c in at], "keys"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, Keys([])
+        known: dict[str, str] = {}
+        doc, page, texts, compiled, asked, held = None, None, None, Keys([]), None, []
+        out: list[tuple] = []
+
+        def settle() -> None:
+            if held and texts is not None:
+                out.extend((doc, page, texts[k], *rest) for k, *rest in plain_hits(held, compiled))
+            held.clear()
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[] for _ in target]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, target, strict=True)], schema=target)
+
         for b in batches:
-            rows, cols = [], [[] for _ in range(6)]
-            names = []
-            for i, (ws, ks) in enumerate(zip(b.column("ws"), b.column("keys").to_pylist(), strict=True)):
-                if ks != last:
-                    last, known = ks, Keys([k or "" for k in ks])
-                for k, *rest in page_hits(ws.as_py(), known):
-                    rows.append(i)
-                    names.append(ks[k])
-                    for c, v in zip(cols, rest, strict=False):
-                        c.append(v)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc").take(at), b.column("page").take(at), pa.array(names, pa.string()), pa.array(cols[0], pa.int32()), *[pa.array(c, pa.float64()) for c in cols[1:5]]], ["doc", "page", "key", "hit", "x0", "y0", "x1", "y1"])
-
-    return pages.select(*PAGE, "ws", "keys").mapInArrow(scan, f"doc {kind}, page int, key string, hit int, x0 double, y0 double, x1 double, y1 double")
+            for d, p, ks, t, *box in zip(*(values(b.column(c)) for c in ("doc", "page", "keys", "text", "x0", "y0", "x1", "y1")), strict=True):
+                if d != doc or p != page:
+                    settle()
+                    if d != doc:
+                        texts = None
+                    doc, page = d, p
+                if ks is not None:
+                    texts = ks
+                    if ks != asked:
+                        asked, compiled = ks, Keys([k or "" for k in ks])
+                elif texts is not None and t:
+                    x = known.get(t)
+                    if x is None:
+                        if len(known) > KNOWN:
+                            known.clear()
+                        x = known[t] = plain(t)
+                    held.append((x, *box))
+            yield batch()
+        settle()
+        yield batch()
+
+    full = f"doc {kinds['doc']}, page {kinds['page']}, key string, hit int, x0 double, y0 double, x1 double, y1 double"
+    target = to_arrow_schema(StructType.fromDDL(full))
+    return marks.filter("doc is not null").repartition("doc").sortWithinPartitions("doc", *at).mapInArrow(scan, full)
 
 
 def anchor(text: Column) -> Column:
@@ -200,6 +233,7 @@ def anchor_values_query(spark, sf_dir: str) -> DataFrame:
     """On each customer's first page the first line's price is drawn as a value; its key is the month, for odd customers month and quantity, for every tenth a blank
     place. It is placed on the customer's other pages."""
     words, pages = ledgers(spark, sf_dir)
+    words = written(words, "ledgers")  # read three times
     first = words.filter("page = 1 and line = 1 and word_no = 0")
     wide = F.when(F.col("doc") % 2 == 1, 150.0).otherwise(20.0)
     at = F.when(F.col("doc") % 10 == 0, 400.0).otherwise(0.0)
