@@ -74,14 +74,21 @@ def header_key(c: Column) -> Column:
 _EDGE = ".,:;!?()[]{}\"'"
 
 
+#: Texts that a worker holds as Python's own at a time, of a batch.
+SLICE = 256
+
+
 def _batchwise(one: Callable[[str], str]) -> Callable[[Column], Column]:
     """A Column function of texts, a batch at a time; what is ASCII alone is the same in every normal form, so Python sees it once per distinct text."""
 
     def column(c: Column) -> Column:
-        def run(texts: pa.Array) -> pa.Array:
+        def part(texts: pa.Array) -> pa.Array:
             known = texts.dictionary_encode()
             return pa.array([one(x) for x in known.dictionary.to_pylist()], pa.string()).take(known.indices)
 
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.concat_arrays([part(texts.slice(at, SLICE)) for at in range(0, max(len(texts), 1), SLICE)])
+
         return F.arrow_udf(run, "string")(c)
 
     return column

@@ -1,7 +1,9 @@
 """Results that must not depend on how large a table is, or how it is cut."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from tablewright.functions.text import SLICE, search_key
 from tablewright.operators import linkage
 from tablewright.operators.pages import joined_texts, per_page
 
@@ -28,3 +30,9 @@ def test_pages_longer_than_a_batch(spark):
         assert got == {k: " ".join(r[4] for r in sorted(of, key=lambda r: r[3]) if r[4]) for k, of in want.items()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_texts_over_several_slices(spark):
+    texts = [(i, f"  Ünï {i % 300}  Text. ") for i in range(2 * SLICE + 3)] + [(-1, None)]
+    got = {r.i: r.k for r in spark.createDataFrame([t for t in texts if t[1]], "i long, t string").coalesce(1).select("i", search_key(F.col("t")).alias("k")).collect()}
+    assert got == {i: f"uni {i % 300} text" for i, t in texts if t}
