@@ -491,7 +491,8 @@ def large_hosts(pages: DataFrame, kind: str, scratch: Scratch) -> DataFrame:
     counted = pages.join(asked, "_host").select("_host", "_main", "_texts", "_keep", "_hashes").mapInArrow(count, "_host string, h long, on long, beside long").groupBy("_host", "h").agg(F.sum("on").alias("on"), F.sum("beside").alias("beside"))
     often = counted.join(pages.select("_host", "_pages").distinct(), "_host").filter(F.col("on") >= F.greatest(F.lit(OPEN_PAGES), F.ceil(F.col("_pages") * OPEN_SHARE)))
     told = scratch.write(often.groupBy("_host").agg(F.collect_list(F.struct("h", "on", "beside")).alias("_found")).select("_host", F.col("_found.h").alias("_hashes"), F.col("_found.on").alias("_on"), F.col("_found.beside").alias("_beside")))
-    beside = pages.filter("not _main").select("_host").distinct()
+    # written for the same reason: as a plan of unknown size, hosts with open pages would have every page's text moved to them, even if there are none
+    beside = scratch.write(pages.filter("not _main").select("_host").distinct())
     at = pages.join(beside, "_host", "left_semi").select("_row", "_host", "_main", "_texts").mapInArrow(cut_long, "_row long, _at int, _host string, h long, _first boolean, _main boolean")
     twice = at.filter("_first").groupBy("_host", "h").agg(F.count("*").alias("on")).filter(F.col("on") >= OPEN_PAGES).select("_host", "h")
     long = scratch.write(at.filter("not _main").select("_row", "_at", "_host", "h").join(twice, ["_host", "h"]).groupBy("_row").agg(F.collect_list("_at").alias("_long")))

@@ -420,6 +420,21 @@ def test_extract_long_passage_of_an_article(spark, chunk):
     assert got == extract_by_hand([(i, "h.x", h) for i, _, h in rows]) and shared not in got[0] and shared in got[1]
 
 
+def test_large_hosts_keep_their_pages_in_place(spark, monkeypatch):
+    """Pages of a large host aren't moved to learn which hosts have open ones."""
+    rows = [(k, f"http://h.x/{k}", f"<article><p>{' '.join(f'w{k}x{i * 7919 % 10007}' for i in range(5000))}</p></article>") for k in range(8)]
+    plans, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(self, df, *a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
+    try:
+        got = html_extract.extract_html(spark.createDataFrame(rows, "page_id long, url string, html string"), chunk_pages=2)
+        assert {r.page_id: r.text for r in got.collect()} == extract_by_hand([(i, "h.x", h) for i, _, h in rows])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    semi = [line for p in plans for line in p.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
+
+
 @pytest.mark.parametrize("chunk", [400, 7, 1])
 def test_extract_by_hand(spark, chunk):
     """Hosts of any size, dealt into chunks or not: articles with a line that most pages have, with one that few have, open pages with footers,
