@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.amounts import is_numeric_token
 from ..functions.text import let
 from ..sources.layout import BENCHMARK_WORDS, DOCUMENT_WORDS, benchmark_words, document_words
+from ..sources.shared import written
 from ..sources.tables import EXTRACTED, extracted, table
 from .geometry import _REGIONS, LEDGER, PAGE, REGIONS, ledger_words, regions
-from .pages import joined_texts
+from .pages import combined, joined_texts
 
 #: Points per inch of a page, and pixels per inch of its image.
 PIXELS = 150.0 / 72.0
@@ -48,26 +49,28 @@ def scanned_pages_query(spark, sf_dir: str) -> DataFrame:
 SCANNED_PAGES = f"WITH {DOCUMENT_WORDS} SELECT doc, page, count(*) FILTER (trim(text) <> '') < 10 AS scanned FROM words GROUP BY doc, page"
 
 
-def choose_words(native: DataFrame, read: DataFrame, pages: DataFrame) -> DataFrame:
+def choose_words(native: DataFrame, read: DataFrame, pages: DataFrame, words: Column | None = None) -> DataFrame:
     """Words of each page with their source: the page's own if it isn't to be read from its image (pages: doc, page, is_ocr), or has ENOUGH_WORDS of
-    them; else those read from the image; of pages where nothing was read, the page's own after all."""
-    n = native.groupBy(*PAGE).agg(F.count("*").alias("n"))
-    own = pages.join(n, PAGE, "left").filter(~F.col("is_ocr") | (F.coalesce("n", F.lit(0)) >= ENOUGH_WORDS)).select(*PAGE)
-    ocr = read.join(own, PAGE, "left_anti").withColumn("source", F.lit("ocr"))
-    return native.join(ocr.select(*PAGE).distinct(), PAGE, "left_anti").withColumn("source", F.lit("native")).unionByName(ocr)
-
-
-def pixels(words: DataFrame) -> DataFrame:
-    return words.withColumns({c: F.col(c) * PIXELS for c in ("x0", "y0", "x1", "y1")})
+    them; else those read from the image; of pages where nothing was read, the page's own after all. Rows may stand for as many words as `words` says."""
+    n = F.lit(1) if words is None else words
+    counts = native.select(*PAGE, n.alias("n"), F.lit(False).alias("read")).unionByName(read.select(*PAGE, F.lit(0).alias("n"), F.lit(True).alias("read")))
+    facts = counts.unionByName(pages.select(*PAGE, (~F.col("is_ocr")).alias("own"), F.lit(True).alias("known")), allowMissingColumns=True)
+    known = facts.groupBy(*PAGE).agg(F.coalesce(F.bool_or("own") | (F.bool_or("known") & (F.coalesce(F.sum("n"), F.lit(0)) >= ENOUGH_WORDS)), F.lit(False)).alias("own"), F.bool_or("read").alias("read"))
+    ocr = read.join(known.filter("own"), PAGE, "left_anti").withColumn("source", F.lit("ocr"))
+    return native.join(known.filter("read and not own"), PAGE, "left_anti").withColumn("source", F.lit("native")).unionByName(ocr)
 
 
 def word_sources(spark, sf_dir: str) -> DataFrame:
     """Documents' pages; two thirds are to be read from images, of which every fifth gives nothing, the others the words with an o before them, 2 points to the right."""
     native = document_words(spark, sf_dir)
-    read = native.filter(F.col("doc") % 5 != 0).withColumns({"text": F.concat(F.lit("o"), "text"), "x0": F.col("x0") + 2, "x1": F.col("x1") + 2})
-    pages = native.select(*PAGE).distinct().withColumn("is_ocr", F.col("doc") % 3 != 0)
-    chosen = pixels(choose_words(native, read, pages))
-    return chosen.groupBy(*PAGE, "source").agg(F.count("*").alias("n_words"), F.round(F.min("x0"), 6).alias("x0"), F.round(F.max("y1"), 6).alias("y1"), F.min("text").alias("least"))
+    own, read = F.struct("text", "x0", "y1"), F.struct(F.concat(F.lit("o"), "text").alias("text"), (F.col("x0") + 2).alias("x0"), "y1")
+    # words are laid out once, and counted where they are: what is moved, and chosen from, is a row for each page and source
+    each = native.select(*PAGE, F.posexplode(F.when(F.col("doc") % 5 != 0, F.array(own, read)).otherwise(F.array(own))).alias("read", "w")).select(*PAGE, "read", "w.*")
+    least = combined(each.withColumn("n", F.lit(1).cast("long")), [*PAGE, "read"], {"n": "sum", "x0": "min", "y1": "max", "text": "min"})
+    found = written(least.select(*PAGE, "read", F.col("n").alias("n_words"), F.round(F.col("x0") * PIXELS, 6).alias("x0"), F.round(F.col("y1") * PIXELS, 6).alias("y1"), F.col("text").alias("least")), "sources")
+    native, read = (found.filter(F.col("read") == k).drop("read") for k in (0, 1))
+    chosen = choose_words(native, read, native.select(*PAGE, (F.col("doc") % 3 != 0).alias("is_ocr")), F.col("n_words"))
+    return chosen.select(*PAGE, "source", "n_words", "x0", "y1", "least")
 
 
 WORD_SOURCES = f"""WITH {DOCUMENT_WORDS}, n AS (SELECT doc, page, doc % 3 <> 0 AND count(*) < 150 AND doc % 5 <> 0 AS ocr FROM words GROUP BY doc, page)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -54,6 +55,20 @@ def per_page(rows: DataFrame, solve: Callable[[list], list[tuple]], schema: str)
     return rows.select(*PAGE, *columns).repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(read, full)
 
 
+def combined(rows: DataFrame, keys: list[str], how: dict[str, str]) -> DataFrame:
+    """Rows of one Arrow batch with the same keys as one, other columns by how (min, max or sum), before Spark groups what is left of all batches: Spark sorts all
+    rows to find a least text, and rows of a page lie beside each other where they are laid out."""
+    flat = rows.select(*keys, *how)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b]).group_by(keys, use_threads=False).aggregate(list(how.items()))
+            yield from t.select([*keys, *[f"{c}_{h}" for c, h in how.items()]]).rename_columns([*keys, *how]).combine_chunks().to_batches()
+
+    each = flat.mapInArrow(read, flat.schema)
+    return each.groupBy(*keys).agg(*[getattr(F, h)(c).alias(c) for c, h in how.items()])
+
+
 def _fresh(b: pa.RecordBatch, keys: int) -> np.ndarray:
     """Where the first columns differ from the row before; true for the first row."""
     out = np.zeros(b.num_rows, bool)

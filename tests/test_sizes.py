@@ -4,8 +4,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import SLICE, search_key
-from tablewright.operators import geometry, linkage
-from tablewright.operators.pages import joined_texts, per_page
+from tablewright.operators import geometry, linkage, page_sources
+from tablewright.operators.pages import combined, joined_texts, per_page
 
 
 def test_similar_pairs_meet_over_the_whole_table(spark, tmp_path):
@@ -55,3 +55,25 @@ def test_best_grid_of_any_number_of_slots(spark):
     assert {r.doc: (r.score, -r.candidate) for r in out.collect()} == want
     moved = geometry.best_grid(words, grids)._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
     assert len(moved) == 2 and "HashAggregate" in moved[1]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_sources_move_a_row_for_a_page(spark, tmp_path):
+    """Words are counted where they are laid out: the joins that choose read what was written, a row for each page and source."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(1, 1, 0, 3, 4.0, "b"), (1, 1, 1, 1, 2.0, "z"), (None, 1, 0, 1, 1.0, None), (1, None, 0, 1, 1.0, "y"), (1, None, 0, 2, 1.0, "x")] * 9
+        got = combined(spark.createDataFrame(rows, "doc long, page int, read int, n long, x0 double, text string"), ["doc", "page", "read"], {"n": "sum", "x0": "max", "text": "min"})
+        assert {tuple(r) for r in got.collect()} == {(1, 1, 0, 27, 4.0, "b"), (1, 1, 1, 9, 2.0, "z"), (None, 1, 0, 9, 1.0, None), (1, None, 0, 27, 1.0, "x")}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = [(d, "\n".join(" ".join(f"w{d * i * j % 11}" for j in range(d)) for i in range(60))) for d in range(1, 16)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = page_sources.word_sources(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {tuple(r) for r in out.collect()} == set(db.sql(page_sources.WORD_SOURCES).fetchall())
+    assert "Generate" not in _plan(out)
