@@ -37,22 +37,33 @@ SLOT_UPDATES = f"""WITH {EXTRACTED} SELECT seq, file, page, CAST(row_number() OV
 def prefer_in_table(candidates: DataFrame, tables: DataFrame, table_only: bool = False) -> DataFrame:
     """One candidate (doc, seq, x, y) per document: the only one; else the first inside a table (doc, t_x0, t_y0, t_x1, t_y1); else the
     first. With table_only, one inside a table or none."""
-    boxes = tables.groupBy("doc").agg(F.collect_list(F.struct("t_x0", "t_y0", "t_x1", "t_y1")).alias("boxes"))
-    c = candidates.join(boxes, "doc", "left")
-    inside = F.coalesce(F.exists("boxes", lambda b: F.col("x").between(b["t_x0"], b["t_x1"]) & F.col("y").between(b["t_y0"], b["t_y1"])), F.lit(False))
-    place = F.struct(F.col("seq"), F.col("x"), F.col("y"))
-    found = c.withColumn("inside", inside).groupBy("doc").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min(F.when(F.col("inside"), place)).alias("within"))
-    pick = F.col("within") if table_only else F.when(F.col("n") == 1, F.col("first")).otherwise(F.coalesce("within", "first"))
+    found = _candidates(candidates, tables)
+    pick = F.col("within") if table_only else _preferred()
     return found.select("doc", pick.alias("p")).select("doc", "p.seq", "p.x", "p.y")
 
 
+def _candidates(candidates: DataFrame, tables: DataFrame) -> DataFrame:
+    """(doc, n, first, within) of documents with candidates. A document's candidates and tables are gathered in one aggregation, which a task sorts once; a
+    join would sort each side and the aggregation after it a third time."""
+    place, box = F.struct("seq", "x", "y"), F.struct("t_x0", "t_y0", "t_x1", "t_y1")
+    both = candidates.select("doc", place.alias("place")).unionByName(tables.filter("doc is not null").select("doc", box.alias("box")), allowMissingColumns=True)
+    gathered = both.groupBy("doc").agg(F.collect_list("place").alias("places"), F.collect_list("box").alias("boxes")).filter(F.size("places") > 0)
+    inside = lambda p: F.coalesce(F.exists("boxes", lambda b: p["x"].between(b["t_x0"], b["t_x1"]) & p["y"].between(b["t_y0"], b["t_y1"])), F.lit(False))
+    return gathered.select("doc", F.size("places").alias("n"), F.array_min("places").alias("first"), F.array_min(F.filter("places", inside)).alias("within"))
+
+
+def _preferred() -> Column:
+    return F.when(F.col("n") == 1, F.col("first")).otherwise(F.coalesce("within", "first"))
+
+
 def table_preference(spark, sf_dir: str) -> DataFrame:
     """Middles of the ledger's tax cells, and a table over its third to fifth line."""
     w = ledger_words(spark, sf_dir).filter("x1 = 350")
     c = w.select("doc", F.struct("line", "text").alias("seq"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     tables = c.select("doc").distinct().select("doc", F.lit(0.0).alias("t_x0"), F.lit(36.0).alias("t_y0"), F.lit(400.0).alias("t_x1"), F.lit(70.0).alias("t_y1"))
-    out = prefer_in_table(c, tables).withColumn("only", F.lit(False)).unionAll(prefer_in_table(c, tables, True).withColumn("only", F.lit(True)))
-    return out.select("doc", "only", F.col("seq.line").alias("line"), "x", "y")
+    both = F.array(*[F.struct(F.lit(only).alias("only"), p.alias("p")) for only, p in ((False, _preferred()), (True, F.col("within")))])
+    out = _candidates(c, tables).select("doc", F.explode(both).alias("b"))
+    return out.select("doc", "b.only", F.col("b.p.seq.line").alias("line"), "b.p.x", "b.p.y")
 
 
 TABLE_PREFERENCE = f"""WITH {LEDGER}, c AS (SELECT doc, line, text, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, (y0 + y1) / 2 BETWEEN 36 AND 70 AS inside, count(*) OVER (PARTITION BY doc) AS n FROM words WHERE x1 = 350),

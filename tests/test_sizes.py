@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import SLICE, search_key
-from tablewright.operators import geometry, linkage, page_sources
+from tablewright.operators import extraction, geometry, linkage, page_sources
 from tablewright.operators.pages import combined, joined_texts, per_page
 
 
@@ -61,6 +61,15 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_preference_sorts_each_document_once(spark):
+    """Candidates and tables of a document are gathered together, not joined; those without a document have no table."""
+    c = spark.createDataFrame([(1, 5, 1.0, 1.0), (1, 6, 9.0, 9.0), (2, 1, 1.0, 1.0), (3, 2, 1.0, None), (3, 4, 2.0, 2.0), (None, 1, 1.0, 1.0), (None, 2, 9.0, 9.0)], "doc long, seq int, x double, y double")
+    t = spark.createDataFrame([(d, 8.0, 8.0, 10.0, 10.0) for d in (1, 2, 4, None)], "doc long, t_x0 double, t_y0 double, t_x1 double, t_y1 double")
+    got = [{r.doc: r.seq for r in extraction.prefer_in_table(c, t, only).collect()} for only in (False, True)]
+    assert got == [{1: 6, 2: 1, 3: 2, None: 1}, {1: 6, 2: None, 3: None, None: None}]
+    assert "Join" not in _plan(extraction.prefer_in_table(c, t))
+
+
 def test_word_sources_move_a_row_for_a_page(spark, tmp_path):
     """Words are counted where they are laid out: the joins that choose read what was written, a row for each page and source."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
