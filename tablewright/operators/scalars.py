@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import is_numeric_token, normalise_amount, parse_number
-from ..functions.dates import extract_date, normalise_date, parse_date
+from ..functions.dates import extract_date, normalise_date, normalise_range, parse_date
 from ..functions.text import sanitise
 from ..sources.tables import table
 
@@ -56,7 +56,8 @@ def printed_dates(spark, sf_dir: str) -> DataFrame:
 
 def date_normalise(spark, sf_dir: str) -> DataFrame:
     o = printed_dates(spark, sf_dir)
-    return o.select("o_orderkey", normalise_date(F.col("raw")).alias("first"), normalise_date(F.col("raw"), take_end=True).alias("last"))
+    # the struct is taken apart by a generator, so that it isn't worked out once for each of its fields
+    return o.select("o_orderkey", F.inline(F.array(normalise_range(F.col("raw")))))
 
 
 _PRINTED = "p AS (SELECT o_orderkey, o_orderkey % 12 AS k, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + 40 AS later, CAST(o_orderdate AS DATE) + 80 AS last FROM orders)"

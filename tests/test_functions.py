@@ -2,9 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions.amounts import is_numeric_token, normalise_amount, parse_number
-from tablewright.functions.dates import extract_date, normalise_date
+from tablewright.functions.dates import extract_date, normalise_date, normalise_range
 from tablewright.functions.similarity import account_similar, edit_limit, property_similar
 from tablewright.functions.text import header_key, sanitise
+from tablewright.operators.scalars import date_normalise
 
 
 def apply(spark, f, values):
@@ -27,6 +28,17 @@ def test_normalise_date(spark):
     assert apply(spark, lambda c: normalise_date(c, take_end=True), ends) == ["01/13/2025"] * 3
 
 
+def test_normalise_range_mends_once(spark):
+    """Both ends of a range as normalise_date gives each, from a text mended once."""
+    texts = [*DATES, "Jan 5, 2024 to Feb 7, 2024", "March 3 - April 4, 2025", "05/06/2024-07/08/2024", "May 2024", "no date", " to ", "Jan 5, 2024 to ", "", None]
+    t = spark.createDataFrame([(x,) for x in texts], "raw string")
+    out = t.select("raw", F.inline(F.array(normalise_range(F.col("raw")))))
+    want = t.select("raw", normalise_date(F.col("raw")).alias("first"), normalise_date(F.col("raw"), take_end=True).alias("last"))
+    assert [tuple(r) for r in out.collect()] == [tuple(r) for r in want.collect()]
+    mends = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Ist")
+    assert mends(date_normalise(spark, "/root/testdata/sf0.001")) == 1 < mends(want)
+
+
 def test_extract_date(spark):
     assert apply(spark, lambda c: extract_date(c, take_end=True), ["Dec 11 2024 - Jan 13 2025"]) == ["01/13/2025"]
     assert apply(spark, extract_date, ["October 5, 2025", "20250131", "Foo: 15-Jan-2022", ""]) == ["NONE", "01/31/2025", "01/15/2022", "NONE"]
