@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalise_text, significant_tokens, tokens
+from .text import let, normalise_text, plain_tokens, significant
 
 
 def shared(a: Column, b: Column) -> Column:
@@ -26,9 +26,13 @@ def _shorter(a: Column, b: Column) -> Column:
     return F.least(F.char_length(a), F.char_length(b))
 
 
-def forms(c: Column) -> Column:
-    """What the predicates below compare, so that it is made once per value and not once per pair."""
-    return F.struct(c.alias("raw"), normalise_text(c).alias("plain"), significant_tokens(c).alias("kept"), F.filter(tokens(c), lambda w: w.rlike(r"^\d+$")).alias("numbers"), F.regexp_replace(c, "[^0-9]", "").alias("digits"), F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")).alias("spelt"))
+def forms(c: Column, rule: Column | None = None) -> Column:
+    """What the predicates below compare, so that it is made once per value and not once per pair. Where the name of a rule is given, what others compare is null."""
+    by = lambda made, *rules: made if rule is None else F.when(rule.isin(*rules), made)
+    numbers = lambda words: F.filter(words, lambda w: w.rlike(r"^\d+$"))
+    rest = [by(F.regexp_replace(c, "[^0-9]", ""), "account").alias("digits"), by(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), "spelling").alias("spelt")]
+    worded = lambda plain, words: F.struct(c.alias("raw"), plain.alias("plain"), significant(words).alias("kept"), by(numbers(words), "address").alias("numbers"), *rest)
+    return let(by(normalise_text(c), "property", "address"), lambda plain: let(plain_tokens(plain), lambda words: worded(plain, words)))
 
 
 def property_alike(a: Column, b: Column) -> Column:

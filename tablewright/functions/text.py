@@ -59,11 +59,21 @@ def normalise_text(c: Column) -> Column:
 
 
 def tokens(c: Column, least: int = 2) -> Column:
-    return F.filter(F.split(normalise_text(c), " "), lambda w: F.char_length(w) >= least)
+    return plain_tokens(normalise_text(c), least)
+
+
+def plain_tokens(plain: Column, least: int = 2) -> Column:
+    """Of a text that normalise_text has been over."""
+    return F.filter(F.split(plain, " "), lambda w: F.char_length(w) >= least)
+
+
+def significant(words: Column) -> Column:
+    """Of tokens."""
+    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def significant_tokens(c: Column) -> Column:
-    return F.filter(tokens(c), lambda w: ~w.isin(*STOP_WORDS))
+    return significant(tokens(c))
 
 
 def header_key(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocking import account_keys, address_keys, keyed, property_keys, spelling_keys
 from ..functions.similarity import account_alike, address_alike, forms, property_alike, spelling_alike
-from ..functions.text import header_key
+from ..functions.text import header_key, let
 from ..sources.shared import written
 from ..sources.tables import table
 
@@ -28,18 +28,40 @@ FEW = 400
 def pairs(values: DataFrame, keys: list[str], rule: str | Column, few: int = FEW) -> DataFrame:
     """Pairs (a, b, sa, sb) of a group's values, the earlier first, that are similar by a rule of RULES; a Column names each value's. In groups of more than
     `few` values they meet through the keys that similar ones share, and are judged once; there is no product of such a group. Both ways find the same."""
-    named = values.select(*keys, "value", "seq", (F.lit(rule) if isinstance(rule, str) else rule).alias("_rule"), forms(F.col("value")).alias("_form"))
-    sizes = named.groupBy(*keys).agg((F.count("*") > few).alias("_large"))
-    sized = named.join(sizes, keys)
-    side = lambda v, q: sized.filter("not _large").select(*keys, F.col("value").alias(v), F.col("seq").alias(q), F.col("_form").alias(f"_{v}"), *(["_rule"] if v == "a" else []))
-    met = side("a", "sa").join(side("b", "sb"), keys).filter("sa < sb").select(*keys, "a", "b", "sa", "sb", "_a", "_b", "_rule")
-    if not sizes.filter("_large").isEmpty():
-        met = met.unionByName(_by_keys(sized.filter("_large").drop("_large"), keys))
+    small, large = _by_size(_named(values, rule), keys, few)
+    formed = small.withColumn("_form", forms(F.col("value"), F.col("_rule")))
+    side = lambda v, q: formed.select(*keys, F.col("value").alias(v), F.col("seq").alias(q), F.col("_form").alias(f"_{v}"), *(["_rule"] if v == "a" else []))
+    found = _alike(side("a", "sa").join(side("b", "sb"), keys).filter("sa < sb"), keys, rule)
+    return found if large is None else found.unionByName(_alike(_by_keys(large, keys), keys, rule))
+
+
+def _named(values: DataFrame, rule: str | Column) -> DataFrame:
+    return values.withColumn("_rule", F.lit(rule) if isinstance(rule, str) else rule)
+
+
+def _by_size(values: DataFrame, keys: list[str], few: int) -> tuple[DataFrame, DataFrame | None]:
+    """The values of groups of up to `few`; and those of larger ones and of groups whose key is null, of which nothing is similar, if there are any."""
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    other = values.groupBy(*keys).agg(F.count("*").alias("_size")).filter(null | (F.col("_size") > few)).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    if other.isEmpty():
+        return values, None
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return values.join(other, same, "left_anti"), values.join(other, same, "left_semi")
+
+
+def _judged(by: Column, a: Column, b: Column, rule: str | Column) -> Column:
+    """Whether two forms are similar by the rule that `by` names."""
     similar = F.lit(False)
     for name, (_, predicate) in RULES.items():
         if not isinstance(rule, str) or name == rule:
-            similar = F.when(F.col("_rule") == name, predicate(F.col("_a"), F.col("_b"))).otherwise(similar)
-    return met.filter(similar).drop("_rule", "_a", "_b")
+            similar = F.when(by == name, predicate(a, b)).otherwise(similar)
+    return similar
+
+
+def _alike(met: DataFrame, keys: list[str], rule: str | Column) -> DataFrame:
+    return met.filter(_judged(F.col("_rule"), F.col("_a"), F.col("_b"), rule)).select(*keys, "a", "b", "sa", "sb")
 
 
 def _by_keys(named: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,7 +73,7 @@ def _by_keys(named: DataFrame, keys: list[str]) -> DataFrame:
     first = F.col("sx") < F.col("sy")
     each = lambda n, p, q: F.when(first, F.col(p)).otherwise(F.col(q)).alias(n)
     once = met.select(*keys, each("a", "x", "y"), each("b", "y", "x"), each("sa", "sx", "sy"), each("sb", "sy", "sx")).distinct()
-    form = lambda v: named.select(*keys, F.col("value").alias(v), F.col("_form").alias(f"_{v}"), *(["_rule"] if v == "a" else []))
+    form = lambda v: named.select(*keys, F.col("value").alias(v), forms(F.col("value"), F.col("_rule")).alias(f"_{v}"), *(["_rule"] if v == "a" else []))
     return once.join(form("a"), [*keys, "a"]).join(form("b"), [*keys, "b"]).select(*keys, "a", "b", "sa", "sb", "_a", "_b", "_rule")
 
 
@@ -63,7 +85,8 @@ def star_groups(found: DataFrame, keys: list[str]) -> DataFrame:
     it is clear and drops their pairs, and rounds end when no pair is left. A taken value belongs to its earliest seed. Rounds are as many as the
     longest run of values each of which waits for the one before; only whether any is left comes to the driver.
     """
-    left = written(found.select(*keys, "sa", "sb"), "star")
+    found = written(found, "star")
+    left = found.select(*keys, "sa", "sb")
     seeds = None
     while not left.isEmpty():
         waiting = left.select(*keys, F.col("sb").alias("sa")).distinct()
@@ -81,6 +104,43 @@ def star_groups(found: DataFrame, keys: list[str]) -> DataFrame:
     return members.unionByName(members.select(*keys, "seed").distinct().withColumn("value", F.col("seed")))
 
 
+def starred(values: DataFrame, keys: list[str], rule: str | Column, few: int = FEW) -> DataFrame:
+    """All values (keys, value, seq, n) with what star_groups makes of their pairs: the seed, null in no group, and how many of the group's values are `starred`
+    and how many are `alone`. A group of up to `few` values is one row, and each of its values is compared with the seeds before it only; larger groups
+    go by pairs and rounds. Both ways find the same."""
+    small, large = _by_size(written(_named(values, rule), "values"), keys, few)
+    whole = small.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "value", "n", "_rule"))).alias("of"))
+    marked = whole.select(*keys, F.inline_outer(_folded(F.col("of"), rule)))
+    if large is None:
+        return marked
+    groups = star_groups(_alike(_by_keys(large, keys), keys, rule), keys)
+    rest = large.drop("_rule").join(groups, [*keys, "value"], "left")
+    sums = rest.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("seed").alias("starred"), F.count_if(F.col("seed").isNull()).alias("alone"))
+    return marked.unionByName(rest.join(sums, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys]))
+
+
+def _folded(values: Column, rule: str | Column) -> Column:
+    """The values (seq, value, n, _rule) of one group in their order, with seed, starred and alone."""
+    formed = F.transform(values, lambda v, i: F.struct(i.alias("at"), v["seq"].alias("seq"), v["_rule"].alias("_rule"), forms(v["value"], v["_rule"]).alias("form")))
+
+    def seed_of(seeds: Column, v: Column) -> Column:
+        """The place of the earliest seed that is similar; none after it is looked at."""
+        return F.aggregate(seeds, F.lit(None).cast("int"), lambda found, s: F.coalesce(found, F.when((s["seq"] < v["seq"]) & _judged(s["_rule"], s["form"], v["form"], rule), s["at"])))
+
+    def taken(state: Column, v: Column) -> Column:
+        grown = lambda at: F.when(at.isNull(), F.concat(state["seeds"], F.array(v))).otherwise(state["seeds"])
+        return let(seed_of(state["seeds"], v), lambda at: F.struct(grown(at).alias("seeds"), F.concat(state["places"], F.array(F.coalesce(at, v["at"]))).alias("places")))
+
+    def marked(places: Column, members: Column) -> Column:
+        grouped = lambda i: (F.get(places, i) != i) | F.array_contains(members, i)
+        seeds = F.transform(places, lambda at, i: F.when(grouped(i), F.get(values, at)["value"]))
+        return let(seeds, lambda seeds: let(F.size(F.filter(seeds, lambda s: s.isNotNull())).cast("long"), lambda n: F.transform(values, lambda v, i: F.struct(v["value"].alias("value"), v["seq"].alias("seq"), v["n"].alias("n"), F.get(seeds, i).alias("seed"), n.alias("starred"), (F.size(values) - n).alias("alone")))))
+
+    places = let(formed, lambda vs: F.aggregate(vs, F.struct(F.slice(vs, 1, 0).alias("seeds"), F.array().cast("array<int>").alias("places")), taken, lambda state: state["places"]))
+    # places of seeds that took others
+    return let(places, lambda places: let(F.filter(places, lambda at, i: at != i), lambda members: marked(places, members)))
+
+
 def _names(spark, sf_dir: str) -> DataFrame:
     """Part names of a brand, as the values of a field."""
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("field"), F.col("p_name").alias("name"), F.col("p_partkey").alias("at"))
@@ -99,7 +159,7 @@ SELECT field, a, b, CAST(edits AS INTEGER) AS edits FROM p WHERE contains(a, b)
 
 def star_groups_query(spark, sf_dir: str) -> DataFrame:
     values = distinct_values(_names(spark, sf_dir), ["field"], "name", "at")
-    return star_groups(pairs(values, ["field"], "property"), ["field"])
+    return starred(values, ["field"], "property").filter("seed is not null").select("field", "seed", "value")
 
 
 # Fixed patterns: numbers and money; day and month.
@@ -118,8 +178,7 @@ def frequencies(cells: DataFrame, keys: list[str], column: str, order: str) -> D
 def sanitize_groups(spark, sf_dir: str) -> DataFrame:
     """Misspelt values of each brand's table, with the most frequent spelling as the one to keep, ties to the first seen."""
     values = frequencies(_names(spark, sf_dir), ["field"], "name", "at")
-    groups = star_groups(pairs(values, ["field"], "spelling"), ["field"])
-    counted = groups.join(values, ["field", "value"])
+    counted = starred(values, ["field"], "spelling").filter("seed is not null")
     w = Window.partitionBy("field", "seed")
     return counted.select("field", "seed", "value", "n", F.max_by("value", F.struct("n", -F.col("seq"))).over(w).alias("canonical"))
 
@@ -211,15 +270,12 @@ def merge_groups(rows: DataFrame, keys: list[str], order: str = "seq", fields: t
     values = distinct_values(rows.filter(F.col("field").isin(*fields)), [*keys, "field"], "value", order)
     rule = F.when(F.col("field") == "account_number", "account").when(F.col("field") == "address", "address").otherwise("property")
     on = [*keys, "field"]
-    groups = star_groups(pairs(values, on, rule), on)
-    marked = values.join(groups, [*on, "value"], "left")
-    w = Window.partitionBy(*on)
-    marked = marked.withColumns({"some": F.count("seed").over(w) > 0, "loose": F.count_if(F.col("seed").isNull()).over(w)})
+    marked = starred(values, on, rule)
     label = F.lit(None).cast("string")
     for f, name in MERGE_FIELDS.items():
         label = F.when(F.col("field") == f, F.lit(name)).otherwise(label)
-    tail = F.when(F.col("seed").isNotNull(), "").when(F.col("some"), " (other)").otherwise(" (manual)")
-    return marked.filter(F.col("seed").isNotNull() | (F.col("loose") >= 2)).select(*on, F.concat(label, tail).alias("label"), "seed", "value")
+    tail = F.when(F.col("seed").isNotNull(), "").when(F.col("starred") > 0, " (other)").otherwise(" (manual)")
+    return marked.filter(F.col("seed").isNotNull() | (F.col("alone") >= 2)).select(*on, F.concat(label, tail).alias("label"), "seed", "value")
 
 
 def _offices(spark, sf_dir: str) -> DataFrame:
