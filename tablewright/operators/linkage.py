@@ -28,9 +28,8 @@ FEW = 400
 def pairs(values: DataFrame, keys: list[str], rule: str | Column, few: int = FEW) -> DataFrame:
     """Pairs (a, b, sa, sb) of a group's values, the earlier first, that are similar by a rule of RULES; a Column names each value's. In groups of more than
     `few` values they meet through the keys that similar ones share, and are judged once; there is no product of such a group. Both ways find the same."""
-    small, large = _by_size(_named(values, rule), keys, few)
-    formed = small.withColumn("_form", forms(F.col("value"), F.col("_rule")))
-    side = lambda v, q: formed.select(*keys, F.col("value").alias(v), F.col("seq").alias(q), F.col("_form").alias(f"_{v}"), *(["_rule"] if v == "a" else []))
+    small, large = _by_size(_formed(_named(values, rule)), keys, few)
+    side = lambda v, q: small.select(*keys, F.col("value").alias(v), F.col("seq").alias(q), F.col("_form").alias(f"_{v}"), *(["_rule"] if v == "a" else []))
     found = _alike(side("a", "sa").join(side("b", "sb"), keys).filter("sa < sb"), keys, rule)
     return found if large is None else found.unionByName(_alike(_by_keys(large, keys), keys, rule))
 
@@ -39,6 +38,11 @@ def _named(values: DataFrame, rule: str | Column) -> DataFrame:
     return values.withColumn("_rule", F.lit(rule) if isinstance(rule, str) else rule)
 
 
+def _formed(named: DataFrame) -> DataFrame:
+    """With the form of each value, written: filters on it would be taken before the values are distinct, and make it for every row."""
+    return written(named.withColumn("_form", forms(F.col("value"), F.col("_rule"))), "values")
+
+
 def _by_size(values: DataFrame, keys: list[str], few: int) -> tuple[DataFrame, DataFrame | None]:
     """The values of groups of up to `few`; and those of larger ones and of groups whose key is null, of which nothing is similar, if there are any."""
     null = F.lit(False)
@@ -73,7 +77,7 @@ def _by_keys(named: DataFrame, keys: list[str]) -> DataFrame:
     first = F.col("sx") < F.col("sy")
     each = lambda n, p, q: F.when(first, F.col(p)).otherwise(F.col(q)).alias(n)
     once = met.select(*keys, each("a", "x", "y"), each("b", "y", "x"), each("sa", "sx", "sy"), each("sb", "sy", "sx")).distinct()
-    form = lambda v: named.select(*keys, F.col("value").alias(v), forms(F.col("value"), F.col("_rule")).alias(f"_{v}"), *(["_rule"] if v == "a" else []))
+    form = lambda v: named.select(*keys, F.col("value").alias(v), F.col("_form").alias(f"_{v}"), *(["_rule"] if v == "a" else []))
     return once.join(form("a"), [*keys, "a"]).join(form("b"), [*keys, "b"]).select(*keys, "a", "b", "sa", "sb", "_a", "_b", "_rule")
 
 
@@ -113,7 +117,7 @@ def starred(values: DataFrame, keys: list[str], rule: str | Column, few: int = F
     marked = whole.select(*keys, F.inline_outer(_folded(F.col("of"), rule)))
     if large is None:
         return marked
-    groups = star_groups(_alike(_by_keys(large, keys), keys, rule), keys)
+    groups = star_groups(_alike(_by_keys(_formed(large), keys), keys, rule), keys)
     rest = large.drop("_rule").join(groups, [*keys, "value"], "left")
     sums = rest.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("seed").alias("starred"), F.count_if(F.col("seed").isNull()).alias("alone"))
     return marked.unionByName(rest.join(sums, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys]))
