@@ -16,14 +16,16 @@ STOP_WORDS = (
 )
 
 
-# Fixed patterns: signature tags, document ids, other bracketed tags, characters of no use, hidden binary numbers.
+# Fixed patterns: signature tags, document ids, other bracketed tags, characters of no use.
 NOISE = (
     r"(?i)\[(?:text|sig|date|initial|checkbox|radio|attachment|note)[^\]]*\]",
     r"(?i)\bDoc(?:ument)?\s*ID\s*:\s*\S+",
     r"(?i)\[[a-z]+\|[^\]]{0,120}\]",
     r"[^\p{L}\p{N}\p{P}\p{Z}\p{Sc}\p{Sm}]",
-    r"\b[01]{8,}\b",
 )
+#: Hidden binary numbers, and those of them that are not the fraction of a decimal number.
+HIDDEN = r"\b[01]{8,}\b"
+HIDDEN_WHOLE = rf"(?<!\d\.){HIDDEN}"
 
 
 def let(c: Column, use: Callable[[Column], Column]) -> Column:
@@ -44,11 +46,12 @@ def halve_double(c: Column) -> Column:
     )
 
 
-def sanitise(c: Column) -> Column:
+def sanitise(c: Column, keep_fractions: bool = False) -> Column:
     """Without signature tags, document ids, characters that aren't letters, numbers, punctuation, separators, currency or
-    mathematical signs, and hidden binary numbers; white space is one space; doubled texts once; null if nothing is left."""
+    mathematical signs, and hidden binary numbers (with keep_fractions, not those that are a decimal number's digits after the point); white
+    space is one space; doubled texts once; null if nothing is left."""
     s = c
-    for pattern in NOISE:
+    for pattern in (*NOISE, HIDDEN_WHOLE if keep_fractions else HIDDEN):
         s = F.regexp_replace(s, pattern, "")
     return let(F.trim(F.regexp_replace(s, r"[\s\p{Z}]+", " ")), lambda x: F.when(x != "", halve_double(x)))
 

@@ -27,13 +27,14 @@ END_FIELD = "billing_date"
 
 
 def clean_value(field: Column, value: Column) -> Column:
-    """The value cleaned, then normalised by its field's kind; null if nothing is left of it."""
+    """The value cleaned, then normalised by its field's kind; null if nothing is left of it. A rate keeps its digits, also if all are 0 and 1, which
+    the reference takes for a hidden number."""
 
     def by_kind(v: Column) -> Column:
         out = F.when(field == END_FIELD, normalise_date(v, take_end=True)).when(field.isin(*DATE_FIELDS), normalise_date(v)).when(field.isin(*AMOUNT_FIELDS), normalise_amount(v)).when(field.isin(*YEAR_FIELDS), normalise_year(v))
         return (out.when(field.isin(*PERCENT_FIELDS), normalise_percent(v)) if PERCENT_FIELDS else out).otherwise(v)
 
-    return let(sanitise(value), by_kind)
+    return let(sanitise(value, keep_fractions=True), by_kind)
 
 
 def early_date(field: Column, value: Column) -> Column:

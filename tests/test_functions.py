@@ -5,6 +5,7 @@ from tablewright.functions.amounts import is_numeric_token, normalise_amount, pa
 from tablewright.functions.dates import extract_date, normalise_date, normalise_range
 from tablewright.functions.similarity import account_similar, edit_limit, property_similar
 from tablewright.functions.text import header_key, sanitise
+from tablewright.operators.fields import clean_value
 from tablewright.operators.scalars import date_normalise
 
 
@@ -74,6 +75,10 @@ def test_amounts(spark):
 
 def test_text(spark):
     assert apply(spark, sanitise, ["[sig|req|signer1] Rent", "Doc ID: 7af 3450 3450", "HelloHello", "a\u0000b 0101010101", ""]) == ["Rent", "3450", "Hello", "ab", None]
+    fractions = ["0.01000100", "$0.01000100 0101010101", "12.00000000", "see order 10000101", "no.01010101"]
+    assert apply(spark, lambda c: sanitise(c, keep_fractions=True), fractions) == ["0.01000100", "$0.01000100", "12.00000000", "see order", "no."]
+    assert apply(spark, sanitise, fractions) == ["0.", "$0.", "12.", "see order", "no."]
+    assert apply(spark, lambda c: clean_value(F.lit("cap_rate"), c), ["0.01000100", "0.0150015"]) == ["0.01000100", "0.0150015"]
     assert apply(spark, header_key, ["Account No.", "Service End-Date"]) == ["accountno", "serviceenddate"]
 
 
