@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections import namedtuple
 from collections.abc import Callable, Iterator
-from itertools import groupby
-from operator import itemgetter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +18,16 @@ PAGE = ["doc", "page"]
 
 
 def values(c: pa.Array) -> list:
-    """A column's values; numbers without nulls the fast way."""
-    plain = c.null_count == 0 and (pa.types.is_floating(c.type) or pa.types.is_integer(c.type))
-    return c.to_numpy().tolist() if plain else c.to_pylist()
+    """A column's values; numbers and texts the fast way."""
+    if pa.types.is_string(c.type):
+        return c.to_numpy(zero_copy_only=False).tolist()
+    if not (pa.types.is_floating(c.type) or pa.types.is_integer(c.type)):
+        return c.to_pylist()
+    if not c.null_count:
+        return c.to_numpy().tolist()
+    out = pc.fill_null(c, 0).to_numpy(zero_copy_only=False).astype(object)
+    out[c.is_null().to_numpy(zero_copy_only=False)] = None
+    return out.tolist()
 
 
 def per_page(rows: DataFrame, solve: Callable[[list], list[tuple]], schema: str) -> DataFrame:
@@ -33,24 +39,37 @@ def per_page(rows: DataFrame, solve: Callable[[list], list[tuple]], schema: str)
     target = to_arrow_schema(StructType.fromDDL(full))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = namedtuple("row", columns)  # noqa: PYI024
+        named = partial(tuple.__new__, namedtuple("row", columns))  # noqa: PYI024
         key, held = None, []
 
-        def batch(out: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [[] for _ in target]
-            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, target, strict=True)], schema=target)
+        def batch(out: list[tuple], keys: list[tuple], counts: list[int]) -> pa.RecordBatch:
+            at = np.repeat(np.arange(len(keys)), counts)
+            pages = [pa.array([k[i] for k in keys], target.field(i).type).take(pa.array(at)) for i in (0, 1)]
+            cols = list(zip(*out, strict=True)) or [[] for _ in range(len(target) - 2)]
+            return pa.RecordBatch.from_arrays([*pages, *[pa.array(c, target.field(i + 2).type) for i, c in enumerate(cols)]], schema=target)
 
         for b in batches:
-            out, cols = [], [values(c) for c in b.columns]
-            for k, g in groupby(zip(cols[0], cols[1], map(row, *cols[2:])), key=itemgetter(0, 1)):
+            if not b.num_rows:
+                continue
+            docs, numbers, *cols = [values(c) for c in b.columns]
+            marks = list(map(named, zip(*cols, strict=True)))
+            starts = np.flatnonzero(_fresh(b, 2)).tolist()
+            out, keys, counts = [], [], []
+            for i, j in zip(starts, [*starts[1:], len(marks)], strict=True):
+                k = docs[i], numbers[i]
                 if k != key:
                     if held:
-                        out += [(*key, *r) for r in solve(held)]
-                    key, held = k, []
-                held += [x[2] for x in g]
-            yield batch(out)
+                        solved = solve(held)
+                        out += solved
+                        keys.append(key)
+                        counts.append(len(solved))
+                    key, held = k, marks[i:j]
+                else:
+                    held += marks[i:j]
+            yield batch(out, keys, counts)
         if held:
-            yield batch([(*key, *r) for r in solve(held)])
+            solved = solve(held)
+            yield batch(solved, [key], [len(solved)])
 
     return rows.select(*PAGE, *columns).repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(read, full)
 

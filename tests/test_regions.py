@@ -160,3 +160,41 @@ def test_row_boxes_are_those_of_the_islands(spark):
     df = spark.createDataFrame(words, WORDS)
     want = row_islands(df).groupBy("doc", "page", "row").agg(F.count("*").alias("n"), F.min("x0"), F.max("x1"), F.min("y0"))
     assert sorted(map(tuple, row_boxes(df).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pages_of_one_form_have_their_lines_worked_out_once(monkeypatch):
+    from tablewright.operators import region_tables as rt
+
+    worked_out = []
+    groups = rt.cell_groups
+    monkeypatch.setattr(rt, "cell_groups", lambda *a: worked_out.append(1) or groups(*a))
+    one = tuple(sorted(s[2:] for s in ruled(1, [3, 103, 203], [7, 27, 47])))
+    at = lambda x, y, t: {"x0": x, "y0": y, "x1": x + 20.0, "y1": y + 10.0, "text": t}
+    for i in range(50):
+        segments, bounds = rt._region_ruling(rt._page_ruling(one), (0.0, 0.0, 210.0, 50.0))
+        words = [at(10.0, 10.0, f"a{i}"), at(110.0, 10.0, "b"), at(110.0, 30.0, "c")]
+        want = "geometry", 6.0, (2, 2, [(0, 0, 1, 1, f"a{i}"), (0, 1, 1, 1, "b"), (1, 0, 1, 1, ""), (1, 1, 1, 1, "c")])
+        assert rt.best_table(words, segments, bounds, rt.FINDERS) == want and bounds == [103.0]
+    assert len(worked_out) == 1
+    assert rt.best_table(words, list(segments), bounds, rt.FINDERS) == want  # plain segments do as well
+
+
+def test_a_page_of_more_lines_than_are_remembered(spark):
+    from tablewright.operators.region_tables import REMEMBERED
+
+    xs, ys = [40 * i for i in range(8)], [20 * i for i in range(9)]
+    lines = ruled(1, xs, ys) + ruled(2, xs, ys)
+    assert len(lines) / 2 > REMEMBERED
+    words = [word(d, x + 5, y + 5, f"{x}") for d in (1, 2) for x in xs[:-1] for y in ys[:-1]]
+    got = found(spark, words, lines, [(d, 1, 0, -1.0, -1.0, 300.0, 200.0) for d in (1, 2)])
+    assert got[1, 0] == got[2, 0] == ("geometry", 56 * 1.875, 8, 7, [(r, c, 1, 1, f"{xs[c]}") for r in range(8) for c in range(7)])
+
+
+def test_values_of_columns():
+    import pyarrow as pa
+
+    from tablewright.operators.pages import values
+
+    for kind, there in ((pa.int64(), [2**62 + 1, None, -3]), (pa.int32(), [1, 2, 3]), (pa.float64(), [0.5, None, 2.0]), (pa.float64(), [0.5, 1.0]), (pa.string(), ["ä", None, ""]), (pa.string(), []), (pa.bool_(), [True, None]), (pa.float64(), [None, None])):
+        got = values(pa.array(there, kind))
+        assert got == there and [type(x) for x in got] == [type(x) for x in there]
